@@ -219,17 +219,3 @@ def min_max_scale(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> Da
         width = (hi - lo) if lo is not None and hi != lo else 1.0
         out[f"{c}_scaled"] = (F.col(c) - F.lit(lo)) / F.lit(width)
     return df.withColumns(out)
-
-
-def attribution_shares(attributed: DataFrame, feature: str, phi: str, ts: str, hours: int = 8) -> DataFrame:
-    """Mean |attribution| per feature and part of the day as a share, and its spread over the parts."""
-    part = F.floor(F.hour(ts) / hours).cast("int")
-    mean = attributed.groupBy(F.col(feature), part.alias("day_part")).agg(F.avg(F.abs(phi)).alias("_mean"))
-    # One row per feature and day part from here on.
-    total = mean.groupBy("day_part").agg(F.sum("_mean").alias("_total"))
-    share = mean.join(total, "day_part").withColumn(
-        "share_pct", F.coalesce(F.col("_mean") / F.nullif("_total", F.lit(0.0)) * 100, F.lit(0.0))
-    )
-    return share.groupBy(feature).agg(
-        F.avg("share_pct").alias("mean_share_pct"), F.stddev_pop("share_pct").alias("share_spread")
-    )

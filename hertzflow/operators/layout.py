@@ -59,7 +59,8 @@ class OrderedRows:
     chunk_rows: int | None = None
 
     def with_df(self, df: DataFrame) -> OrderedRows:
-        """Same positions, other columns. ``df`` may also hold fewer rows for ``running``."""
+        """Same positions, other columns. ``df`` may hold fewer rows: any for ``running``,
+        for ``framed`` only if those left of a series are an unbroken run."""
         return OrderedRows(df, self.series, self.order, self.total, self.chunk_rows)
 
     def chunk_size(self, before: int = 0, after: int = 0) -> int:

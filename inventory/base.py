@@ -105,10 +105,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("lower").isNotNull())
 
 
-def scored_ordered(spark: SparkSession, sf_dir: str) -> OrderedRows:
-    return laid_out(spark, sf_dir).with_df(scored(spark, sf_dir))
-
-
 # ---- the same tables as SQL ------------------------------------------------------
 
 SIGNAL_SQL = """
