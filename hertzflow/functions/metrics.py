@@ -119,8 +119,8 @@ def aggregate(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str] =
     return out.where(F.col("_n") >= min_rows).drop("_n")
 
 
-def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Distinct scores with the positives and negatives at and above each.
+def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct scores with the positives and negatives at and above each, and the totals.
 
     Equal scores are merged before anything is ordered, so ties cannot pile up.
     """
@@ -128,23 +128,23 @@ def _score_steps(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Da
         F.count_if(F.col(label) == 1).alias("_hits"), F.count_if(F.col(label) == 0).alias("_misses")
     )
     ordered = order_rows(steps.withColumn("_rank_key", -F.col(score)), list(by), ["_rank_key"])
-    return ordered.running({"_tp": ("sum", F.col("_hits")), "_fp": ("sum", F.col("_misses"))})
+    totals = ordered.df.groupBy(*by).agg(F.sum("_hits").alias("_p"), F.sum("_misses").alias("_n"))
+    return ordered.running({"_tp": ("sum", F.col("_hits")), "_fp": ("sum", F.col("_misses"))}), totals
 
 
 def auc_roc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve with ties counted half; null for a single class."""
-    steps = _score_steps(df, label, score, by)
-    positives, negatives = F.sum("_hits"), F.sum("_misses")
+    steps, _ = _score_steps(df, label, score, by)
     # Pairs in which the negative scores higher or equal, from the running counts.
-    lost = F.sum(F.col("_hits") * (F.col("_fp") - F.col("_misses")) + F.col("_hits") * F.col("_misses") / 2)
-    pairs = F.nullif(positives * negatives, F.lit(0))
+    hits, misses, above = (F.col(c).cast("double") for c in ("_hits", "_misses", "_fp"))
+    lost = F.sum(hits * (above - misses) + hits * misses / 2)
+    pairs = F.nullif(F.sum(hits) * F.sum(misses), F.lit(0.0))
     return steps.groupBy(*by).agg((1 - lost / pairs).alias("auc"))
 
 
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """False and true positive rate at every distinct score, highest first."""
-    steps = _score_steps(df, label, score, by)
-    totals = steps.groupBy(*by).agg(F.max("_tp").alias("_p"), F.max("_fp").alias("_n"))
+    steps, totals = _score_steps(df, label, score, by)
     joined = steps.join(totals, list(by)) if by else _with_totals(steps, totals)
     return joined.select(
         *by,

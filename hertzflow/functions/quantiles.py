@@ -20,7 +20,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, alphas: Sequen
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ordered = order_rows(counted, list(by), [value])
     ranks = ordered.running({"_upto": ("sum", F.col("_n"))})
-    sizes = ranks.groupBy(*by).agg(F.max("_upto").alias("_size"))
+    sizes = ordered.df.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
         same = F.lit(True)
         names = [f"_g{i}" for i in range(len(by))]

@@ -27,8 +27,11 @@ _PART = "_part"
 _SEED = "_seed"
 
 MIN_CHUNK = 1024
-MAX_CHUNK = 1_000_000
+# Window partitions up to this many rows are held as plain rows in memory; it is the
+# default of spark.sql.windowExec.buffer.in.memory.threshold.
+WINDOW_BUFFER = 4096
 FAN_IN = 1024
+TOP_LEVEL = 100_000
 
 
 @dataclass(frozen=True)
@@ -67,8 +70,17 @@ class OrderedRows:
         if self.chunk_rows:
             return max(self.chunk_rows, 1)
         cores = self.df.sparkSession.sparkContext.defaultParallelism
-        floor = max(MIN_CHUNK, 4 * (before + after))
-        return max(floor, min(MAX_CHUNK, self.total // (8 * cores)))
+        halo = before + after + 1
+        floor = max(MIN_CHUNK, 4 * halo)
+        return max(floor, min(WINDOW_BUFFER - halo, self.total // (8 * cores)))
+
+    def _levels(self, first: int) -> list[int]:
+        """Block sizes of a prefix scan: totals of totals until few enough are left."""
+        levels, left = [first], self.total // first
+        while left > TOP_LEVEL:
+            levels.append(FAN_IN)
+            left //= FAN_IN
+        return levels
 
     def framed(self, before: int = 0, after: int = 0) -> Frames:
         """Chunked rows whose frames reach ``before`` rows back and ``after`` rows on."""
@@ -93,11 +105,30 @@ class OrderedRows:
 
         ``kind`` is ``last`` (last non-null value), ``sum``, ``min`` or ``max``.
         ``initial`` gives a start value per series under the same names.
+
+        The rows are read twice, for the block totals and for the result. Put
+        this on a written table or a projection of one, not on costly steps.
         """
         df = self.df.withColumns({name: expr for name, (_, expr) in specs.items()})
         kinds = {name: kind for name, (kind, _) in specs.items()}
-        blocks = [self.chunk_size(), FAN_IN]
-        return _scan(df, list(self.series), POS, kinds, blocks, backward, exclusive, initial)
+        levels = self._levels(self.chunk_size())
+        return _scan(df, list(self.series), POS, kinds, levels, backward, exclusive, initial)
+
+    def carry(self, points: DataFrame, names: Sequence[str], initial: DataFrame | None = None) -> DataFrame:
+        """Give each row the last non-null values of the points at or before its position.
+
+        ``points`` holds the series, a position and ``names``. Points sort just
+        before the row of their position, so no join is needed.
+        """
+        slot = "_slot"
+        rows = self.df.withColumn(slot, F.col(POS) * 2 + 1).withColumn("_is_row", F.lit(True))
+        marks = points.select(*self.series, (F.col(POS) * 2).alias(slot), *names)
+        both = rows.unionByName(marks, allowMissingColumns=True)
+        kinds = {name: "last" for name in names}
+        size = self.chunk_size()
+        levels = [2 * size, *self._levels(size)[1:]]
+        out = _scan(both, list(self.series), slot, kinds, levels, False, False, initial)
+        return out.where("_is_row").drop(slot, "_is_row")
 
 
 def order_rows(

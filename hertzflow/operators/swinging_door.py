@@ -6,14 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..settings import DEFAULTS
-from .layout import POS, OrderedRows, series_row_number
-from .windows import clean_and_fill
+from ..storage import stage
+from .layout import POS, OrderedRows
 
 SEGMENT_ROWS = 86_400
-KEPT = "kept"
+SLOPE = "slope"
 
 
 def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
@@ -52,26 +51,44 @@ def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.nda
 def swinging_door(
     ordered: OrderedRows, ts: str, value: str, width: float = DEFAULTS.door_width, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
-    """Mark the points to keep in ``kept``; between them the line stays within ``width``.
+    """The kept points, with the slope per second from the kept point before.
 
+    Between kept points the straight line stays within ``width`` of every value.
     The door carries state from point to point, so each segment of
-    ``segment_rows`` rows of a series is compressed by itself and keeps its first
-    and last point. Segments count from the start of the series: they depend on
-    neither the cluster nor other series, and none grows with the data.
+    ``segment_rows`` values of a series is compressed by itself and keeps its
+    first and last point; neighbours share that point. Segments count from the
+    start of the series: they depend on neither the cluster nor other series,
+    and none grows with the data.
     """
-    numbered = series_row_number(ordered, "_number").df
-    numbered = numbered.withColumn("_segment", F.expr(f"(_number - 1) div {segment_rows}")).drop("_number")
-    known = numbered.where(F.col(value).isNotNull())
-    slim = known.select(*ordered.series, "_segment", POS, (F.unix_micros(ts) / 1e6).alias("_s"), F.col(value).alias("_v"))
+    series = list(ordered.series)
+    known = ordered.df.where(F.col(value).isNotNull()).select(*series, POS, ts, value)
+    numbered = ordered.with_df(known).running({"_n": ("sum", F.lit(1).cast("bigint"))})
+    in_segments = numbered.withColumn(
+        "_segment",
+        F.explode(F.expr(f"sequence(greatest(_n - 2, 0L) div {segment_rows}, (_n - 1) div {segment_rows})")),
+    ).withColumn("_s", F.unix_micros(ts) / 1e6)
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compress(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
-        keep = door_pivots(pdf["_s"].to_numpy(), pdf["_v"].to_numpy(), width)
-        return pdf.loc[keep, [POS]]
+        keep = door_pivots(pdf["_s"].to_numpy(), pdf[value].to_numpy(dtype=float), width)
+        points = pdf[keep].copy()
+        gap = points["_s"].diff()
+        points[SLOPE] = points[value].astype(float).diff().where(gap > 0) / gap.where(gap > 0)
+        # The first point of a later segment is the last one of the segment before.
+        return points.iloc[(points["_segment"] > 0).to_numpy().any() * 1 :][[*series, POS, ts, value, SLOPE]]
 
-    kept = slim.groupBy(*ordered.series, "_segment").applyInPandas(mark, f"{POS} bigint")
-    kept = kept.withColumn(KEPT, F.lit(True))
-    return ordered.df.join(kept, POS, "left").withColumn(KEPT, F.coalesce(KEPT, F.lit(False)))
+    kinds = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in (*series, POS, ts, value))
+    return in_segments.groupBy(*series, "_segment").applyInPandas(compress, f"{kinds}, {SLOPE} double")
+
+
+def every_point(ordered: OrderedRows, ts: str, value: str) -> DataFrame:
+    """All points with a value, with the slope per second from the one before."""
+    known = ordered.df.where(F.col(value).isNotNull()).select(*ordered.series, POS, ts, value)
+    point = F.struct(F.unix_micros(ts).alias("at"), F.col(value).alias("v"))
+    rows = ordered.with_df(known).running({"_before": ("last", point)}, exclusive=True)
+    seconds = (F.unix_micros(ts) - F.col("_before.at")) / 1e6
+    slope = F.when(seconds > 0, (F.col(value) - F.col("_before.v")) / seconds)
+    return rows.withColumn(SLOPE, slope).drop("_before")
 
 
 def ramp_rate(
@@ -82,17 +99,13 @@ def ramp_rate(
     name: str = "ramp_rate",
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Slope per second into the last kept point, carried to every row.
+    """Slope into the last kept point, carried to every row.
 
+    Rows before the first slope take that one; 0 where a series has none.
     ``width=None`` keeps every point.
     """
-    if width is None:
-        marked = ordered.df.withColumn(KEPT, F.col(value).isNotNull())
-    else:
-        marked = swinging_door(ordered, ts, value, width, segment_rows)
-    point = F.when(F.col(KEPT), F.struct(F.unix_micros(ts).alias("at"), F.col(value).alias("v")))
-    before = ordered.with_df(marked).running({"_before": ("last", point)}, exclusive=True)
-    seconds = (F.unix_micros(ts) - F.col("_before.at")) / 1e6
-    slope = F.when(F.col(KEPT) & (seconds > 0), (F.col(value) - F.col("_before.v")) / seconds)
-    sloped = before.withColumn(name, slope).drop("_before", KEPT)
-    return clean_and_fill(ordered.with_df(sloped), name)
+    points = every_point(ordered, ts, value) if width is None else swinging_door(ordered, ts, value, width, segment_rows)
+    slopes = points.where(F.col(SLOPE).isNotNull() & ~F.isnan(SLOPE) & (F.abs(SLOPE) != float("inf")))
+    slopes = stage(slopes.select(*ordered.series, POS, F.col(SLOPE).alias(name)), "slopes")
+    first = slopes.groupBy(*ordered.series).agg(F.min_by(name, POS).alias(name))
+    return ordered.carry(slopes, [name], first).withColumn(name, F.coalesce(name, F.lit(0.0)))

@@ -27,6 +27,40 @@ def rolling_volatility(frames: Frames, value: str, rows: int) -> Column:
     return F.when(full, F.stddev_samp(value).over(frame)).otherwise(F.lit(0.0))
 
 
+def volatility_steps(
+    frames: Frames, value: str, rows: Sequence[int] = DEFAULTS.volatility_rows
+) -> list[dict[str, Column]]:
+    """Rolling volatilities of several lengths, as columns to add step by step.
+
+    If the shortest length divides the others, its moments are taken once and a
+    longer window merges those of its blocks, which lie at fixed lags. A sliding
+    frame is evaluated anew for each row, so this costs the shortest frame only.
+    """
+    base = min(rows)
+    if any(k % base for k in rows):
+        return [{}, {}, {f"volatility_{k}s": rolling_volatility(frames, value, k) for k in rows}]
+    frame = frames.over(-(base - 1), 0)
+    full = F.count(value).over(frame) == base
+    moments = {
+        "_mean_0": F.when(full, F.avg(value).over(frame)),
+        "_var_0": F.when(full, F.var_samp(value).over(frame)),
+    }
+    # Named once: every use of a window expression would be a window column of its own.
+    blocks = range(1, max(rows) // base)
+    before = {f"_{m}_{i}": F.lag(f"_{m}_0", base * i).over(frames.window) for m in ("mean", "var") for i in blocks}
+
+    def merged(k: int) -> Column:
+        count = k // base
+        # Relative to the newest mean, so that a constant signal gives exactly 0.
+        shift = [F.col(f"_mean_{i}") - F.col("_mean_0") for i in range(1, count)]
+        centre = sum(shift, F.lit(0.0)) / count
+        spread = sum(((d - centre) * (d - centre) for d in shift), centre * centre)
+        squares = sum((F.col(f"_var_{i}") for i in range(1, count)), F.col("_var_0")) * (base - 1) + spread * base
+        return F.coalesce(F.sqrt(squares / (k - 1)), F.lit(0.0))
+
+    return [moments, before, {f"volatility_{k}s": merged(k) for k in rows}]
+
+
 def lagged(frames: Frames, value: str, rows: int, fill: float = DEFAULTS.lag_fill) -> Column:
     return F.coalesce(F.lag(value, rows).over(frames.window), F.lit(fill))
 
@@ -143,13 +177,13 @@ def advance_warning(
 
 
 def breach_episodes(ordered: OrderedRows, ts: str, value: str, threshold: float = DEFAULTS.unstable_low) -> DataFrame:
-    """Runs of consecutive rows below the threshold, one row per run."""
-    frames = ordered.framed(before=1)
+    """Runs of consecutive rows below the threshold, one row per run.
+
+    Rows of a run share the number of rows seen so far that are not below.
+    """
     low = F.coalesce(F.col(value) < threshold, F.lit(False))
-    rows = frames.rows.withColumn("_low", low)
-    rows = frames.trim(rows.withColumn("_was_low", F.lag("_low", 1, False).over(frames.window)))
-    start = F.when(F.col("_low") & ~F.col("_was_low"), F.col(POS))
-    runs = ordered.with_df(rows).running({"_run": ("last", start)}).where("_low")
+    rows = ordered.df.select(*ordered.series, POS, ts, value, low.alias("_low"))
+    runs = ordered.with_df(rows).running({"_run": ("sum", (~F.col("_low")).cast("bigint"))}).where("_low")
     return (
         runs.groupBy(*ordered.series, "_run")
         .agg(
@@ -162,16 +196,31 @@ def breach_episodes(ordered: OrderedRows, ts: str, value: str, threshold: float
     )
 
 
-def feature_columns(
-    frames: Frames, value: str = "grid_frequency", settings=DEFAULTS
-) -> tuple[Mapping[str, Column], Mapping[str, Column]]:
-    """The row-frame features in two steps: those on the signal, then those on the first."""
-    first = {"_diff": first_difference(frames, value)}
-    first.update({f"volatility_{k}s": rolling_volatility(frames, value, k) for k in settings.volatility_rows})
-    first.update({f"lag_{k}s": lagged(frames, value, k, settings.lag_fill) for k in settings.lag_rows})
-    first["target_freq_next"] = led(frames, value, settings.horizon_rows)
-    second = {
-        "rocof": smoothed_rate(frames, "_diff", settings.rocof_rows),
-        "target_is_unstable": instability_label("target_freq_next", settings.unstable_low, settings.unstable_high),
-    }
-    return first, second
+def feature_steps(frames: Frames, value: str = "grid_frequency", settings=DEFAULTS) -> list[dict[str, Column]]:
+    """The row-frame features as columns to add step by step, over one sort.
+
+    Names with a leading underscore are intermediate.
+    """
+    moments, before, volatilities = volatility_steps(frames, value, settings.volatility_rows)
+    return [
+        {
+            "_diff": first_difference(frames, value),
+            "target_freq_next": led(frames, value, settings.horizon_rows),
+            **{f"lag_{k}s": lagged(frames, value, k, settings.lag_fill) for k in settings.lag_rows},
+            **moments,
+        },
+        {"rocof": smoothed_rate(frames, "_diff", settings.rocof_rows), **before},
+        {
+            **volatilities,
+            "target_is_unstable": instability_label(
+                "target_freq_next", settings.unstable_low, settings.unstable_high
+            ),
+        },
+    ]
+
+
+def add_steps(rows: DataFrame, steps: Sequence[Mapping[str, Column]]) -> DataFrame:
+    """Add columns step by step and drop the intermediate ones."""
+    for step in steps:
+        rows = rows.withColumns(dict(step)) if step else rows
+    return rows.drop(*[c for step in steps for c in step if c.startswith("_")])

@@ -12,7 +12,7 @@ from ..operators.asof import asof_join
 from ..operators.layout import OrderedRows, order_rows
 from ..operators.select import calendar_parts, renewable_ratio
 from ..operators.swinging_door import ramp_rate
-from ..operators.windows import feature_columns
+from ..operators.windows import add_steps, feature_steps
 from ..settings import DEFAULTS
 
 
@@ -29,8 +29,7 @@ def row_features(ordered: OrderedRows, value: str = "grid_frequency", settings=D
     """All row-frame features and targets behind a single shuffle and sort."""
     back = max(*settings.volatility_rows, *settings.lag_rows, settings.rocof_rows + 1)
     frames = ordered.framed(before=back, after=settings.horizon_rows)
-    first, second = feature_columns(frames, value, settings)
-    return frames.trim(frames.rows.withColumns(first).withColumns(second)).drop("_diff")
+    return frames.trim(add_steps(frames.rows, feature_steps(frames, value, settings)))
 
 
 def build_features(

@@ -361,7 +361,11 @@ def _vol_sql(k, x="grid_frequency"):
 )
 def w3(spark, sf):
     return _framed(
-        spark, sf, 60, 0, lambda f: {f"volatility_{k}s": windows.rolling_volatility(f, _F, k) for k in (10, 30, 60)}
+        spark,
+        sf,
+        60,
+        0,
+        *[lambda f, i=i: windows.volatility_steps(f, _F, (10, 30, 60))[i] for i in range(3)],
     )
 
 
@@ -398,8 +402,7 @@ def w6(spark, sf):
 
 @query("w7_swinging_door")
 def w7(spark, sf):
-    marked = swinging_door(laid_out(spark, sf), "timestamp", "wind_speed", 0.5)
-    return out(marked.where("kept"), "series", "event_id", "timestamp", "wind_speed")
+    return out(swinging_door(laid_out(spark, sf), "timestamp", "wind_speed", 0.5), "series", "timestamp", "wind_speed", "slope")
 
 
 @query(
