@@ -61,7 +61,7 @@ class SequenceMonitor:
         scaled = ordered.with_df(ordered.df.withColumns(_scaled(self.features, self.lows, self.widths)))
         seq = sequences(scaled, [f"_s_{f}" for f in self.features], self.rows)
         kept = [c for c in ordered.df.columns if c != probability]
-        rows = self.model.transform(seq.withColumn("_features", _flat("sequence", self.features)))
+        rows = self.model.transform(seq.withColumn("_features", _flat("sequence", self.features, self.rows)))
         return rows.withColumn("_p", vector_to_array("_probability")[1]).select(*kept, F.col("_p").alias(probability))
 
 
@@ -69,9 +69,12 @@ def _scaled(features, lows, widths) -> dict[str, Column]:
     return {f"_s_{f}": (F.col(f) - lo) / w for f, lo, w in zip(features, lows, widths)}
 
 
-def _flat(column: str, features: Sequence[str]) -> Column:
+def _flat(column: str, features: Sequence[str], rows: int) -> Column:
+    """A window as one vector. Incomplete windows are filtered out, but the optimiser
+    may evaluate this first, so they give zeros rather than fail."""
     names = [f"_s_{f}" for f in features]
-    return array_to_vector(F.flatten(F.transform(column, lambda s: F.array(*[s[n].cast("double") for n in names]))))
+    flat = F.flatten(F.transform(column, lambda s: F.array(*[s[n].cast("double") for n in names])))
+    return array_to_vector(F.coalesce(flat, F.array_repeat(F.lit(0.0), rows * len(names))))
 
 
 def fit_sequence_monitor(
@@ -95,7 +98,7 @@ def fit_sequence_monitor(
     widths = tuple(float(span[2 * i + 1]) - lo or 1.0 for i, lo in enumerate(lows))
     scaled = train.with_df(train.df.withColumns(_scaled(features, lows, widths)))
     seq = sequences(scaled, [f"_s_{f}" for f in features], rows, label)
-    data = seq.select(_flat("sequence", features).alias("_features"), F.col("next_label").cast("double").alias("_y"))
+    data = seq.select(_flat("sequence", features, rows).alias("_features"), F.col("next_label").cast("double").alias("_y"))
     network = MultilayerPerceptronClassifier(
         featuresCol="_features",
         labelCol="_y",
