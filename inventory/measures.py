@@ -18,6 +18,7 @@ from .base import (
     out,
     query,
     r,
+    rounded,
     scored,
     scored_columns,
 )
@@ -254,7 +255,7 @@ def a16(spark, sf):
         "pinball_lower": metrics.pinball(_Y, "lower", 0.1),
     }
     table = metrics.period_comparison(rows, "period", "early", "late", cols)
-    return out(table.withColumn("change_pct", F.round("change_pct", 6)))
+    return out(table.withColumn("change_pct", rounded(F.col("change_pct"), 6)))
 
 
 @query(
@@ -425,7 +426,7 @@ _NEED = "CASE WHEN lower < 49.8 THEN (49.8 - lower + 0.01) * (2 * 4.0 * 35000.0)
 
 @query("d8_required_mw", _DECISION_SQL + f"SELECT event_id, {r(_NEED, 'required_mw', 6)} FROM dec")
 def d8(spark, sf):
-    need = F.round(alerts.required_mw("lower"), 6)
+    need = rounded(alerts.required_mw("lower"), 6)
     return out(decision_rows(spark, sf).select("event_id", need.alias("required_mw")))
 
 
@@ -435,7 +436,7 @@ def d8(spark, sf):
 )
 def d9(spark, sf):
     cost = alerts.intervention_cost(alerts.required_mw("lower"), "inertia_cost")
-    return out(decision_rows(spark, sf).select("event_id", F.round(cost, 4).alias("cost")))
+    return out(decision_rows(spark, sf).select("event_id", rounded(cost, 4).alias("cost")))
 
 
 @query(
@@ -453,7 +454,7 @@ def d10(spark, sf):
     ).withColumn("lower", F.round("lower", 9))
     swept = rows.groupBy("series", "mw").agg(
         F.count_if(alerts.dual_trigger("lower", _Y, THRESHOLD)).alias("alerts"),
-        F.round(F.avg(alerts.required_mw("lower", THRESHOLD)), 5).alias("mean_required_mw"),
+        rounded(F.avg(alerts.required_mw("lower", THRESHOLD)), 5).alias("mean_required_mw"),
         F.avg("renewable_penetration_ratio").alias("mean_ratio"),
     )
     return out(swept)

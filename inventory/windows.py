@@ -21,6 +21,7 @@ from .base import (
     out,
     query,
     r,
+    rounded,
     scored,
     signal,
     table,
@@ -440,7 +441,7 @@ def w9(spark, sf):
         "event_id",
         F.element_at("sequence", 1).alias("oldest"),
         F.element_at("sequence", -1).alias("newest"),
-        F.round(total, 6).alias("total"),
+        rounded(total, 6).alias("total"),
         "next_label",
     )
     return out(rows)

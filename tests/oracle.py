@@ -50,7 +50,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
         x, y = a[c], b[c]
         if x.dtype == "float64" and y.dtype == "float64":
             same = (x == y) | (x.isna() & y.isna())
-            close = np.isclose(x, y, rtol=0, atol=2e-9, equal_nan=True)
+            close = np.isclose(x, y, rtol=0, atol=2e-7, equal_nan=True)
         else:
             same = (x == y) | (x.isna() & y.isna())
             close = same
