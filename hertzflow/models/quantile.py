@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from ..operators.layout import order_rows
 from ..storage import stage
 
 _VECTOR, _LEAF, _TREE = "_features", "_leaf", "_tree"
@@ -115,6 +116,22 @@ def fit_quantile_boost(
     return model
 
 
+def permutation_importance(
+    df: DataFrame, predict, features: Sequence[str], loss: Column, key: Sequence[str], seed: int = 42
+) -> list[tuple[str, float]]:
+    """Rise of ``loss``, an aggregate over predicted rows, when a feature is shuffled among rows.
+
+    Rows are put in a pseudo-random order once; each takes the feature of the row
+    before it, which shuffles all rows without gathering any.
+    """
+    draw = F.xxhash64(F.lit(seed), *key)
+    frames = order_rows(df.withColumn("_draw", draw), [], ["_draw", *key]).framed(before=1)
+    moved = {f"_moved_{f}": F.coalesce(F.lag(f).over(frames.window), F.col(f)) for f in features}
+    rows = stage(frames.trim(frames.rows.withColumns(moved)), "permuted")
+    base = predict(rows).agg(loss).first()[0]
+    return [(f, predict(rows.withColumn(f, F.col(f"_moved_{f}"))).agg(loss).first()[0] - base) for f in features]
+
+
 def grid_key(column: str, step: float) -> Column:
     """Cell number of a value on a grid."""
     return F.floor(F.col(column) / step).cast("bigint")

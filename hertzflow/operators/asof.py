@@ -73,29 +73,28 @@ def _bounded_intervals(right, right_on, by, tie):
     if size is None:
         return None
     at = F.unix_micros(F.col(right_on).cast("timestamp"))
-    right = right.where(F.col(right_on).isNotNull())
-    n, low, high, n_bytes = right.agg(F.count("*"), F.min(at), F.max(at), F.sum(size)).first()
+    right = right.where(F.col(right_on).isNotNull()).withColumn("_from", at)
+    groups = F.count_distinct(F.struct(*by)) if by else F.lit(1)
+    n, low, high, n_bytes, groups = right.agg(F.count("*"), F.min("_from"), F.max("_from"), F.sum(size), groups).first()
     if n == 0 or n > MAX_BROADCAST_ROWS or n_bytes > MAX_BROADCAST_BYTES:
         return None
-    groups = right.select(*by).distinct().count() if by else 1
-    # Buckets no finer than the mean gap: every group adds at most its share of them.
+    # Buckets no finer than the mean gap. An interval covers the buckets up to the next
+    # start, so a group adds at most its rows and the number of buckets: about 2 n in all.
     width = max(1, (high - low) * groups // n + 1)
     last_bucket = high // width
+    # A bucket holds the rows that start in it and one that reaches into it.
+    starts = right.groupBy(*by, F.expr(f"_from div {width}")).count()
+    if starts.agg(F.max("count")).first()[0] >= MAX_ROWS_PER_BUCKET:
+        return None
 
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    latest = in_group.partitionBy(*by, "_from").orderBy(*[F.col(c).desc() for c in tie] or [F.lit(0)])
-    rows = right.withColumn("_from", at)
-    rows = rows.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", right_on)
+    latest = Window.partitionBy(*by, "_from").orderBy(*[F.col(c).desc() for c in tie] or [F.lit(0)])
+    rows = right.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", right_on)
     rows = rows.withColumn("_until", F.lead("_from").over(in_group.orderBy("_from")))
     rows = rows.withColumn(
         "_bucket",
         F.explode(F.expr(f"sequence(_from div {width}, coalesce(_until div {width}, {last_bucket}L))")),
     )
-    exploded, densest = (
-        rows.groupBy(*by, "_bucket").count().agg(F.sum("count"), F.max("count")).first()
-    )
-    if exploded > 4 * MAX_BROADCAST_ROWS or densest > MAX_ROWS_PER_BUCKET:
-        return None
     return rows, width, last_bucket
 
 

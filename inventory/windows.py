@@ -312,6 +312,22 @@ def j6_fill(spark, sf):
     return out(resample.fill_linear(knots, ["station"], "timestamp", ["solar_radiation"]), "timestamp", "solar_radiation")
 
 
+@query(
+    "j6_asof_interpolated",
+    "WITH "
+    + SIGNAL_SQL
+    + f""", k AS (SELECT h, wind_speed, lead(h) OVER (ORDER BY h) AS nh, lead(wind_speed) OVER (ORDER BY h) AS nw FROM hourly),
+    j AS (SELECT s.event_id, k.*, (epoch_us(s.timestamp) - epoch_us(k.h)) // 1000000 * 1000000 AS e
+      FROM sig s ASOF LEFT JOIN k ON s.timestamp >= k.h)
+    SELECT event_id, {r('CASE WHEN nh IS NULL OR e = 0 THEN wind_speed ELSE wind_speed + (nw - wind_speed) * (e / (epoch_us(nh) - epoch_us(h))) END', 'wind_speed')}
+    FROM j""",
+)
+def j6_at(spark, sf):
+    slow = hourly(spark, sf).select("timestamp", "wind_speed")
+    rows = resample.asof_interpolated(signal(spark, sf), slow, "timestamp", ["wind_speed"])
+    return out(rows, "event_id", "wind_speed")
+
+
 # ---- row-frame features ----------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hertzflow.operators import asof
-from hertzflow.operators.resample import fill_linear, upsample_linear
+from hertzflow.operators.resample import asof_interpolated, fill_linear, upsample_linear
 
 
 def stamp(s):
@@ -106,3 +106,19 @@ def test_nearest_row_prefers_the_earlier_on_a_tie(spark):
     targets = targets.withColumn("day", F.to_date("at"))
     got = asof.nearest_row(df, targets, "ts", "at", ["day"], ["label"])
     assert {r.label: r.id for r in got.collect()} == {"x": 1, "y": 3}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "sorted"])
+def test_interpolated_asof_equals_upsampling_then_joining(spark, strategy):
+    rng = np.random.default_rng(4)
+    knots = [("a", stamp(int(s)), None if i in (3, 9) else float(i * i % 17)) for i, s in enumerate(np.cumsum(rng.integers(5, 90, 12)))]
+    slow = spark.createDataFrame(knots, "g string, ts timestamp, v double")
+    rows = [("a", stamp(0) + dt.timedelta(milliseconds=int(m)), i) for i, m in enumerate(rng.integers(0, 800_000, 300))]
+    left = spark.createDataFrame(rows, "g string, ts timestamp, id bigint")
+    grid = upsample_linear(slow, ["g"], "ts", ["v"])
+    want = asof.asof_join(left, grid.withColumnRenamed("ts", "gts"), "ts", right_on="gts", by=["g"], left_tie=["id"])
+    got = asof_interpolated(left, slow, "ts", ["v"], by=["g"], left_tie=["id"], strategy=strategy)
+    a, b = ({r.id: r.v for r in d.collect()} for d in (got, want))
+    assert a.keys() == b.keys() and sum(v is None for v in a.values()) > 0
+    for k in a:
+        assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], abs=1e-9)

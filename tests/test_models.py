@@ -33,6 +33,15 @@ def test_boosted_quantiles_cover(noisy, bounds):
     assert share["a"] > share["b"] and sum(share.values()) == pytest.approx(100)
 
 
+def test_permutation_importance_finds_the_used_feature(noisy, bounds):
+    got = dict(
+        quantile.permutation_importance(
+            noisy, lambda d: bounds[0].transform(d, "q"), ["a", "b"], metrics.pinball("y", "q", 0.1), ["t"]
+        )
+    )
+    assert got["a"] > 0.1 and abs(got["b"]) < 0.05
+
+
 def test_saved_model_predicts_the_same(spark, noisy, bounds, tmp_path):
     bounds[0].save(spark, str(tmp_path / "m"))
     loaded = quantile.QuantileBoost.load(spark, str(tmp_path / "m"))
