@@ -167,6 +167,16 @@ def conformal_shift(calibration: DataFrame, label: str, prediction: str, alpha:
     return exact_quantiles(errors, [], "_error", [alpha]).first()["quantile"]
 
 
+def conformal_bounds(
+    calibration: DataFrame, label: str, bounds: Sequence[str], alphas: Sequence[float]
+) -> tuple[float, ...]:
+    """The shift of each bound to its own level, with the errors of all bounds ordered together."""
+    each = [F.struct(F.lit(i).alias("_bound"), (F.col(label) - F.col(q)).alias("_error")) for i, q in enumerate(bounds)]
+    errors = calibration.select(F.inline(F.array(*each)))
+    found = {(r._bound, r.alpha): r["quantile"] for r in exact_quantiles(errors, ["_bound"], "_error", alphas).collect()}
+    return tuple(found[i, float(a)] for i, a in enumerate(alphas))
+
+
 def conformal_shifts(
     calibration: DataFrame, label: str, prediction: str, alpha: float, by: Sequence[str], name: str = "shift"
 ) -> DataFrame:

@@ -12,19 +12,25 @@ within a series; add an id column as tie-break.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..storage import stage
+from ..storage import work_path
 
 POS = "_pos"
 CHUNK = "_chunk"
 _LOCAL = "_local"
 _PART = "_part"
 _SEED = "_seed"
+_LAYOUT_SCHEMA = (
+    "columns string, series array<string>, `order` array<string>, "
+    "parts array<struct<part: bigint, start: bigint>>, total bigint"
+)
 
 MIN_CHUNK = 1024
 # Window partitions up to this many rows are held as plain rows in memory; it is the
@@ -138,33 +144,51 @@ def order_rows(
     *,
     chunk_rows: int | None = None,
     partitions: int | None = None,
+    path: str | None = None,
 ) -> OrderedRows:
     """Order ``df`` by (series, order) and number its rows from 0 without gaps.
 
     The ordered rows are written once: both the partition counts and every later
     reader must see the same range bounds, and bounds are sampled anew whenever
-    the shuffle is planned anew.
+    the shuffle is planned anew. With ``path`` the layout is kept there, and
+    ``open_rows`` finds it again without ordering anything.
     """
+    spark = df.sparkSession
     keys = [F.col(c) for c in (*series, *order)]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     local = ranged.sortWithinPartitions(*keys).withColumn(_LOCAL, F.monotonically_increasing_id())
-    local = stage(local, "ordered").withColumn(_PART, F.shiftright(_LOCAL, 33))
+    root = path or work_path(spark, "ordered")
+    local.write.mode("overwrite").parquet(f"{root}/rows")
+    local = spark.read.schema(local.schema).parquet(f"{root}/rows")
 
     # One row per range partition: bounded by the task count of the shuffle.
-    counts = sorted(local.groupBy(_PART).count().collect())
+    counts = sorted(local.groupBy(F.shiftright(_LOCAL, 33)).count().collect())
     starts, total = [], 0
     for part, count in counts:
         starts.append((part, total))
         total += count
-    spark = df.sparkSession
-    offsets = spark.createDataFrame(starts, f"{_PART} bigint, _start bigint")
+    if path:
+        row = (local.schema.json(), list(series), list(order), starts, total)
+        # Written last: a folder with it holds a complete layout.
+        spark.createDataFrame([row], _LAYOUT_SCHEMA).write.mode("overwrite").json(f"{root}/layout")
+    return _placed(local, series, order, starts, total, chunk_rows)
+
+
+def open_rows(spark: SparkSession, path: str, *, chunk_rows: int | None = None) -> OrderedRows:
+    """A layout kept by ``order_rows(..., path=path)``."""
+    row = spark.read.schema(_LAYOUT_SCHEMA).json(f"{path}/layout").first()
+    schema = StructType.fromJson(json.loads(row.columns))
+    local = spark.read.schema(schema).parquet(f"{path}/rows")
+    return _placed(local, row.series, row.order, [tuple(p) for p in row.parts], row.total, chunk_rows)
+
+
+def _placed(local: DataFrame, series, order, starts, total, chunk_rows) -> OrderedRows:
+    columns = [c for c in local.columns if c != _LOCAL]
+    offsets = local.sparkSession.createDataFrame(starts, f"{_PART} bigint, _start bigint")
     position = F.col(_LOCAL).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start")
-    placed = (
-        local.join(F.broadcast(offsets), _PART)
-        .withColumn(POS, position)
-        .select(*df.columns, POS)
-    )
-    return OrderedRows(placed, tuple(series), tuple(order), total, chunk_rows)
+    rows = local.withColumn(_PART, F.shiftright(_LOCAL, 33)).join(F.broadcast(offsets), _PART)
+    rows = rows.withColumn(POS, position).select(*columns, POS)
+    return OrderedRows(rows, tuple(series), tuple(order), total, chunk_rows)
 
 
 def _total(kind: str, name: str, pos: str, backward: bool) -> Column:

@@ -18,34 +18,25 @@ SLOPE = "slope"
 def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
     """Mask of the points to keep: the corridor of ``width`` around the line from the
     last kept point narrows with every point; when it closes, the previous one is kept."""
-    n = len(values)
-    keep = np.zeros(n, dtype=bool)
-    if n == 0:
-        return keep
-    keep[0] = keep[-1] = True
+    t, v = np.asarray(seconds).tolist(), np.asarray(values).tolist()
+    n = len(v)
+    kept = {0, n - 1} if n else set()
     start, low, high = 0, -np.inf, np.inf
     for i in range(1, n):
-        gap = seconds[i] - seconds[start]
-        if gap <= 0:
+        gap, rise = t[i] - t[start], v[i] - v[start]
+        if gap > 0 and not low * gap <= rise <= high * gap:
+            start, low, high = i - 1, -np.inf, np.inf
+            kept.add(start)
+            gap, rise = t[i] - t[start], v[i] - v[start]
+        if gap > 0:
+            low, high = max(low, (rise - width) / gap), min(high, (rise + width) / gap)
+        else:
             # No slope exists between points of one instant: keep both.
-            keep[i] = True
             start, low, high = i, -np.inf, np.inf
-            continue
-        rise = values[i] - values[start]
-        slope = rise / gap
-        if i - 1 > start and not low <= slope <= high:
-            start = i - 1
-            keep[start] = True
-            low, high = -np.inf, np.inf
-            gap = seconds[i] - seconds[start]
-            rise = values[i] - values[start]
-            if gap <= 0:
-                keep[i] = True
-                start = i
-                continue
-        low = max(low, (rise - width) / gap)
-        high = min(high, (rise + width) / gap)
-    return keep
+            kept.add(i)
+    mask = np.zeros(n, dtype=bool)
+    mask[list(kept)] = True
+    return mask
 
 
 def swinging_door(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import day_summary, aggregate
 from ..models.calibrate import fit_isotonic
 from ..models.classify import classify, fit_instability_classifier
-from ..models.quantile import QuantileBoost, conformal_shift, fit_quantile_boost
+from ..models.quantile import QuantileBoost, conformal_bounds, fit_quantile_boost
 from ..operators.asof import asof_join
 from ..operators.layout import OrderedRows
 from ..operators.resample import asof_interpolated
@@ -109,7 +109,7 @@ def run(
     if recalibrate == "isotonic":
         fix = {"calibrators": tuple(fit_isotonic(held, q, target) for q in ("lower", "upper"))}
     elif recalibrate == "shift":
-        fix = {"shifts": tuple(conformal_shift(held, target, q, a) for q, a in zip(("lower", "upper"), DEFAULTS.alphas))}
+        fix = {"shifts": conformal_bounds(held, target, ("lower", "upper"), DEFAULTS.alphas)}
     else:
         fix = {}
     monitor = fit_instability_classifier(

@@ -148,7 +148,7 @@ def m5(spark, sf):
 def m6(spark, sf):
     rows = scored(spark, sf)
     held = _held_out(rows)
-    shifts = tuple(quantile.conformal_shift(held, _Y, q, a) for q, a in (("lower", 0.1), ("upper", 0.9)))
+    shifts = quantile.conformal_bounds(held, _Y, ("lower", "upper"), (0.1, 0.9))
     return out(score(_test(rows), lambda d: d, shifts=shifts), "event_id", "lower", "upper")
 
 
