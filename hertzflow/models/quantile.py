@@ -15,6 +15,9 @@ from ..operators.layout import order_rows
 from ..storage import stage
 
 _VECTOR, _LEAF, _TREE = "_features", "_leaf", "_tree"
+_SAVED = (
+    "features array<string>, alpha double, base double, rates array<double>, leaf_values array<array<double>>"
+)
 
 
 @dataclass
@@ -24,14 +27,14 @@ class QuantileBoost:
     features: list[str]
     alpha: float
     base: float
-    learning_rate: float
+    rates: list[float] = field(default_factory=list)
     trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
     leaf_values: list[list[float]] = field(default_factory=list)
 
     def transform(self, df: DataFrame, prediction: str) -> DataFrame:
         rows = assemble(df, self.features).withColumn(prediction, F.lit(self.base))
-        for tree, values in zip(self.trees, self.leaf_values):
-            rows = _add_tree(rows, tree, values, self.learning_rate, prediction)
+        for tree, values, rate in zip(self.trees, self.leaf_values, self.rates):
+            rows = _add_tree(rows, tree, values, rate, prediction)
         return rows.drop(_VECTOR)
 
     def importances(self) -> list[tuple[str, float]]:
@@ -41,19 +44,18 @@ class QuantileBoost:
         return [(f, 100.0 * float(v)) for f, v in zip(self.features, mean)]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        row = (self.features, self.alpha, self.base, self.learning_rate, self.leaf_values)
-        schema = "features array<string>, alpha double, base double, learning_rate double, leaf_values array<array<double>>"
+        row = (self.features, self.alpha, self.base, self.rates, self.leaf_values)
         for i, tree in enumerate(self.trees):
             tree.write().overwrite().save(f"{path}/trees/{i:04d}")
         # Written last: a folder with it holds a complete model.
-        spark.createDataFrame([row], schema).write.mode("overwrite").json(f"{path}/model")
+        spark.createDataFrame([row], _SAVED).write.mode("overwrite").json(f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> QuantileBoost:
-        schema = "features array<string>, alpha double, base double, learning_rate double, leaf_values array<array<double>>"
-        row = spark.read.schema(schema).json(f"{path}/model").first()
+        row = spark.read.schema(_SAVED).json(f"{path}/model").first()
         trees = [DecisionTreeRegressionModel.load(f"{path}/trees/{i:04d}") for i in range(len(row.leaf_values))]
-        return cls(list(row.features), row.alpha, row.base, row.learning_rate, trees, [list(v) for v in row.leaf_values])
+        leaves = [list(v) for v in row.leaf_values]
+        return cls(list(row.features), row.alpha, row.base, list(row.rates), trees, leaves)
 
 
 def assemble(df: DataFrame, features: Sequence[str], vector: str = _VECTOR) -> DataFrame:
@@ -75,25 +77,27 @@ def fit_quantile_boost(
     *,
     rounds: int = 20,
     depth: int = 5,
-    learning_rate: float = 0.25,
+    learning_rate: float = 0.1,
     seed: int = 42,
     stage_every: int = 5,
 ) -> QuantileBoost:
     """Boosting for the pinball loss on distributed trees.
 
-    Each round grows a tree on the sign of the residuals and then sets each leaf
-    to the quantile of its residuals, a mergeable sketch per leaf. Only the leaf
-    values, at most ``2 ** depth``, reach the driver. Running predictions are
+    The first tree is grown on the labels and taken in full, so that the model
+    starts near the conditional quantile; each later one is grown on the sign of
+    the residuals, which sees spread but not distance, and added at the learning
+    rate. Leaves are set to the quantile of their residuals, a mergeable sketch
+    per leaf. Only the leaf values, at most ``2 ** depth``, reach the driver. Running predictions are
     written out every few rounds, so a lost executor repeats a few rounds at most.
     """
     rows = assemble(df.where(F.col(label).isNotNull()), features).select(_VECTOR, F.col(label).cast("double").alias("_y"))
     rows = stage(rows, "boost")
     base = rows.agg(F.percentile_approx("_y", alpha, 10_000)).first()[0]
-    model = QuantileBoost(list(features), alpha, base, learning_rate)
+    model = QuantileBoost(list(features), alpha, base)
     rows = rows.withColumn("_at", F.lit(base))
     grower = DecisionTreeRegressor(
         featuresCol=_VECTOR,
-        labelCol="_sign",
+        labelCol="_goal",
         predictionCol=_TREE,
         leafCol=_LEAF,
         maxDepth=depth,
@@ -101,8 +105,9 @@ def fit_quantile_boost(
         minInstancesPerNode=20,
     )
     for i in range(rounds):
-        signed = rows.withColumn("_sign", F.when(F.col("_y") > F.col("_at"), alpha).otherwise(alpha - 1.0))
-        tree = grower.fit(signed)
+        sign = F.when(F.col("_y") > F.col("_at"), alpha).otherwise(alpha - 1.0)
+        rate = learning_rate if i else 1.0
+        tree = grower.fit(rows.withColumn("_goal", sign if i else F.col("_y")))
         refit = tree.transform(rows).groupBy(_LEAF).agg(
             F.percentile_approx(F.col("_y") - F.col("_at"), alpha, 10_000).alias("v")
         )
@@ -110,7 +115,8 @@ def fit_quantile_boost(
         values = [found.get(leaf, 0.0) for leaf in range(max(found) + 1)]
         model.trees.append(tree)
         model.leaf_values.append(values)
-        rows = _add_tree(rows, tree, values, learning_rate, "_at")
+        model.rates.append(rate)
+        rows = _add_tree(rows, tree, values, rate, "_at")
         if (i + 1) % stage_every == 0 and i + 1 < rounds:
             rows = stage(rows, "boost")
     return model

@@ -71,7 +71,7 @@ def build(
 
 
 def fit_bounds(
-    table: DataFrame, periods: Periods, *, rounds: int = 20, depth: int = 5, learning_rate: float = 0.25
+    table: DataFrame, periods: Periods, *, rounds: int = 20, depth: int = 5, learning_rate: float = 0.1
 ) -> tuple[QuantileBoost, QuantileBoost]:
     shape = dict(rounds=rounds, depth=depth, learning_rate=learning_rate)
     train = periods.train_rows(table)
@@ -95,7 +95,7 @@ def run(
     fmt: str = "parquet",
     rounds: int = 20,
     depth: int = 5,
-    learning_rate: float = 0.25,
+    learning_rate: float = 0.1,
 ) -> dict[str, DataFrame]:
     """Run the job and return its tables; features, decisions, models and the test slice are under ``out``."""
     built = build(spark, paths, start, end, fmt=fmt)

@@ -57,7 +57,7 @@ def boosts(spark, sf) -> tuple:
         train = feature_table(spark, sf).df.where(F.col("timestamp") < _at(_CAL))
         _BOOSTS[key] = tuple(
             quantile.fit_quantile_boost(
-                train, MODEL_FEATURES, "target_freq_next", a, rounds=_ROUNDS, depth=_DEPTH, learning_rate=0.4
+                train, MODEL_FEATURES, "target_freq_next", a, rounds=_ROUNDS, depth=_DEPTH, learning_rate=0.2
             )
             for a in (0.1, 0.9)
         )

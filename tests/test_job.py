@@ -37,7 +37,7 @@ def test_run(spark, raw, tmp_path, recalibrate):
     periods = Periods("2019-08-09 01:30:00", "2019-08-09 02:15:00", "2019-08-09 03:00:00")
     tables = run(
         spark, raw, str(tmp_path / "out"), "2019-08-09", "2019-08-10", periods,
-        recalibrate=recalibrate, rounds=4, depth=4, learning_rate=0.6,
+        recalibrate=recalibrate, rounds=4, depth=5, learning_rate=0.2,
     )
     m = tables["metrics"].first()
     assert m.rows == 45 * 60 - 10

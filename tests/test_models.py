@@ -20,7 +20,7 @@ def noisy(spark):
 
 @pytest.fixture(scope="module")
 def bounds(noisy):
-    return [quantile.fit_quantile_boost(noisy, ["a", "b"], "y", q, rounds=8, depth=3, learning_rate=0.6, stage_every=3) for q in (0.1, 0.9)]
+    return [quantile.fit_quantile_boost(noisy, ["a", "b"], "y", q, rounds=8, depth=3, learning_rate=0.2, stage_every=3) for q in (0.1, 0.9)]
 
 
 def test_boosted_quantiles_cover(noisy, bounds):
