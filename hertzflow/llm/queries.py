@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, license_scan
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,60 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op7_decontamination",
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+w AS (
+  SELECT DISTINCT item_id, list_slice(ws, i, i + 9) AS win
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i FROM b WHERE len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT len(win) AS k FROM w),
+p AS (
+  SELECT doc_id, i, k, list_slice(ws, i, i + k - 1) AS win
+  FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM d, sizes WHERE len(ws) >= k)
+),
+occ AS (SELECT p.doc_id, p.i, p.k, w.item_id FROM p JOIN w ON p.win = w.win),
+hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS pos FROM (SELECT DISTINCT doc_id, i, k FROM occ)) GROUP BY 1
+),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query("op2_license_scan", license_scan.scan_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["times"].cast("string")))
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(each, ",").alias("licenses"),
+        F.sha2(F.col("by_line").cast("binary"), 256).alias("sequence_sha256"),
+    )
