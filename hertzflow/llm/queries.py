@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan
+from . import bpe, decontaminate, jaccard_trie, license_scan, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,23 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(each, ",").alias("licenses"),
         F.sha2(F.col("by_line").cast("binary"), 256).alias("sequence_sha256"),
     )
+
+
+@query("op6_jaccard_trie")
+def op6_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard_trie.jaccard_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
+def fold(doc_id: str, of: int = 5):
+    return F.crc32(F.col(doc_id).cast("string")) % of
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id") == 0
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, net, out="score").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
