@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity
+from ..storage import work_path
+from . import bpe, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +132,25 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query(
+    "op5_warc",
+    """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest FROM pages
+),
+g AS (SELECT payload_digest, max(page_id) AS origin FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN page_id < origin AND payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < origin AND payload_bytes >= 1000 THEN origin END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+""",
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, keep_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
