@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path
-from . import bpe, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc
+from . import bpe, chat_tree, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, keep_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op9_chat_tree")
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], chats.schema)
+    return chat_tree.digests(chat_tree.read_back(chat_tree.format_chats(chats.union(more))))
