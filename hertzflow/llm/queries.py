@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path
-from . import bpe, chat_tree, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc
+from . import bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,8 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], chats.schema)
     return chat_tree.digests(chat_tree.read_back(chat_tree.format_chats(chats.union(more))))
+
+
+@query("op1_cross_polytope")
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
