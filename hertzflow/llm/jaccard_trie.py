@@ -3,12 +3,13 @@
 A document's set holds its distinct word n-grams. Two documents link when
 100 * intersection >= percent * union. The join goes in steps that each see all rows:
 
-1. Every text becomes its set once; equal sets share one set id, so copies are never
-   compared. The same pass counts in how many texts the n-grams of each of 2^17 cells occur.
-2. N-grams are ordered by (cell count, hash), rare ones first, which is one order for the
-   whole corpus. Linked sets must share an n-gram of their prefixes. Sets that share one
-   and whose sizes allow a link are chained, and chains are closed to families. All links
-   lie within families; sets without a partner leave here.
+1. Every text becomes its set; equal sets share one set id, so copies are never compared.
+2. N-grams have one order for the whole corpus: first those whose hash falls into
+   ``SHARE`` sixteenths of all, by the number of sets that hold them, then the others by
+   hash. Linked sets must share an n-gram of their prefixes in it. As the first part is
+   longer than a prefix, only its n-grams are counted, and a set with enough n-grams of
+   its own leaves here. Sets that share a prefix n-gram and whose sizes allow a link are
+   chained, and chains are closed to families; all links lie within families.
 3. A family's sets are shipped once and stored in a trie. Each set then traverses the
    trie: sets below a node share the overlap counted on the way to it, and a subtree is
    pruned when its overlap plus what can still be shared stays under the bound. A family
@@ -17,7 +18,9 @@ A document's set holds its distinct word n-grams. Two documents link when
 4. A set that is already connected to all of a trie needs no further traversal: each task
    returns a spanning forest of the links it found, and their components are the classes.
 
-Broadcast is the cell table only, of fixed size. Nulls and texts without words have an
+Nothing of unknown size is broadcast: the family table only where it has at most
+``BROADCAST_ROWS`` rows, else the join is shuffled. Counts stop at ``MOST`` sets, as a
+tie, so that no task holds all sets of an n-gram. Nulls and texts without words have an
 empty set and link with nothing. Texts of fewer than n words have one n-gram, the whole
 sequence. Rows that repeat a doc_id are reported each, in one class if their sets are
 equal. N-grams are compared by 64-bit hashes. Only id and text are read.
@@ -36,7 +39,9 @@ from ..storage import stage
 from .components import Forest, components
 from .words import mix, runs, shingle_hashes, word_hashes
 
-CELL_BITS = 17
+SHARE = 5
+MOST = 1 << 15
+BROADCAST_ROWS = 500_000
 BLOCK_NGRAMS = 1_000_000
 TEXTS = 500
 
@@ -53,20 +58,11 @@ def set_id(ngrams: np.ndarray) -> int:
     return int(mix(mix(both[:1]) + both[1:] + np.uint64(len(ngrams)))[0].astype(np.int64))
 
 
-def cells(ngrams: np.ndarray) -> np.ndarray:
-    return (ngrams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def needed(total, percent: int):
     """Smallest intersection of two sets whose sizes sum to ``total``."""
     return -(-percent * total // (100 + percent))
 
 
-def ordered(ngrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rare n-grams first."""
-    return ngrams[np.lexsort((ngrams, counts[cells(ngrams)]))]
-
-
 def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
     for lo in range(0, len(pdf), TEXTS):
         yield pdf.iloc[lo : lo + TEXTS]
@@ -74,49 +70,118 @@ def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 def _profiles(size: int):
     def rows(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
         for pdf in batches:
             for part in _parts(pdf):
-                sets = list(text_sets(part["text"], size))
-                counts += np.bincount(cells(np.concatenate(sets)), minlength=len(counts))
-                found = [(len(x), set_id(x) if len(x) else None) for x in sets]
+                found = [(len(x), set_id(x) if len(x) else None) for x in text_sets(part["text"], size)]
                 n, ids = zip(*found, strict=True)
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"].to_numpy(), "n": n, "set_id": pd.array(ids, "Int64"), "cell": -1}
-                )
-        cell = np.flatnonzero(counts)
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(cell), "Int64"), "n": counts[cell], "set_id": None, "cell": cell})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, "set_id": pd.array(ids, "Int64")})
 
     return rows
 
 
-def _prefixes(size: int, percent: int, shared):
+def leading(ngrams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The n-grams that the prefix can be taken from, and how many of them it leaves over."""
+    n = len(ngrams)
+    prefix = n + (-percent * n // 100) + 1
+    counted = (ngrams & np.uint64(15)) < SHARE
+    front = ngrams[counted]
+    if len(front) < prefix:
+        front = np.concatenate([front, ngrams[~counted][: prefix - len(front)]])
+    return front, len(front) - prefix
+
+
+def _leads(size: int, percent: int):
+    """(token, set_id, shape) of each set of a partition; shape is n and what the prefix leaves over."""
+
     def rows(batches):
-        counts, seen = shared.value, set()
+        seen = set()
         for pdf in batches:
             for part in _parts(pdf):
-                tokens, sizes, ids = [], [], []
+                tokens, ids, shapes = [], [], []
                 for ngrams in text_sets(part["text"], size):
-                    n = len(ngrams)
-                    if not n or (me := set_id(ngrams)) in seen:
+                    if not len(ngrams) or (me := set_id(ngrams)) in seen:
                         continue
                     seen.add(me)
-                    lead = ordered(ngrams, counts)[: n + (-percent * n // 100) + 1]
-                    tokens.append(lead)
-                    sizes.append(np.full(len(lead), n, np.int32))
-                    ids.append(np.full(len(lead), me, np.int64))
+                    front, over = leading(ngrams, percent)
+                    tokens.append(front)
+                    ids.append(np.full(len(front), me, np.int64))
+                    shapes.append(np.full(len(front), len(ngrams) << 32 | over, np.int64))
                 if tokens:
                     yield pd.DataFrame(
                         {
-                            "token": np.concatenate(tokens).astype(np.int64),
-                            "n": np.concatenate(sizes),
+                            "token": np.concatenate(tokens).view(np.int64),
                             "set_id": np.concatenate(ids),
+                            "shape": np.concatenate(shapes),
                         }
                     )
 
     return rows
 
 
+def _counted(batches):
+    """Of a partition sorted by (token, set_id): the rows of tokens that several sets hold,
+    with their number of sets. Tokens outside the counted part come after all others."""
+    held = None  # the rows of the last token so far, up to MOST of them
+    over = False  # whether it has more, so that its rows pass as they come
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        token, ids = pdf["token"].to_numpy(), pdf["set_id"].to_numpy()
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        distinct = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+        skip_first = over  # then the held row was passed on already
+        run = np.cumsum(new) - 1
+        count = np.bincount(run, weights=distinct).astype(np.int64)
+        if over:
+            count[0] = MOST
+        count = np.minimum(count, MOST)
+        last = run == run[-1]
+        full = count[-1] >= MOST
+        out = distinct & (count[run] >= 2) & (~last | full)
+        if skip_first:
+            out[0] = False
+        yield _with_count(pdf[out], count[run][out])
+        over = bool(full)
+        held = pdf[last & distinct].iloc[-1:] if over else pdf[last & distinct]
+    if held is not None and not over and len(held) >= 2:
+        yield _with_count(held, np.full(len(held), len(held), np.int64))
+
+
+def _with_count(rows: pd.DataFrame, count: np.ndarray) -> pd.DataFrame:
+    counted = (rows["token"].to_numpy().view(np.uint64) & np.uint64(15)) < SHARE
+    return rows.assign(sets=np.where(counted, count, MOST + 1))
+
+
+def _prefixes(batches):
+    """Of a partition sorted by (set_id, sets, token): the prefix tokens that other sets hold too."""
+    for run in _whole_sets(batches):
+        ids = run["set_id"].to_numpy()
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(ids)))
+        place = np.arange(len(ids)) - np.repeat(start, size)
+        shape = run["shape"].to_numpy()
+        chosen = place < np.repeat(size, size) - (shape & 0xFFFFFFFF)
+        yield pd.DataFrame({"token": run["token"].to_numpy()[chosen], "n": shape[chosen] >> 32, "set_id": ids[chosen]})
+
+
+def _whole_sets(batches):
+    """Batches that end where a set ends."""
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pd.concat([held, pdf], ignore_index=True) if held is not None else pdf
+        last = pdf["set_id"].to_numpy() == pdf["set_id"].iloc[-1]
+        if not last.all():
+            yield pdf[~last]
+        held = pdf[last]
+    if held is not None:
+        yield held
+
+
 def _chains(percent: int):
     """Neighbours within a token's sets by size. Where a size is under ``percent`` of the
     next, no smaller set can link with that or a larger one, and the chain may break."""
@@ -290,16 +355,14 @@ def jaccard_classes(
     sets) and component_id, the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id bigint, n bigint, set_id bigint, cell bigint"
-    profile = stage(source.mapInPandas(_profiles(size), schema), "set-profiles")
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    # At most 2^CELL_BITS rows.
-    for cell, n in profile.where("cell >= 0").groupBy("cell").agg(F.sum("n")).collect():
-        counts[cell] = n
-    shared = spark.sparkContext.broadcast(counts)
-    profile = profile.where("cell < 0").select("doc_id", "n", "set_id")
-
-    prefixes = source.mapInPandas(_prefixes(size, percent, shared), "token bigint, n int, set_id bigint")
+    profile = stage(source.mapInPandas(_profiles(size), "doc_id bigint, n bigint, set_id bigint"), "set-profiles")
+
+    leads = source.mapInPandas(_leads(size, percent), "token bigint, set_id bigint, shape bigint")
+    counted = leads.repartition("token").sortWithinPartitions("token", "set_id").mapInPandas(
+        _counted, "token bigint, set_id bigint, shape bigint, sets int"
+    )
+    by_set = counted.repartition("set_id").sortWithinPartitions("set_id", "sets", "token")
+    prefixes = by_set.mapInPandas(_prefixes, "token bigint, n bigint, set_id bigint")
     sorted_ = prefixes.repartition("token").sortWithinPartitions("token", "n", "set_id")
     families = components(sorted_.mapInPandas(_chains(percent), "a bigint, b bigint"))
     families = families.select(F.col("node").alias("set_id"), F.col("component").alias("family"))
@@ -308,7 +371,8 @@ def jaccard_classes(
     members = stage(first.join(families, "set_id"), "family-members")
     totals = members.groupBy("family").agg((F.floor(F.sum("n") / block_ngrams) + 1).alias("blocks"))
     placed = members.drop("n").join(totals, "family").withColumn("block", F.pmod("set_id", "blocks"))
-    texts = source.join(placed, "doc_id")
+    placed = stage(placed, "family-blocks")
+    texts = source.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "doc_id")
     sets = texts.select("family", "set_id", "block", "blocks", "text").mapInPandas(
         _family_sets(size), "family bigint, set_id bigint, block bigint, blocks bigint, ngrams binary"
     )

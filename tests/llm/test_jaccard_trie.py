@@ -102,3 +102,20 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_over_batches_and_beyond_the_most(monkeypatch):
+    import pandas as pd
+
+    from hertzflow.llm import jaccard_trie as J
+
+    monkeypatch.setattr(J, "MOST", 4)
+    rng = random.Random(1)
+    rows = sorted((rng.randint(0, 12) * 16, rng.randint(0, 9), 0) for _ in range(150))
+    pdf = pd.DataFrame(rows, columns=["token", "set_id", "shape"], dtype="int64")
+    sets = {t: {s for u, s, _ in rows if u == t} for t, _, _ in rows}
+    want = sorted((t, s, min(len(sets[t]), 4)) for t in sets for s in sets[t] if len(sets[t]) > 1)
+    for step in (1, 2, 3, 7, 40, 200):
+        parts = J._counted(pdf.iloc[i : i + step] for i in range(0, len(pdf), step))
+        got = sorted((int(t), int(s), int(k)) for p in parts for t, s, k in zip(p["token"], p["set_id"], p["sets"]))
+        assert got == want, step
