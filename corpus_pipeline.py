@@ -1,8 +1,79 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation: five stages from raw documents to tokens.
 
-STAGES = []
+Each stage takes all documents that the one before kept and returns them with the columns
+of ``documents``; the last returns tokens. Rows with a null doc_id pass the stages that
+look documents up by id. An empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hertzflow.llm import bpe, decontaminate, jaccard_trie, suffix_dedup, toxicity
+from hertzflow.llm.queries import fold, table, vocabulary
+from hertzflow.storage import stage
+
+BROADCAST_ROWS = 500_000
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``ids``, which are broadcast if they are few."""
+    ids = stage(ids.distinct(), "dropped-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled ones of the training folds, takes for toxic go."""
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id") != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.5).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by word shingles, the one with the smallest id stays."""
+    classes = jaccard_trie.jaccard_classes(docs)
+    return _without(docs, classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that occur earlier are cut out; documents of which only blanks are left go."""
+    cut = suffix_dedup.remove_repeats(docs, others=("lang", "source"))
+    texts = cut.withColumn("text", suffix_dedup.as_text(F.col("kept"))).withColumn("n_chars", F.length("text").cast("bigint"))
+    left = (F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    return texts.where(left).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit), with the text decoded from them."""
+    words = vocabulary()
+    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), words), words)
+    return decoded.select(
+        "doc_id", "lang", "source", bpe.token_count().alias("n_tokens"), "token_ids", F.col("decoded").cast("string").alias("text")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_strings", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("tokens", tokenize),
+]
+# Recurrent networks, suffix arrays and BPE merges are beyond SQL; tests check the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

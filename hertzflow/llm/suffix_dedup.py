@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
@@ -444,34 +444,53 @@ def repeated_spans(
     return spans.union(found.where("range < 0").select("doc_id", "at", "stop")).union(across)
 
 
-def _kept(batches):
-    for pdf in batches:
-        out = []
-        for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            begin, end = [], []
-            if spans is not None and len(spans):
-                pairs = np.array([tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in spans], np.int64)
-                _, begin, end = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-            pieces, at = [], 0
-            for b, e in zip(begin, end, strict=True):
-                pieces.append(raw[at:b])
-                at = e
-            pieces.append(raw[at:])
-            kept = b"".join(pieces)
-            out.append((len(raw), len(raw) - len(kept), len(begin), kept))
-        yield pd.concat(
-            [pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1
-        )
+def _cut(columns: list[str]):
+    def rows(batches):
+        for pdf in batches:
+            out = []
+            for text, spans in zip(pdf["_text"], pdf["_spans"], strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                begin, end = [], []
+                if spans is not None and len(spans):
+                    pairs = np.array([tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in spans], np.int64)
+                    _, begin, end = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+                pieces, at = [], 0
+                for b, e in zip(begin, end, strict=True):
+                    pieces.append(raw[at:b])
+                    at = e
+                pieces.append(raw[at:])
+                kept = b"".join(pieces)
+                out.append((len(raw), len(raw) - len(kept), len(begin), kept))
+            found = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            yield pd.concat([pdf[columns].reset_index(drop=True), found], axis=1)
+
+    return rows
 
 
 def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    length: int = LENGTH,
+    shard_rows: int = SHARD_ROWS,
+    others: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
+    """Per row: doc_id, ``others``, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
     spans = repeated_spans(docs, doc_id, text, length, shard_rows)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "stop")).alias("spans"))
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "stop")).alias("_spans"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *others)
+    plain = source.drop("_text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
     return source.join(spans, "doc_id", "left").mapInPandas(
-        _kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        _cut(plain.columns), f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
+
+
+def as_text(kept: Column) -> Column:
+    """Kept bytes as text. A cut can part a character; what is left of it goes too."""
+
+    @F.pandas_udf("string")
+    def text(column: pd.Series) -> pd.Series:
+        return pd.Series([None if k is None else bytes(k).decode("utf-8", "ignore") for k in column], dtype=object)
+
+    return text(kept)
