@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantile import assemble
+from .quantile import assemble, complete_rows
 
 
 def marginal_weights(df: DataFrame, features: Sequence[str], target: str) -> tuple[dict, dict]:
@@ -23,6 +23,7 @@ def marginal_weights(df: DataFrame, features: Sequence[str], target: str) -> tup
 
 def surrogate_weights(df: DataFrame, features: Sequence[str], prediction: str) -> tuple[dict, dict]:
     """Weights of a linear surrogate of a model's predictions, and the feature means."""
+    df = complete_rows(df, features, prediction)
     rows = assemble(df, features).select("_features", F.col(prediction).alias("_y"))
     fit = LinearRegression(featuresCol="_features", labelCol="_y", regParam=1e-6).fit(rows)
     means = df.agg(*[F.avg(f) for f in features]).first()

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_isotonic(df: DataFrame, prediction: str, label: str, resolution: float | None = 1e-4) -> IsotonicRegressionModel:
+def fit_isotonic(df: DataFrame, prediction: str, label: str, resolution: float | None = None) -> IsotonicRegressionModel:
     """Monotone map from predictions to labels, flat beyond the seen range.
 
     Labels are averaged per prediction first, which leaves the fit unchanged and
-    lets equal predictions meet before the final pooling. That pooling ends in one
-    task, so predictions are put on a grid of ``resolution``, which bounds its
-    input by the width of the prediction range; ``None`` keeps them as they are.
+    lets equal predictions meet. The rest is range-partitioned by prediction and
+    pooled per range; only the blocks that survive that are pooled once more in one
+    task. ``resolution`` puts predictions on a grid first, which bounds these blocks
+    by the width of the prediction range, but changes the fit.
     The fit is one of conditional means: for true quantile levels use
     ``conformal_shift``.
     """

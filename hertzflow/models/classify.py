@@ -12,14 +12,14 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import class_weight
 from ..operators.layout import OrderedRows
 from ..operators.windows import sequences
 from ..settings import DEFAULTS
-from .quantile import assemble
+from .quantile import assemble, complete, complete_rows
 
 
 def fit_instability_classifier(
@@ -27,6 +27,7 @@ def fit_instability_classifier(
 ):
     """Trees with positives weighted by the class ratio."""
     weight = train.agg(class_weight(label)).first()[0]
+    train = complete_rows(train, features, label)
     rows = assemble(train, features).select(
         "_features", F.col(label).cast("double").alias("_y"), F.when(F.col(label) == 1, weight).otherwise(1.0).alias("_w")
     )
@@ -39,13 +40,19 @@ def fit_instability_classifier(
 
 
 def classify(model, df: DataFrame, features: Sequence[str], probability: str = "probability") -> DataFrame:
+    """Add probability and class to every row; both are null where a feature is null or NaN."""
     kept = [c for c in df.columns if c not in ("prediction", "probability", "rawPrediction", probability)]
     rows = model.transform(assemble(df.select(*kept), features))
     return rows.withColumn("_p", vector_to_array("probability")[1]).select(
-        *kept, F.col("_p").alias(probability), F.col("prediction").cast("int").alias("predicted")
+        *kept,
+        F.when(complete(features), F.col("_p")).alias(probability),
+        F.when(complete(features), F.col("prediction").cast("int")).alias("predicted"),
     )
 
 
+_MONITOR = "features array<string>, rows int, lows array<double>, widths array<double>"
+
+
 @dataclass(frozen=True)
 class SequenceMonitor:
     """Probability of instability from the last rows of a series."""
@@ -56,6 +63,17 @@ class SequenceMonitor:
     lows: tuple[float, ...]
     widths: tuple[float, ...]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/network")
+        row = (list(self.features), self.rows, list(self.lows), list(self.widths))
+        spark.createDataFrame([row], _MONITOR).write.mode("overwrite").json(f"{path}/scaling")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SequenceMonitor:
+        row = spark.read.schema(_MONITOR).json(f"{path}/scaling").first()
+        network = MultilayerPerceptronClassificationModel.load(f"{path}/network")
+        return cls(network, tuple(row.features), row.rows, tuple(row.lows), tuple(row.widths))
+
     def transform(self, ordered: OrderedRows, probability: str = "probability") -> DataFrame:
         """Score every row whose window is complete; the window ends at the row itself."""
         scaled = ordered.with_df(ordered.df.withColumns(_scaled(self.features, self.lows, self.widths)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
@@ -18,6 +20,7 @@ _VECTOR, _LEAF, _TREE = "_features", "_leaf", "_tree"
 _SAVED = (
     "features array<string>, alpha double, base double, rates array<double>, leaf_values array<array<double>>"
 )
+_GROUPED = "cells array<string>, names array<string>, fallback array<double>"
 
 
 @dataclass
@@ -32,10 +35,11 @@ class QuantileBoost:
     leaf_values: list[list[float]] = field(default_factory=list)
 
     def transform(self, df: DataFrame, prediction: str) -> DataFrame:
+        """Add the prediction to every row; it is null where a feature is null or NaN."""
         rows = assemble(df, self.features).withColumn(prediction, F.lit(self.base))
         for tree, values, rate in zip(self.trees, self.leaf_values, self.rates):
             rows = _add_tree(rows, tree, values, rate, prediction)
-        return rows.drop(_VECTOR)
+        return rows.withColumn(prediction, F.when(complete(self.features), F.col(prediction))).drop(_VECTOR)
 
     def importances(self) -> list[tuple[str, float]]:
         """Mean gain share of each feature over the trees, in percent."""
@@ -58,8 +62,24 @@ class QuantileBoost:
         return cls(list(row.features), row.alpha, row.base, list(row.rates), trees, leaves)
 
 
+def complete(features: Sequence[str]) -> Column:
+    """Whether a row has all features, neither null nor NaN."""
+    sound = [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in features]
+    return reduce(lambda a, b: a & b, sound, F.lit(True))
+
+
 def assemble(df: DataFrame, features: Sequence[str], vector: str = _VECTOR) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=vector, handleInvalid="skip").transform(df)
+    """Features as one vector on every row; the caller decides about incomplete ones."""
+    return VectorAssembler(inputCols=list(features), outputCol=vector, handleInvalid="keep").transform(df)
+
+
+def complete_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Rows to fit on. Rows without the label or a feature are left out and their number is told."""
+    usable = complete(features) & F.col(label).isNotNull()
+    missing = df.where(~usable).count()
+    if missing:
+        warnings.warn(f"{missing} rows without {label} or a feature are left out of the fit", stacklevel=3)
+    return df.where(usable)
 
 
 def _add_tree(rows, tree, values, rate, prediction):
@@ -90,7 +110,7 @@ def fit_quantile_boost(
     per leaf. Only the leaf values, at most ``2 ** depth``, reach the driver. Running predictions are
     written out every few rounds, so a lost executor repeats a few rounds at most.
     """
-    rows = assemble(df.where(F.col(label).isNotNull()), features).select(_VECTOR, F.col(label).cast("double").alias("_y"))
+    rows = assemble(complete_rows(df, features, label), features).select(_VECTOR, F.col(label).cast("double").alias("_y"))
     rows = stage(rows, "boost")
     base = rows.agg(F.percentile_approx("_y", alpha, 10_000)).first()[0]
     model = QuantileBoost(list(features), alpha, base)
@@ -152,6 +172,16 @@ class GroupedQuantiles:
     names: tuple[str, ...]
     fallback: tuple[float, ...]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
+        row = (list(self.cells), list(self.names), list(self.fallback))
+        spark.createDataFrame([row], _GROUPED).write.mode("overwrite").json(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GroupedQuantiles:
+        row = spark.read.schema(_GROUPED).json(f"{path}/model").first()
+        return cls(spark.read.parquet(f"{path}/table"), tuple(row.cells), tuple(row.names), tuple(row.fallback))
+
     def transform(self, df: DataFrame) -> DataFrame:
         scored = df.join(self.table, list(self.cells), "left")
         return scored.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in zip(self.names, self.fallback)})
@@ -170,7 +200,10 @@ def fit_grouped_quantiles(
 def conformal_shift(calibration: DataFrame, label: str, prediction: str, alpha: float) -> float:
     """The shift after which ``alpha`` of the held-out labels lie below the prediction."""
     errors = calibration.select((F.col(label) - F.col(prediction)).alias("_error"))
-    return exact_quantiles(errors, [], "_error", [alpha]).first()["quantile"]
+    found = exact_quantiles(errors, [], "_error", [alpha]).first()
+    if found is None:
+        raise ValueError("there are no calibration rows with a label and a prediction")
+    return found["quantile"]
 
 
 def conformal_bounds(
@@ -180,6 +213,8 @@ def conformal_bounds(
     each = [F.struct(F.lit(i).alias("_bound"), (F.col(label) - F.col(q)).alias("_error")) for i, q in enumerate(bounds)]
     errors = calibration.select(F.inline(F.array(*each)))
     found = {(r._bound, r.alpha): r["quantile"] for r in exact_quantiles(errors, ["_bound"], "_error", alphas).collect()}
+    if any((i, float(a)) not in found for i, a in enumerate(alphas)):
+        raise ValueError("there are no calibration rows with a label and a prediction")
     return tuple(found[i, float(a)] for i, a in enumerate(alphas))
 
 

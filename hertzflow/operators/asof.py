@@ -36,7 +36,9 @@ def asof_join(
     joins on time buckets, so the left side is not shuffled; it is taken only
     after rows, bytes and rows per bucket of the right side have been measured.
     ``sorted`` orders both sides together and carries the last right row along.
-    ``tie`` orders right rows of one instant, ``left_tie`` makes left rows unique.
+    ``tie`` orders right rows of one instant, ahead of their other columns, so that
+    both ways take the same row; ``left_tie`` makes left rows unique. A null in ``on``
+    or in a ``by`` key matches nothing.
     """
     right_on = right_on or on
     clash = (set(left.columns) & set(right.columns)) - {on, right_on, *by}
@@ -46,6 +48,8 @@ def asof_join(
         raise ValueError(f"unknown strategy: {strategy}")
     if strategy != "sorted":
         right = stage(right, "asof-right")
+        if right.isEmpty():
+            return _unmatched(left, right, right_on, by)
         intervals = _bounded_intervals(right, right_on, by, tie)
         if intervals is not None:
             return _interval_join(left, intervals, on, by, tolerance_seconds)
@@ -54,6 +58,17 @@ def asof_join(
     return _sorted_join(left, right, on, right_on, by, tie, left_tie, tolerance_seconds)
 
 
+def _unmatched(left, right, right_on, by):
+    values = [f for f in right.schema.fields if f.name not in by and f.name != right_on]
+    return left.select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in values])
+
+
+def _tie_columns(right: DataFrame, right_on: str, by: Sequence[str], tie: Sequence[str]) -> list[str]:
+    """What decides between right rows of one instant: ``tie``, then all other columns that have an order."""
+    others = [f for f in right.schema.fields if f.name not in (*by, *tie, right_on)]
+    return [*tie, *(f.name for f in others if isinstance(f.dataType, (*_FIXED_WIDTH, T.StringType, T.BinaryType)))]
+
+
 def _row_bytes(df: DataFrame):
     """Bytes of a row as a column, or None where the width has no cheap measure."""
     size = F.lit(16)
@@ -73,7 +88,9 @@ def _bounded_intervals(right, right_on, by, tie):
     if size is None:
         return None
     at = F.unix_micros(F.col(right_on).cast("timestamp"))
-    right = right.where(F.col(right_on).isNotNull()).withColumn("_from", at)
+    for c in (right_on, *by):
+        right = right.where(F.col(c).isNotNull())
+    right = right.withColumn("_from", at)
     groups = F.count_distinct(F.struct(*by)) if by else F.lit(1)
     n, low, high, n_bytes, groups = right.agg(F.count("*"), F.min("_from"), F.max("_from"), F.sum(size), groups).first()
     if n == 0 or n > MAX_BROADCAST_ROWS or n_bytes > MAX_BROADCAST_BYTES:
@@ -88,7 +105,8 @@ def _bounded_intervals(right, right_on, by, tie):
         return None
 
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    latest = Window.partitionBy(*by, "_from").orderBy(*[F.col(c).desc() for c in tie] or [F.lit(0)])
+    ties = _tie_columns(right.drop("_from"), right_on, by, tie)
+    latest = Window.partitionBy(*by, "_from").orderBy(*[F.col(c).desc() for c in ties] or [F.lit(0)])
     rows = right.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", right_on)
     rows = rows.withColumn("_until", F.lead("_from").over(in_group.orderBy("_from")))
     rows = rows.withColumn(
@@ -120,7 +138,7 @@ def _interval_join(left, intervals, on, by, tolerance_seconds):
 
 def _sorted_join(left, right, on, right_on, by, tie, left_tie, tolerance_seconds):
     values = [c for c in right.columns if c not in by and c != right_on]
-    ties = [F.col(c) for c in tie] or [F.lit(0)]
+    ties = [F.col(c) for c in _tie_columns(right, right_on, by, tie)] or [F.lit(0)]
     payload = F.struct(F.col(right_on).cast("timestamp").alias("_right_at"), *values)
     right_rows = right.where(F.col(right_on).isNotNull()).select(
         *by,
@@ -140,6 +158,8 @@ def _sorted_join(left, right, on, right_on, by, tie, left_tie, tolerance_seconds
     ordered = order_rows(both, list(by), ["_at", "_side", "_right_tie", "_left_tie"])
     carried = ordered.running({"_match": ("last", F.col("_right"))}).where("_side = 1")
     match = F.col("_match")
+    for c in by:
+        match = F.when(F.col(f"_left.{c}").isNotNull(), match)
     if tolerance_seconds is not None:
         gap = F.unix_micros("_at") - F.unix_micros("_match._right_at")
         match = F.when(gap <= int(tolerance_seconds * 1_000_000), match)

@@ -32,7 +32,8 @@ def _filled(ordered: OrderedRows, ts: str, values: Sequence[str]) -> OrderedRows
     filled = {}
     for v in values:
         p, n = f"_prev_{v}", f"_next_{v}"
-        slope = (F.col(f"{n}.v") - F.col(f"{p}.v")) / (F.col(f"{n}.at") - F.col(f"{p}.at"))
+        # Between two samples of one instant the earlier one holds.
+        slope = F.coalesce(F.try_divide(F.col(f"{n}.v") - F.col(f"{p}.v"), F.col(f"{n}.at") - F.col(f"{p}.at")), F.lit(0.0))
         line = F.col(f"{p}.v") + slope * (at - F.col(f"{p}.at"))
         filled[v] = F.when(F.col(v).isNotNull(), F.col(v).cast("double")).otherwise(
             F.when(F.col(n).isNull(), F.col(f"{p}.v")).otherwise(line)
@@ -53,7 +54,7 @@ def _knots(df, series, ts, values, fill_nulls) -> DataFrame:
 
 def _on_line(value: str, elapsed) -> Column:
     """The value ``elapsed`` microseconds after a knot; the knot itself where none follows."""
-    share = elapsed / (F.col("_knot_next") - F.col("_knot_at"))
+    share = F.coalesce(F.try_divide(elapsed, F.col("_knot_next") - F.col("_knot_at")), F.lit(0.0))
     line = F.col(value) + (F.col(f"_next_{value}") - F.col(value)) * share
     return F.when((elapsed == 0) | F.col("_knot_next").isNull(), F.col(value).cast("double")).otherwise(line)
 

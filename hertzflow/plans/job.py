@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import day_summary, aggregate
 from ..models.calibrate import fit_isotonic
-from ..models.classify import classify, fit_instability_classifier
+from ..models.classify import SequenceMonitor, classify, fit_instability_classifier, fit_sequence_monitor
 from ..models.quantile import QuantileBoost, conformal_bounds, fit_quantile_boost
 from ..operators.asof import asof_join
 from ..operators.layout import OrderedRows
@@ -50,21 +52,45 @@ def _within(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where((at >= F.to_timestamp(F.lit(start))) & (at < F.to_timestamp(F.lit(end))))
 
 
+def sources(
+    spark: SparkSession, paths: Mapping[str, str], start: str, end: str, *, fmt: str = "parquet"
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The three raw series of whole days, and one report on their types and ranges.
+
+    Weather goes one sample beyond the last day, which its last hour leans on.
+    """
+    raw = {
+        "frequency": readers.read_frequency(spark, paths["frequency"], start, end, fmt),
+        "weather": readers.read_weather(spark, paths["weather"], start, end, fmt, beyond_hours=1),
+        "inertia": readers.read_daily(spark, paths["inertia"], start, end, fmt),
+    }
+    expected = {
+        "frequency": {"timestamp": "timestamp", "grid_frequency": "double"},
+        "weather": {"timestamp": "timestamp"} | dict.fromkeys(WEATHER, "double"),
+        "inertia": {"timestamp": "timestamp", "inertia_cost": "bigint"},
+    }
+    checks = {"frequency": validate.FREQUENCY_CHECKS, "weather": validate.WEATHER_CHECKS, "inertia": validate.COST_CHECKS}
+    checked, reports = {}, []
+    for name, df in raw.items():
+        checked[name], schema, ranges = validate.validate(df, expected[name], checks[name])
+        reports.append(schema.join(ranges, "column_name", "left").withColumn("source", F.lit(name)))
+    return checked, readers.union_parts(reports)
+
+
 def build(
     spark: SparkSession, paths: Mapping[str, str], start: str, end: str, *, fmt: str = "parquet", settings=DEFAULTS
 ) -> OrderedRows:
-    """Read, check, merge and derive features for one grid.
+    """Read, check, merge and derive features for one grid."""
+    return merge(sources(spark, paths, start, end, fmt=fmt)[0], settings=settings)
+
+
+def merge(raw: Mapping[str, DataFrame], *, settings=DEFAULTS) -> OrderedRows:
+    """Features for one grid from its sources.
 
     Weather is placed on the line between its samples at each fast row, daily
     values are carried on, and rows still incomplete are dropped.
     """
-    fast, _, _ = validate.validate(
-        readers.read_frequency(spark, paths["frequency"], start, end, fmt),
-        {"timestamp": "timestamp", "grid_frequency": "double"},
-        validate.FREQUENCY_CHECKS,
-    )
-    weather = readers.read_weather(spark, paths["weather"], start, end, fmt)
-    daily = readers.read_daily(spark, paths["inertia"], start, end, fmt)
+    fast, weather, daily = raw["frequency"], raw["weather"], raw["inertia"]
     merged = asof_interpolated(fast, weather, "timestamp", WEATHER)
     merged = asof_join(merged, daily, "timestamp").dropna().withColumn("series", F.lit("grid"))
     return build_features(merged, ["series"], ["timestamp"], settings=settings)
@@ -83,6 +109,73 @@ def predictor(bounds: tuple[QuantileBoost, QuantileBoost]):
     return lambda df: bounds[1].transform(bounds[0].transform(df, "lower"), "upper")
 
 
+@dataclass(frozen=True)
+class Pipeline:
+    """Everything that turns features into decisions: what ``run`` fits and ``load`` finds again."""
+
+    bounds: tuple[QuantileBoost, QuantileBoost]
+    monitor: GBTClassificationModel
+    sequence: SequenceMonitor
+    shifts: tuple[float, float] | None = None
+    calibrators: tuple[IsotonicRegressionModel, ...] | None = None
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for name, model in zip(("lower", "upper"), self.bounds):
+            model.save(spark, f"{path}/{name}")
+        self.monitor.write().overwrite().save(f"{path}/monitor")
+        self.sequence.save(spark, f"{path}/sequence")
+        for i, model in enumerate(self.calibrators or ()):
+            model.write().overwrite().save(f"{path}/isotonic/{i}")
+        # Written last: a folder with it holds a complete pipeline.
+        row = (list(self.shifts) if self.shifts else None, len(self.calibrators or ()))
+        spark.createDataFrame([row], _PIPELINE).write.mode("overwrite").json(f"{path}/pipeline")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Pipeline:
+        row = spark.read.schema(_PIPELINE).json(f"{path}/pipeline").first()
+        bounds = tuple(QuantileBoost.load(spark, f"{path}/{name}") for name in ("lower", "upper"))
+        maps = tuple(IsotonicRegressionModel.load(f"{path}/isotonic/{i}") for i in range(row.calibrators))
+        monitor = GBTClassificationModel.load(f"{path}/monitor")
+        sequence = SequenceMonitor.load(spark, f"{path}/sequence")
+        return cls(bounds, monitor, sequence, tuple(row.shifts) if row.shifts else None, maps or None)
+
+    def decisions(self, table: DataFrame) -> DataFrame:
+        scored = score(table, predictor(self.bounds), shifts=self.shifts, calibrators=self.calibrators)
+        return decide(classify(self.monitor, scored, MODEL_FEATURES)).withColumn("day", F.to_date("timestamp"))
+
+
+_PIPELINE = "shifts array<double>, calibrators int"
+
+
+def reports(decisions: DataFrame, target: str = "target_freq_next") -> dict[str, DataFrame]:
+    return {
+        "metrics": evaluate(decisions, target),
+        "metrics_by_day": evaluate(decisions, target, by=["day"], min_rows=10),
+        "days": aggregate(decisions, day_summary("grid_frequency", DEFAULTS.unstable_low), ["day"]),
+    }
+
+
+def score_saved(
+    spark: SparkSession,
+    models: str,
+    paths: Mapping[str, str],
+    start: str,
+    end: str,
+    period: tuple[str, str] | None = None,
+    *,
+    fmt: str = "parquet",
+) -> dict[str, DataFrame]:
+    """Decisions, reports and sequence scores of another date range by a pipeline saved by ``run``."""
+    pipeline = Pipeline.load(spark, models)
+    built = build(spark, paths, start, end, fmt=fmt)
+    table = stage(built.df, "features")
+    chosen = _within(table, *period) if period else table
+    decisions = stage(pipeline.decisions(chosen), "decisions")
+    sequence = pipeline.sequence.transform(built.with_df(table), "sequence_probability")
+    sequence = (_within(sequence, *period) if period else sequence).select("series", "timestamp", "sequence_probability")
+    return {"features": table, "decisions": decisions, "sequence": sequence, **reports(decisions)}
+
+
 def run(
     spark: SparkSession,
     paths: Mapping[str, str],
@@ -97,10 +190,15 @@ def run(
     depth: int = 5,
     learning_rate: float = 0.1,
 ) -> dict[str, DataFrame]:
-    """Run the job and return its tables; features, decisions, models and the test slice are under ``out``."""
-    built = build(spark, paths, start, end, fmt=fmt)
-    table = stage(built.df, "features")
-    sinks.write_partitioned(table.drop("_pos").withColumn("day", F.to_date("timestamp")), f"{out}/features", ["day"])
+    """Run the job and return its tables; validation, features, decisions, models and the test slice are under ``out``."""
+    raw, validation = sources(spark, paths, start, end, fmt=fmt)
+    validation.write.mode("overwrite").parquet(f"{out}/validation")
+    built = merge(raw)
+    # In time order, so that files hold few days each and period filters skip the others.
+    table = stage(built.df.repartitionByRange("series", "timestamp").sortWithinPartitions("series", "timestamp"), "features")
+    built = built.with_df(table)
+    days = table.drop("_pos").withColumn("day", F.to_date("timestamp"))
+    sinks.write_partitioned(days.repartitionByRange("day", "series", "timestamp"), f"{out}/features", ["day"])
 
     bounds = fit_bounds(table, periods, rounds=rounds, depth=depth, learning_rate=learning_rate)
     predict = predictor(bounds)
@@ -115,21 +213,22 @@ def run(
     monitor = fit_instability_classifier(
         periods.train_rows(table), MODEL_FEATURES, "target_is_unstable", rounds=rounds, depth=depth
     )
-    scored = classify(monitor, score(periods.test_rows(table), predict, **fix), MODEL_FEATURES)
-    decisions = decide(scored).withColumn("day", F.to_date("timestamp"))
-    sinks.write_partitioned(decisions.drop("_pos"), f"{out}/decisions", ["day"])
+    in_train = F.col("timestamp") < F.to_timestamp(F.lit(periods.calibration))
+    sequence = fit_sequence_monitor(built, in_train, MODEL_FEATURES, "target_is_unstable")
+    pipeline = Pipeline(bounds, monitor, sequence, fix.get("shifts"), fix.get("calibrators"))
+    pipeline.save(spark, f"{out}/models")
+    decisions = pipeline.decisions(periods.test_rows(table)).drop("_pos")
+    sinks.write_partitioned(decisions.repartitionByRange("day", "series", "timestamp"), f"{out}/decisions", ["day"])
     decisions = spark.read.parquet(f"{out}/decisions")
-
-    for name, model in zip(("lower", "upper"), bounds):
-        model.save(spark, f"{out}/models/{name}")
-    monitor.write().overwrite().save(f"{out}/models/monitor")
+    warnings = sequence.transform(built, "sequence_probability").select("series", "timestamp", "sequence_probability")
+    periods.test_rows(warnings).write.mode("overwrite").parquet(f"{out}/sequence")
     sinks.write_csv_slice(table.drop("_pos"), f"{out}/test_slice", "timestamp", periods.test, periods.end)
     return {
         "features": spark.read.parquet(f"{out}/features"),
+        "validation": spark.read.parquet(f"{out}/validation"),
         "decisions": decisions,
-        "metrics": evaluate(decisions, target),
-        "metrics_by_day": evaluate(decisions, target, by=["day"], min_rows=10),
-        "days": aggregate(decisions, day_summary("grid_frequency", DEFAULTS.unstable_low), ["day"]),
+        "sequence": spark.read.parquet(f"{out}/sequence"),
+        **reports(decisions, target),
         "importance": spark.createDataFrame(
             [(f, a, b) for (f, a), (_, b) in zip(bounds[0].importances(), bounds[1].importances())],
             "feature string, lower_pct double, upper_pct double",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -112,25 +113,42 @@ def rename_matched(df: DataFrame, rules: Mapping[str, Sequence[str]] = SETTLEMEN
     return df.withColumnsRenamed(match_columns(df.columns, rules))
 
 
+def day_range(start, end) -> tuple[dt.datetime, dt.datetime]:
+    """The half-open range of instants of whole UTC days, both ``start`` and ``end`` included."""
+    first, last = (dt.date.fromisoformat(str(x)[:10]) for x in (start, end))
+    midnight = dt.time(tzinfo=dt.timezone.utc)
+    return dt.datetime.combine(first, midnight), dt.datetime.combine(last + dt.timedelta(days=1), midnight)
+
+
+def _during(df: DataFrame, start, end, beyond_hours: int = 0) -> DataFrame:
+    low, high = day_range(start, end)
+    return df.where((F.col("timestamp") >= F.lit(low)) & (F.col("timestamp") < F.lit(high + dt.timedelta(hours=beyond_hours))))
+
+
+def _text_days(df: DataFrame, column: str, start, end) -> DataFrame:
+    """Prune texts that begin with a date to the days around a range; offsets move an instant by a day at most."""
+    low, high = day_range(start, end)
+    return df.where(F.col(column).between(str(low.date() - dt.timedelta(days=1)), f"{high.date()}~"))
+
+
 def read_frequency(spark: SparkSession, path, start, end, fmt: str = "parquet") -> DataFrame:
-    raw = scan(spark, path, FREQUENCY_RAW, fmt)
-    # The text starts with the date, so a text range already prunes at the source.
-    raw = between(raw, "dtm", str(start), f"{end}~")
-    return raw.select(offset_timestamp("dtm").alias("timestamp"), F.col("f").alias("grid_frequency"))
+    raw = _text_days(scan(spark, path, FREQUENCY_RAW, fmt), "dtm", start, end)
+    return _during(raw.select(offset_timestamp("dtm").alias("timestamp"), F.col("f").alias("grid_frequency")), start, end)
 
 
-def read_weather(spark: SparkSession, path, start, end, fmt: str = "parquet") -> DataFrame:
-    return between(scan(spark, path, WEATHER_RAW, fmt), "timestamp", start, end)
+def read_weather(spark: SparkSession, path, start, end, fmt: str = "parquet", beyond_hours: int = 0) -> DataFrame:
+    """Samples of the days; with ``beyond_hours`` also those after them that the last hour leans on."""
+    return _during(scan(spark, path, WEATHER_RAW, fmt), start, end, beyond_hours)
 
 
 def read_daily(spark: SparkSession, path, start, end, fmt: str = "parquet") -> DataFrame:
-    raw = between(scan(spark, path, COST_RAW, fmt), "Settlement Date", str(start), f"{end}~")
-    return raw.select(iso_day("Settlement Date").alias("timestamp"), F.col("Cost").alias("inertia_cost"))
+    raw = _text_days(scan(spark, path, COST_RAW, fmt), "Settlement Date", start, end)
+    return _during(raw.select(iso_day("Settlement Date").alias("timestamp"), F.col("Cost").alias("inertia_cost")), start, end)
 
 
 def read_settlement(spark: SparkSession, path, start, end, fmt: str = "parquet", schema: str = INERTIA_RAW) -> DataFrame:
-    raw = between(scan(spark, path, schema, fmt), "Settlement Date", str(start), f"{end}~")
+    raw = _text_days(scan(spark, path, schema, fmt), "Settlement Date", start, end)
     named = rename_matched(raw)
     period = F.col("settlement_period") if "settlement_period" in named.columns else F.lit(None)
     at = settlement_time(iso_day("timestamp_date"), period)
-    return named.select(at.alias("timestamp"), F.col("system_inertia_mws").cast("double"))
+    return _during(named.select(at.alias("timestamp"), F.col("system_inertia_mws").cast("double")), start, end)

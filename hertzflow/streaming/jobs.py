@@ -98,10 +98,12 @@ def row_features(
             full = np.zeros(n)
             if n >= k:
                 full[k - 1 :] = np.lib.stride_tricks.sliding_window_view(values, k).std(axis=1, ddof=1)
-            out[f"volatility_{k}s"] = full[known:]
+            # As in batch: 0 where the window holds a null.
+            out[f"volatility_{k}s"] = np.nan_to_num(full[known:])
         for k in lags:
             lagged = np.full(n, settings.lag_fill)
             lagged[k:] = values[:-k] if k < n else values[:0]
+            lagged[np.isnan(lagged)] = settings.lag_fill
             out[f"lag_{k}s"] = lagged[known:]
         return out
 
@@ -125,7 +127,7 @@ def row_features(
     )
 
 
-def drain(stream: DataFrame, label: str, *, timeout: int = 600, path: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, label: str, *, timeout: int | None = None, path: str | None = None) -> DataFrame:
     """Append all available input to a Parquet table and return the table."""
     spark = stream.sparkSession
     path = path or work_path(spark, label)
@@ -147,7 +149,7 @@ def drain_batches(
     write: Callable[[DataFrame], DataFrame] | None = None,
     *,
     mode: str = "append",
-    timeout: int = 600,
+    timeout: int | None = None,
     path: str | None = None,
 ) -> str:
     """Write each micro-batch, transformed by ``write``, to its own folder; return the root.
@@ -179,7 +181,10 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
-def _finish(query, timeout: int) -> None:
-    if not query.awaitTermination(timeout):
+def _finish(query, timeout: int | None) -> None:
+    """Wait for the query; only a caller that sets a limit has it stopped there."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not finish within {timeout} s")

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from hertzflow.plans.job import Periods, build, run
+from hertzflow.plans.job import Periods, build, run, score_saved
 from hertzflow.sources import readers
 
 START = dt.datetime(2019, 8, 9)
@@ -32,6 +32,19 @@ def test_build_interpolates_and_carries(spark, raw):
     assert r.temperature == pytest.approx(1.5) and r.wind_speed == pytest.approx(5.5) and r.inertia_cost == 1500
 
 
+def test_the_end_date_is_whole_and_its_last_hour_is_on_the_line(spark, tmp_path):
+    late = dt.datetime(2019, 8, 10, 22, 30)
+    rows = [((late + dt.timedelta(seconds=i)).strftime("%Y-%m-%d %H:%M:%S +0000"), 50.0 + i % 7 / 100) for i in range(5390)]
+    spark.createDataFrame(rows, readers.FREQUENCY_RAW).write.parquet(f"{tmp_path}/frequency")
+    hours = [(dt.datetime(2019, 8, 10) + dt.timedelta(hours=h), *(float(h + k) for k in range(7))) for h in range(26)]
+    spark.createDataFrame(hours, readers.WEATHER_RAW).write.parquet(f"{tmp_path}/weather")
+    spark.createDataFrame([("2019-08-10T00:00:00", 1500)], readers.COST_RAW).write.parquet(f"{tmp_path}/inertia")
+    raw = {n: f"{tmp_path}/{n}" for n in ("frequency", "weather", "inertia")}
+    got = build(spark, raw, "2019-08-10", "2019-08-10").df
+    r = got.where("timestamp = timestamp'2019-08-10 23:30:00'").first()
+    assert r.temperature == pytest.approx(23.5)
+
+
 @pytest.mark.parametrize("recalibrate", ["shift", "isotonic"])
 def test_run(spark, raw, tmp_path, recalibrate):
     periods = Periods("2019-08-09 01:30:00", "2019-08-09 02:15:00", "2019-08-09 03:00:00")
@@ -46,5 +59,13 @@ def test_run(spark, raw, tmp_path, recalibrate):
         assert 0.6 < m.picp < 0.95
     assert tables["decisions"].where("status IS NULL OR trust < 0 OR trust > 100").count() == 0
     assert tables["days"].count() == 1 and tables["features"].count() == SECONDS - 10
+    assert {r.source for r in tables["validation"].collect()} == {"frequency", "weather", "inertia"}
+    assert tables["sequence"].count() == 45 * 60 - 10
+    again = score_saved(spark, str(tmp_path / "out/models"), raw, "2019-08-09", "2019-08-09", (periods.test, periods.end))
+    columns = ["timestamp", "lower", "upper", "probability", "status"]
+    assert again["decisions"].select(columns).exceptAll(tables["decisions"].select(columns)).count() == 0
+    assert again["sequence"].exceptAll(tables["sequence"]).count() == 0
+    earlier = score_saved(spark, str(tmp_path / "out/models"), raw, "2019-08-09", "2019-08-09", ("2019-08-09", "2019-08-09 01:00:00"))
+    assert earlier["metrics"].first().rows == 3600
     sliced = spark.read.option("header", True).csv(str(tmp_path / "out" / "test_slice"))
     assert sliced.count() == 45 * 60 - 10

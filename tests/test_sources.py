@@ -11,6 +11,9 @@ def test_frequency_reader_parses_offsets_and_keeps_the_last_day(spark, tmp_path)
     rows = [("2019-08-01 00:30:00 +0100", 50.0), ("2019-08-02 23:59:59 +0000", 49.9), ("2019-08-03 00:00:00 +0000", 49.8)]
     spark.createDataFrame(rows, "dtm string, f double").write.parquet(f"{tmp_path}/f")
     got = readers.read_frequency(spark, f"{tmp_path}/f", "2019-08-01", "2019-08-02").orderBy("timestamp").collect()
+    # The range is one of instants: half past midnight at +0100 is still the day before.
+    assert [r.timestamp for r in got] == [dt.datetime(2019, 8, 2, 23, 59, 59)]
+    got = readers.read_frequency(spark, f"{tmp_path}/f", "2019-07-31", "2019-08-02").orderBy("timestamp").collect()
     assert [r.timestamp for r in got] == [dt.datetime(2019, 7, 31, 23, 30), dt.datetime(2019, 8, 2, 23, 59, 59)]
 
 
