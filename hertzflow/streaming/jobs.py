@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.metrics import day_summary
 from ..settings import DEFAULTS
-from ..storage import work_path
+from ..storage import stage, work_path
 
 
 def read_folder(spark: SparkSession, path: str, schema, pattern: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -67,6 +67,14 @@ def breach_sessions(
     )
 
 
+def with_open_sessions(closed: DataFrame, rows: DataFrame, ts: str, by: Sequence[str], value: str, **rule) -> DataFrame:
+    """The sessions a stream has closed, and those still open at the end of its landed ``rows``."""
+    # Written first: a join right on top of session windows takes their start for a
+    # partitioning that the merged windows no longer have.
+    every = stage(breach_sessions(rows, ts, by, value, **rule), "sessions")
+    return closed.unionByName(every.join(closed.select("session_start", *by), ["session_start", *by], "left_anti"))
+
+
 def attach_slow(stream: DataFrame, slow: DataFrame, ts: str, slow_ts: str, unit: str = "hour") -> DataFrame:
     """Give each live row the slow row of its hour or day."""
     keyed = stream.withColumn("_slot", F.date_trunc(unit, ts))

@@ -127,7 +127,7 @@ def m4(spark, sf):
     monitor = classify.fit_sequence_monitor(
         ordered, F.col("timestamp") < _at(_SPLIT), MODEL_FEATURES, "target_is_unstable", hidden=16, iterations=8
     )
-    rows = monitor.transform(ordered.with_df(_test(ordered.df)))
+    rows = _test(monitor.transform(ordered))
     return rows.select("event_id", "probability", (F.col("probability") > 0.5).alias("monitor"))
 
 
@@ -268,6 +268,35 @@ def d10_rescored(spark, sf):
     return swept.groupBy("series", "mw").agg(F.count_if("alert").alias("alerts"), F.avg("required_mw").alias("mean_required_mw"))
 
 
+@query("m1_rows_kept", "SELECT CAST(0 AS BIGINT) AS lost_rows, CAST(0 AS BIGINT) AS wrong_nulls")
+def m1_rows_kept(spark, sf):
+    """Rows with a missing feature stay, and have no prediction."""
+    rows = feature_table(spark, sf).df
+    holed = rows.withColumn("wind_speed", F.when(F.col("event_id") % 7 > 0, F.col("wind_speed")))
+    got = boosts(spark, sf)[0].transform(holed, "lower")
+    counts = got.agg(
+        F.count("*").alias("n"), F.count_if(F.col("lower").isNull() != F.col("wind_speed").isNull()).alias("wrong_nulls")
+    )
+    return rows.agg(F.count("*").alias("all")).crossJoin(counts).select((F.col("all") - F.col("n")).alias("lost_rows"), "wrong_nulls")
+
+
+@query(
+    "s13_pipeline_reload",
+    _LED_SQL + f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM t WHERE timestamp >= TIMESTAMP '{_SPLIT}' AND y IS NOT NULL",
+)
+def s13_reload(spark, sf):
+    """A quantile table gives the same numbers once saved and loaded."""
+    path = work_path(spark, "pipeline")
+    rows, model = grouped(spark, sf)
+    model.save(spark, path)
+    again = quantile.GroupedQuantiles.load(spark, path)
+    key = ["event_id", "lower", "upper"]
+    one, two = (m.transform(_test(rows)).select(key) for m in (model, again))
+    both = one.join(two.toDF("event_id", "lower2", "upper2"), "event_id")
+    same = F.col("lower").eqNullSafe(F.col("lower2")) & F.col("upper").eqNullSafe(F.col("upper2"))
+    return both.agg(F.count("*").alias("rows"), F.count_if(~same).alias("differing"))
+
+
 @query("s13_model_persistence")
 def s13(spark, sf):
     """Predictions of a model that was saved and loaded."""

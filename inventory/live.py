@@ -8,7 +8,7 @@ from hertzflow.functions.alerts import dual_trigger
 from hertzflow.models.quantile import grid_key
 from hertzflow.streaming import jobs
 
-from .base import SIGNAL_SQL, THRESHOLD, W, hourly, out, query, r, table
+from .base import SIGNAL_SQL, THRESHOLD, W, hourly, out, query, r, signal, table
 from .learn import _LED_SQL, grouped
 from .measures import _DECISION_SQL
 from .windows import _vol_sql
@@ -97,13 +97,13 @@ def t3(spark, sf):
     c AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER ({W}) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM b),
     i AS (SELECT *, sum(s) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM c)
     SELECT series, min(timestamp) AS session_start, max(timestamp) + INTERVAL 30 MINUTE AS session_end,
-      count(*) AS breach_rows, {r(f'min({_Y})', 'lowest')} FROM i GROUP BY series, n
-    HAVING max(timestamp) + INTERVAL 30 MINUTE <= (SELECT max(timestamp) - INTERVAL 30 SECOND FROM b)""",
+      count(*) AS breach_rows, {r(f'min({_Y})', 'lowest')} FROM i GROUP BY series, n""",
 )
 def t4(spark, sf):
-    """Sessions the watermark has closed; those still open at the end of the input stay in state."""
+    """Sessions the watermark has closed, completed by those still open at the end of the input."""
     stream = jobs.breach_sessions(live_signal(spark, sf), "timestamp", ["series"], _Y, gap="30 minutes")
-    return out(jobs.drain(stream, "sessions"))
+    closed = jobs.drain(stream, "sessions")
+    return out(jobs.with_open_sessions(closed, signal(spark, sf), "timestamp", ["series"], _Y, gap="30 minutes"))
 
 
 @query(

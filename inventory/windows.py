@@ -188,10 +188,11 @@ def j1(spark, sf):
     return out(joined, "event_id", "grid_frequency", "wind_speed", "solar_radiation")
 
 
-def _clicks_and_views(spark, sf):
+def _all_and_others(spark, sf):
+    """Every event, and the events that are no clicks, to carry along."""
     e = events(spark, sf)
-    clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    views = e.where("event_type = 'view'").select(
+    clicks = e.select("event_id", "user_id", "ts")
+    views = e.where("event_type <> 'click'").select(
         "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value")
     )
     return clicks, views
@@ -200,11 +201,11 @@ def _clicks_and_views(spark, sf):
 @query(
     "j1_asof_sorted",
     """SELECT c.event_id, c.user_id, c.ts, v.event_id AS view_id, v.value AS view_value
-    FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN
-    (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts""",
+    FROM events c ASOF LEFT JOIN
+    (SELECT * FROM events WHERE event_type <> 'click') v ON c.user_id = v.user_id AND c.ts >= v.ts""",
 )
 def j1_sorted(spark, sf):
-    clicks, views = _clicks_and_views(spark, sf)
+    clicks, views = _all_and_others(spark, sf)
     return out(
         asof.asof_join(
             clicks, views, "ts", right_on="view_ts", by=["user_id"], tie=["view_id"], left_tie=["event_id"], strategy="sorted"
@@ -212,16 +213,31 @@ def j1_sorted(spark, sf):
     )
 
 
+@query(
+    "j1_asof_null_keys",
+    """SELECT c.event_id, c.k, v.event_id AS view_id FROM
+    (SELECT *, CASE WHEN user_id % 5 > 0 THEN user_id END AS k FROM events) c ASOF LEFT JOIN
+    (SELECT *, CASE WHEN user_id % 3 > 0 THEN user_id END AS k FROM events WHERE event_type <> 'click') v ON c.k = v.k AND c.ts >= v.ts""",
+)
+def j1_null_keys(spark, sf):
+    """Null keys match nothing, whichever way the join goes."""
+    rows, others = _all_and_others(spark, sf)
+    rows = rows.select("event_id", "ts", F.when(F.col("user_id") % 5 > 0, F.col("user_id")).alias("k"))
+    others = others.select("view_ts", "view_id", F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("k"))
+    joined = asof.asof_join(rows, others, "ts", right_on="view_ts", by=["k"], tie=["view_id"], left_tie=["event_id"])
+    return joined.select("event_id", "k", "view_id")
+
+
 @query(
     "j2_asof_tolerance",
     """SELECT c.event_id, c.user_id, c.ts,
       CASE WHEN epoch_us(c.ts) - epoch_us(v.ts) <= 86400000000 THEN v.event_id END AS view_id,
       CASE WHEN epoch_us(c.ts) - epoch_us(v.ts) <= 86400000000 THEN v.value END AS view_value
-    FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN
-    (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts""",
+    FROM events c ASOF LEFT JOIN
+    (SELECT * FROM events WHERE event_type <> 'click') v ON c.user_id = v.user_id AND c.ts >= v.ts""",
 )
 def j2(spark, sf):
-    clicks, views = _clicks_and_views(spark, sf)
+    clicks, views = _all_and_others(spark, sf)
     return out(
         asof.asof_join(
             clicks,

@@ -122,3 +122,14 @@ def test_interpolated_asof_equals_upsampling_then_joining(spark, strategy):
     assert a.keys() == b.keys() and sum(v is None for v in a.values()) > 0
     for k in a:
         assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], abs=1e-9)
+
+
+@pytest.mark.parametrize("strategy", ["auto", "broadcast", "sorted"])
+def test_null_keys_ties_and_an_empty_right_side(spark, strategy):
+    left = spark.createDataFrame([(1, "a", 10), (2, None, 20), (3, "b", None), (4, "b", 30)], "id long, k string, s long")
+    right = spark.createDataFrame([("a", 5, 1), (None, 5, 9), ("b", 30, 2), ("b", 30, 3), ("b", None, 8)], "k string, s long, v long")
+    at = lambda df: df.withColumn("t", F.timestamp_seconds("s")).drop("s")
+    got = asof.asof_join(at(left), at(right), "t", by=["k"], left_tie=["id"], strategy=strategy)
+    assert {r.id: r.v for r in got.collect()} == {1: 1, 2: None, 3: None, 4: 3}
+    none = asof.asof_join(at(left), at(right).where("false"), "t", by=["k"], left_tie=["id"], strategy=strategy)
+    assert sorted(r.id for r in none.where("v IS NULL").collect()) == [1, 2, 3, 4]
