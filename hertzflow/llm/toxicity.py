@@ -138,8 +138,9 @@ class Network:
         normal = lambda *shape: rng.normal(0, 0.25, shape).astype(np.float32)
         self.known = np.sort(known)
         self.p = {
-            # Row 0 stands for unknown words and stays zero.
-            "word": np.vstack([np.zeros((1, WORD_DIM), np.float32), normal(len(known), WORD_DIM)]),
+            # Row 0 stands for unknown words and stays zero. The others begin small, so that
+            # words a small sample teaches nothing about have little say.
+            "word": np.vstack([np.zeros((1, WORD_DIM), np.float32), 0.1 * normal(len(known), WORD_DIM)]),
             "pair": normal(PAIRS, CHAR_DIM),
             "w": normal(WORD_DIM + CHAR_DIM, 6 * UNITS),
             "b": np.zeros(6 * UNITS, np.float32),
@@ -263,13 +264,15 @@ def score_texts(net: Network, texts) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = 3, steps_at_least: int = 150, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
     every = read_words(texts)
     text_of = np.repeat(np.arange(len(texts)), np.diff(every.start))
     pairs = np.unique(np.stack([every.codes, text_of]), axis=1) if len(every.codes) else np.empty((2, 0), np.int64)
     net = Network(every.hashes[np.bincount(pairs[0], minlength=len(every.hashes)) >= MIN_TEXTS])
     y = np.array(labels, np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    # A small sample is gone through more often.
+    epochs = max(epochs, -(-steps_at_least // max(1, -(-len(texts) // batch))))
     rng, step, steps = np.random.default_rng(seed), 0, np.arange(WINDOW)[:, None]
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
@@ -304,21 +307,22 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, batch: int = 48,
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Network:
     """Train on at most ``sample`` labelled rows, a third of them toxic where there are enough.
 
-    Rows of both kinds are taken in the order of a hash of their id, among texts of up to
-    ``SAMPLE_CHARS`` characters. The sample, of bounded size in bytes, is trained on in one
-    task, and only the network reaches the driver. Labels that are null are left out.
-    Without any label of one kind, every text gets the other's score.
+    Labelled ids of both kinds are taken in the order of a hash, twice as many as wanted;
+    only these, a bounded number, are joined to their texts, so no text is shuffled. Of
+    texts up to ``SAMPLE_CHARS`` characters the first ones are trained on in one task, and
+    only the network reaches the driver. Labels that are null are left out. Without any
+    label of one kind, every text gets the other's score.
     """
     named = labels.where(F.col(toxic).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), (F.col(toxic) > 0).cast("int").alias("y")
     )
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = body.join(named, "doc_id").where(F.length("text") <= SAMPLE_CHARS)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    some = [
-        rows.where(F.col("y") == y).orderBy(*order).limit(most)
-        for y, most in ((1, sample // 3), (0, sample - sample // 3))
-    ]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = []
+    for y, most in ((1, sample // 3), (0, sample - sample // 3)):
+        ids = named.where(F.col("y") == y).distinct().orderBy(*order).limit(2 * most)
+        rows = body.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
+        some.append(rows.orderBy(*order, "text").limit(most))
 
     def trained(batches):
         parts = list(batches)
