@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.layout import order_rows
+from ..storage import group_side
 
 
 def _c(x: str | Column) -> Column:
@@ -145,7 +146,7 @@ def auc_roc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
 def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """False and true positive rate at every distinct score, highest first."""
     steps, totals = _score_steps(df, label, score, by)
-    joined = steps.join(totals, list(by)) if by else _with_totals(steps, totals)
+    joined = steps.join(group_side(totals, "score-totals"), list(by)) if by else _with_totals(steps, totals)
     return joined.select(
         *by,
         F.col(score).alias("threshold"),
@@ -165,7 +166,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     v = F.col(value)
     known = df.where(v.isNotNull()).select(*by, value)
     span = known.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    rows = known.join(span, list(by)) if by else _with_totals(known, span)
+    rows = known.join(group_side(span, "spans"), list(by)) if by else _with_totals(known, span)
     width = (F.col("_high") - F.col("_low")) / bins
     bin_no = F.least(F.lit(bins - 1), F.coalesce(F.floor((v - F.col("_low")) / F.nullif(width, F.lit(0.0))), F.lit(0)))
     out = rows.groupBy(*by, "_low", "_high", bin_no.cast("int").alias("bin")).agg(F.count("*").alias("rows"))
@@ -204,7 +205,7 @@ def period_comparison(df: DataFrame, period: str, first, second, metrics: Mappin
 def normalise_by_max(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """|x| / max |x| per column; 0 where the maximum is 0."""
     peak = df.groupBy(*by).agg(*[F.max(F.abs(c)).alias(f"_max_{c}") for c in columns])
-    rows = df.join(peak, list(by)) if by else _with_totals(df, peak)
+    rows = df.join(group_side(peak, "peaks"), list(by)) if by else _with_totals(df, peak)
     return rows.withColumns(
         {f"{c}_norm": F.coalesce(F.abs(c) / F.nullif(f"_max_{c}", F.lit(0.0)), F.lit(0.0)) for c in columns}
     ).drop(*[f"_max_{c}" for c in columns])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.layout import order_rows
+from ..storage import group_side
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, alphas: Sequence[float]) -> DataFrame:
@@ -27,7 +28,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, alphas: Sequen
         sizes = sizes.withColumnsRenamed(dict(zip(by, names)))
         for c, n in zip(by, names):
             same = same & F.col(c).eqNullSafe(F.col(n))
-        ranks = ranks.join(sizes, same).drop(*names)
+        ranks = ranks.join(group_side(sizes, "group-sizes"), same).drop(*names)
     else:
         ranks = ranks.withColumn("_size", F.lit(sizes.first()["_size"]))
     levels = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..operators.layout import order_rows
-from ..storage import stage
+from ..storage import group_side, stage
 
 _VECTOR, _LEAF, _TREE = "_features", "_leaf", "_tree"
 _SAVED = (
@@ -183,7 +183,7 @@ class GroupedQuantiles:
         return cls(spark.read.parquet(f"{path}/table"), tuple(row.cells), tuple(row.names), tuple(row.fallback))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scored = df.join(self.table, list(self.cells), "left")
+        scored = df.join(group_side(self.table, "grouped-quantiles"), list(self.cells), "left")
         return scored.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in zip(self.names, self.fallback)})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import stage
+from ..storage import group_side, stage
 from .layout import order_rows
 
 MAX_BROADCAST_BYTES = 64 << 20
@@ -190,7 +190,7 @@ def nearest_row(
     runs before the shuffle, so a hot day is reduced where it is read.
     """
     gap = F.abs(F.unix_micros(F.col(on)) - F.unix_micros(F.col(target_on)))
-    pairs = df.join(targets, list(by))
+    pairs = df.join(group_side(targets, "targets"), list(by))
     best = F.min_by(F.struct(*df.columns), F.struct(gap, on, *tie)).alias("_best")
     group = [*key, target_on, *[c for c in series if c not in key]]
     out = pairs.groupBy(*group).agg(best)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
+from ..storage import group_side
 from .layout import POS, Frames, OrderedRows
 
 
@@ -134,7 +135,7 @@ def clean_and_fill(ordered: OrderedRows, column: str, default: float = 0.0) -> D
 def every_nth(numbered: OrderedRows, parts: int = 60, number: str = "row_number") -> DataFrame:
     """Thin each series to about ``parts`` rows: every n-th row from its first."""
     size = numbered.df.groupBy(*numbered.series).agg(F.count("*").alias("_size"))
-    keyed = numbered.df.join(size, list(numbered.series)) if numbered.series else None
+    keyed = numbered.df.join(group_side(size, "series-sizes"), list(numbered.series)) if numbered.series else None
     if keyed is None:
         keyed = numbered.df.withColumn("_size", F.lit(numbered.total))
     step = F.greatest(F.lit(1), F.expr(f"_size div {parts}"))

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 200_000
 
 
 def work_root(spark: SparkSession) -> str:
@@ -36,3 +39,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def group_side(groups: DataFrame, label: str) -> DataFrame:
+    """A table with one row per group, to be joined to all rows of the groups.
+
+    It is written and counted. Up to ``SMALL_ROWS`` rows it is broadcast, so the rows
+    stay where they are and a hot group is no hot task; a larger one is joined by key,
+    where Spark splits hot partitions. The result is the same.
+    """
+    groups = stage(groups, label)
+    return F.broadcast(groups) if groups.count() <= SMALL_ROWS else groups

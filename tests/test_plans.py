@@ -74,3 +74,24 @@ def test_a_kept_layout_opens_without_ordering(spark, tmp_path, plan_of):
     assert exchanges(plan_of(again.df)) == 0
     a, b = (d.df.select(POS, "event_id").orderBy(POS).collect() for d in (made, again))
     assert a == b
+
+
+def test_group_tables_meet_the_rows_where_they_are(spark, plan_of):
+    """Even without automatic broadcasts, rows are not shuffled on a key of few values."""
+    from hertzflow.functions.metrics import normalise_by_max
+    from hertzflow.models.quantile import fit_grouped_quantiles
+    from hertzflow.operators.layout import series_row_number
+    from hertzflow.operators.windows import every_nth
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = signal(spark, SF)
+        assert "SortMergeJoin" not in plan_of(normalise_by_max(df, ["grid_frequency"], ["series"]))
+        numbered = series_row_number(order_rows(df, ["series"], ["timestamp", "event_id"]))
+        assert "SortMergeJoin" not in plan_of(every_nth(numbered))
+        model = fit_grouped_quantiles(df, ["series"], "grid_frequency", (0.1, 0.9), ("lower", "upper"))
+        plan = plan_of(model.transform(df))
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
