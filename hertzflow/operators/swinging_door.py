@@ -12,30 +12,48 @@ from ..storage import stage
 from .layout import POS, OrderedRows
 
 SEGMENT_ROWS = 86_400
+BLOCK, MAX_BLOCK = 16, 8192
 SLOPE = "slope"
 
 
 def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
     """Mask of the points to keep: the corridor of ``width`` around the line from the
     last kept point narrows with every point; when it closes, the previous one is kept."""
-    t, v = np.asarray(seconds).tolist(), np.asarray(values).tolist()
+    t, v = np.asarray(seconds, dtype=float), np.asarray(values, dtype=float)
     n = len(v)
-    kept = {0, n - 1} if n else set()
-    start, low, high = 0, -np.inf, np.inf
-    for i in range(1, n):
-        gap, rise = t[i] - t[start], v[i] - v[start]
-        if gap > 0 and not low * gap <= rise <= high * gap:
-            start, low, high = i - 1, -np.inf, np.inf
-            kept.add(start)
-            gap, rise = t[i] - t[start], v[i] - v[start]
-        if gap > 0:
-            low, high = max(low, (rise - width) / gap), min(high, (rise + width) / gap)
-        else:
-            # No slope exists between points of one instant: keep both.
-            start, low, high = i, -np.inf, np.inf
-            kept.add(i)
     mask = np.zeros(n, dtype=bool)
-    mask[list(kept)] = True
+    if not n:
+        return mask
+    mask[[0, n - 1]] = True
+    times, points = t.tolist(), v.tolist()
+    start, at, size, low, high = 0, 1, BLOCK, -np.inf, np.inf
+    while at < n:
+        if at <= start + BLOCK:
+            # Short runs are quicker point by point.
+            gap, rise = times[at] - times[start], points[at] - points[start]
+            if gap > 0 and low * gap <= rise <= high * gap:
+                low, high, at = max(low, (rise - width) / gap), min(high, (rise + width) / gap), at + 1
+                continue
+            start = at - 1 if gap > 0 else at
+            at, size, low, high = start + 1, BLOCK, -np.inf, np.inf
+            mask[start] = True
+            continue
+        # A block of points at once, with the corridor as it is before each of them.
+        gap, rise = t[at : at + size] - t[start], v[at : at + size] - v[start]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lows = np.maximum.accumulate(np.concatenate([[low], (rise - width) / gap]))
+            highs = np.minimum.accumulate(np.concatenate([[high], (rise + width) / gap]))
+            same_time = gap <= 0
+            ends = same_time | ~((lows[:-1] * gap <= rise) & (rise <= highs[:-1] * gap))
+        k = int(ends.argmax())
+        if not ends[k]:
+            at, size, low, high = at + len(gap), min(2 * size, MAX_BLOCK), lows[-1], highs[-1]
+            continue
+        # No slope exists between points of one instant: keep both. Else the point
+        # before the one that closed the corridor is kept, and that one is seen again.
+        start = at + k if same_time[k] else at + k - 1
+        at, size, low, high = start + 1, BLOCK, -np.inf, np.inf
+        mask[start] = True
     return mask
 
 
