@@ -45,6 +45,7 @@ def trust_score(alert, monitor, volatility, rocof, probability, value) -> Column
     def penalty(when: Column, size: Column) -> Column:
         return F.when(when, size).otherwise(0.0)
 
+    # Limits, weights and caps of the penalties.
     score = (
         100.0
         - penalty(v > 0.015, F.least(F.lit(20.0), 200 * v))
@@ -55,6 +56,9 @@ def trust_score(alert, monitor, volatility, rocof, probability, value) -> Column
     return F.when(conflict(alert, monitor), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
+# Fixed values below: the limits of bands, zones and levels.
+
+
 def frequency_band(value) -> Column:
     x = _c(value)
     return F.when(x.between(49.8, 50.2), "green").when(x >= 49.6, "amber").otherwise("red")

@@ -19,6 +19,7 @@ START = dt.datetime(2019, 8, 9, 16, 50)
 @pytest.fixture(scope="module")
 def merged(spark):
     """200 rows at 1 Hz with all raw columns."""
+    # The seeded series that the expected features are known for.
     rng = np.random.default_rng(42)
     n = 200
     pdf = pd.DataFrame(

@@ -18,6 +18,7 @@ def frame(spark, **columns):
 # ---- alerts ----------------------------------------------------------------------
 
 
+# Published cases of the rules.
 @pytest.mark.parametrize(
     "lower, monitor, expected",
     [
