@@ -189,3 +189,12 @@ def test_ramp_rate_covers_every_row(series_frame):
     for width in (None, 0.5):
         got = ramp_rate(ordered, "ts", "v", width).toPandas()
         assert len(got) == 798 and np.isfinite(got.ramp_rate).all()
+
+
+def test_fill_linear_between_samples_of_one_instant(spark):
+    from hertzflow.operators.resample import fill_linear
+
+    rows = [("s", 0, 0, 1.0), ("s", 0, 1, None), ("s", 0, 2, 3.0), ("s", 10, 3, None), ("s", 20, 4, 5.0)]
+    df = spark.createDataFrame(rows, "g string, at long, id long, x double").withColumn("t", F.timestamp_seconds("at")).drop("at")
+    got = {r.id: r.x for r in fill_linear(df, ["g"], "t", ["x"], tie=["id"]).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 3.0, 3: 4.0, 4: 5.0}

@@ -103,3 +103,24 @@ def test_attribution_adds_up_to_the_linear_model(noisy):
 def test_score_applies_shifts(noisy):
     got = score(noisy, lambda d: d.withColumns({"lower": F.col("a"), "upper": F.col("a")}), shifts=(-1.0, 2.0))
     assert got.where("abs(upper - lower - 3.0) > 1e-12").count() == 0
+
+
+def test_rows_with_missing_features_stay(spark, noisy, bounds):
+    holed = noisy.withColumn("a", F.when(F.col("t") % 5 > 0, F.col("a"))).withColumn(
+        "b", F.when(F.col("t") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("b"))
+    )
+    want = noisy.where("t % 5 = 0 OR t % 7 = 0").count()
+    got = bounds[0].transform(holed, "q")
+    assert got.count() == 3000 and got.where("q IS NULL").count() == want
+    with pytest.warns(UserWarning, match=f"{want} rows"):
+        model = classify.fit_instability_classifier(holed, ["a", "b"], "c", rounds=2, depth=2)
+    got = classify.classify(model, holed, ["a", "b"])
+    assert got.count() == 3000 and got.where("probability IS NULL AND predicted IS NULL").count() == want
+
+
+def test_empty_calibration_is_an_error(noisy):
+    rows = noisy.withColumn("q", F.col("a")).where("false")
+    with pytest.raises(ValueError, match="no calibration rows"):
+        quantile.conformal_shift(rows, "y", "q", 0.1)
+    with pytest.raises(ValueError, match="no calibration rows"):
+        quantile.conformal_bounds(rows, "y", ("q", "q"), (0.1, 0.9))

@@ -119,3 +119,23 @@ def test_timeout_stops_the_query(spark, tmp_path):
     with pytest.raises(TimeoutError):
         jobs._finish(q, 1)
     assert q.stopped
+
+
+def test_live_nulls_are_as_in_batch(spark, tmp_path):
+    rows = [(s, t, i, None if i % 17 == 3 else v) for s, t, i, v in rows_of(300)]
+    land(spark, f"{tmp_path}/in", [rows[i : i + 75] for i in range(0, 300, 75)])
+    live = jobs.drain(jobs.row_features(stream(spark, f"{tmp_path}/in"), "series", "timestamp", "event_id", "grid_frequency"), "t")
+    batch = row_features(order_rows(spark.createDataFrame(rows, SCHEMA), ["series"], ["timestamp"], chunk_rows=50))
+    a, b = (d.orderBy("event_id").toPandas() for d in (live, batch))
+    for c in ("rocof", "volatility_10s", "volatility_30s", "volatility_60s", "lag_1s", "lag_5s", "lag_60s"):
+        assert np.allclose(a[c], b[c], atol=1e-9), c
+
+
+def test_open_sessions_complete_the_closed_ones(spark, tmp_path):
+    rows = [("a", START + dt.timedelta(seconds=s), i, 49.0) for i, s in enumerate([0, 10, 500, 1000, 1010])]
+    land(spark, f"{tmp_path}/in", [rows[:3], rows[3:]])
+    closed = jobs.drain(jobs.breach_sessions(stream(spark, f"{tmp_path}/in"), "timestamp", ["series"], "grid_frequency"), "t")
+    got = jobs.with_open_sessions(closed, spark.createDataFrame(rows, SCHEMA), "timestamp", ["series"], "grid_frequency")
+    assert sorted((r.session_start, r.breach_rows) for r in got.collect()) == [
+        (START, 2), (START + dt.timedelta(seconds=500), 1), (START + dt.timedelta(seconds=1000), 2)
+    ]
