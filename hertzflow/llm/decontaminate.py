@@ -8,8 +8,9 @@ where the window fits between the ends of the document (length and position), an
 verified word by word on the document's words around the token.
 
 Documents are read once for the tokens; only occurrences of benchmark shingles leave
-that scan, with the few words around them. Whether the benchmark side is broadcast
-is left to Catalyst, which sees the size of its written tables. Frequent shingles never
+that scan, with the few words around them. The benchmark's shingles are broadcast if
+they are at most ``BROADCAST_ROWS``; else places are found by a shuffle of keys and
+looked up in the documents that have any. Frequent shingles never
 lead a window that has a rarer one, and joins on the rest can be split by AQE.
 
 Null and empty texts have no words, and items without words have no windows. Rows that
@@ -28,6 +29,7 @@ from ..storage import stage
 
 # The words of the contract, lower-cased, and the same in raw text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BROADCAST_ROWS = 200_000
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHINGLE = 3
 
@@ -55,16 +57,16 @@ def _shingle(words: Column, start: Column, size: Column) -> Column:
 def occurrences(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """Where windows occur: (doc_id, start, size, win), and which items hold them: (win, item_id).
+    """Where windows occur: (doc_id, start, size, win), and which items hold them: (item_id, win).
 
-    ``start`` counts words from 0; ``win`` is the window's words joined by blanks.
+    ``start`` counts words from 0; ``win`` is a hash of the window's words. Rows are
+    distinct unless a doc_id repeats.
     """
     spark = docs.sparkSession
-    owners = stage(
-        item_windows(items, item_id, text, window).select("item_id", F.array_join("words", " ").alias("win"), "words"),
-        "windows",
-    )
-    wins = owners.select("win", "words", F.size("words").alias("size")).distinct()
+    texts = item_windows(items, item_id, text, window).withColumn("plain", F.array_join("words", " "))
+    texts = stage(texts.withColumn("win", F.xxhash64("plain")), "windows")
+    owners = texts.select("item_id", "win")
+    wins = texts.select("win", "plain", "words", F.size("words").alias("size")).distinct()
     width = F.least(F.lit(SHINGLE), F.size("words"))
     placed = wins.withColumn("width", width).withColumn("offset", F.explode(F.expr("sequence(0, size - width)")))
     placed = stage(
@@ -76,23 +78,34 @@ def occurrences(
 
     doc_words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("_all"))
     each = doc_words.select("doc_id", "_all", F.size("_all").alias("n"), F.posexplode("_all").alias("pos", "_word"))
+    few = tokens.count() <= BROADCAST_ROWS
     found = []
     for k in widths:
-        parts = [F.col("_word"), *(F.get("_all", F.col("pos") + i) for i in range(1, k))]
+        parts = [F.get("_all", F.col("pos") + i) for i in range(k)]
         # The token itself only, hashed on both sides, so that the join key is one long.
         needles = tokens.where(F.col("width") == k).select(
             "token", F.xxhash64(*(F.element_at(F.split("token", " "), i + 1) for i in range(k))).alias("_key")
         )
-        rows = each.where(F.col("pos") + k <= F.col("n")).withColumn("_key", F.xxhash64(*parts))
+        rows = each.where(F.col("pos") + k <= F.col("n")).withColumn("_key", F.xxhash64("_word", *parts[1:]))
         left = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        found.append(
-            rows.join(needles, "_key")
-            .where(F.concat_ws(" ", *parts) == F.col("token"))
-            .select("doc_id", "pos", "n", "token", left.alias("left"), F.slice("_all", left + 1, 2 * window).alias("near"))
+        near = F.array_join(F.slice("_all", left + 1, 2 * window), " ").alias("near")
+        if few:
+            held = rows.join(F.broadcast(needles), "_key").where(F.concat_ws(" ", *parts) == F.col("token"))
+            found.append(held.select("doc_id", "pos", "n", "token", left.alias("left"), near))
+            continue
+        # Rows of a shuffle must not carry the words of their document: places are found
+        # by key alone and then looked up in the documents that have any.
+        places = rows.select("doc_id", "pos", "_key").join(needles.select("_key"), "_key", "left_semi")
+        places = places.groupBy("doc_id").agg(F.collect_set("pos").alias("_places"))
+        again = doc_words.join(places, "doc_id").select(
+            "doc_id", "_all", F.size("_all").alias("n"), F.explode("_places").alias("pos")
         )
+        again = again.where(F.col("pos") + k <= F.col("n"))
+        lean = again.select("doc_id", "pos", "n", F.concat_ws(" ", *parts).alias("token"), left.alias("left"), near)
+        found.append(lean.join(needles.select("token"), "token", "left_semi").select("doc_id", "pos", "n", "token", "left", "near"))
     if not found:
-        empty = spark.createDataFrame([], "start int, size int, win string")
-        return docs.select(F.col(doc_id).alias("doc_id")).limit(0).crossJoin(empty), owners.select("win", "item_id")
+        nothing = (F.lit(0).cast("int").alias("start"), F.lit(0).cast("int").alias("size"), F.lit(0).cast("bigint").alias("win"))
+        return docs.select(F.col(doc_id).alias("doc_id"), *nothing).where("false"), owners
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
@@ -100,18 +113,15 @@ def occurrences(
 
     counts = hits.groupBy("token").count()
     ranked = placed.join(counts, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    prefix = ranked.groupBy("win", "words", "size").agg(F.min(F.struct("count", "token", "offset")).alias("lead"))
-    prefix = stage(
-        prefix.where("lead.count > 0").select("win", "words", "size", "lead.token", "lead.offset"), "window-prefixes"
-    )
-    start = F.col("pos") - F.col("offset")
+    prefix = ranked.groupBy("win", "plain", "size").agg(F.min(F.struct("count", "token", "offset")).alias("lead"))
+    prefix = prefix.where("lead.count > 0").select("win", "plain", "size", "lead.token", "lead.offset")
     held = (
-        hits.join(prefix, "token")
-        .withColumn("start", start)
+        hits.join(stage(prefix, "window-prefixes"), "token")
+        .withColumn("start", F.col("pos") - F.col("offset"))
         .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
-        .where(F.slice("near", F.col("start") - F.col("left") + 1, F.col("size")) == F.col("words"))
     )
-    return held.select("doc_id", "start", "size", "win").distinct(), owners.select("win", "item_id")
+    inside = F.slice(F.split("near", " "), F.col("start") - F.col("left") + 1, F.col("size"))
+    return held.where(F.array_join(inside, " ") == F.col("plain")).select("doc_id", "start", "size", "win"), owners
 
 
 def contamination(
@@ -126,7 +136,7 @@ def contamination(
     end = F.col("start") + F.col("size")
     fresh = end - F.greatest(F.col("start"), F.least(end, F.coalesce(F.max(end).over(before), F.lit(0))))
     hit = longest.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    by_item = held.select("doc_id", "win").distinct().join(owners, "win")
+    by_item = held.select("doc_id", "win").distinct().join(owners, "win").select("doc_id", "item_id").distinct()
     named = by_item.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     sizes = docs.select(
         F.col(doc_id).alias("doc_id"),

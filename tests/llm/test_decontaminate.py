@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from hertzflow.llm import decontaminate
 from hertzflow.llm.decontaminate import contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -28,7 +31,9 @@ def brute(docs, items, window=10):
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_equals_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(3)
     vocabulary = ["the", "of", "naïve", "Ü", "x1", "and", "Cat", "漢字", "a", "b", "c"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
