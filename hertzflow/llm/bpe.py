@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 NONE = np.int64(1 << 40)
 LONG_PIECE = 512
 RUN_PIECES = 400_000
+MATRIX_CELLS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,7 +178,7 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[str]) -> tuple[np.ndarray
     runs = []
     for width in np.unique(buckets[lengths <= LONG_PIECE]).tolist():
         chosen = rest[(buckets == width) & (lengths <= LONG_PIECE)]
-        step = max(1, (1 << 21) // width)
+        step = max(1, MATRIX_CELLS // width)
         for lo in range(0, len(chosen), step):
             part = chosen[lo : lo + step]
             ids, count = _merge_matrix(vocabulary, [raw[i] for i in part], width)
