@@ -293,11 +293,15 @@ def _distinct_contexts(length: int, shard_rows: int):
 def _cut_contexts(length: int):
     def rows(batches):
         for pdf in batches:
-            for text, marks in zip(pdf["text"], pdf["marks"], strict=True):
+            part = pd.DataFrame({c: np.concatenate(pdf[c].to_list()) for c in ("anchor", "shard", "at", "shape")})
+            counts = pdf["anchor"].map(len).to_numpy()
+            part.insert(2, "doc_id", np.repeat(pdf["doc_id"].to_numpy(), counts))
+            stop = part["at"].to_numpy() + _windows(part["shape"].to_numpy()) + length
+            pieces = []
+            for text, begin, end in zip(pdf["text"], pdf["at"], np.split(stop, np.cumsum(counts)[:-1]), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                part = pd.DataFrame([tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in marks], columns=["anchor", "shard", "doc_id", "at", "shape"])
-                part["bytes"] = [raw[a : a + _windows(s) + length] for a, s in zip(part["at"], part["shape"], strict=True)]
-                yield part
+                pieces += [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield part.assign(bytes=pieces)
 
     return rows
 
@@ -423,10 +427,10 @@ def repeated_spans(
         _distinct_contexts(length, shard_rows), "doc_id bigint, at bigint, stop bigint, shard bigint, anchor bigint, shape int"
     )
     split = stage(split, "contexts")
-    marks = split.where("shard >= 0").groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", "shard", "doc_id", "at", "shape")).alias("marks")
-    )
-    cut = source.join(marks, "doc_id").select("text", "marks").mapInPandas(
+    columns = ("anchor", "shard", "at", "shape")
+    marks = split.where("shard >= 0").groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("marks"))
+    each = [F.col("marks")[c].alias(c) for c in columns]
+    cut = source.join(marks, "doc_id").select("doc_id", "text", *each).mapInPandas(
         _cut_contexts(length), "anchor bigint, shard bigint, doc_id bigint, at bigint, shape int, bytes binary"
     )
     sorted_ = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
@@ -448,12 +452,11 @@ def _cut(columns: list[str]):
     def rows(batches):
         for pdf in batches:
             out = []
-            for text, spans in zip(pdf["_text"], pdf["_spans"], strict=True):
+            for text, at, stop in zip(pdf["_text"], pdf["_at"], pdf["_stop"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 begin, end = [], []
-                if spans is not None and len(spans):
-                    pairs = np.array([tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in spans], np.int64)
-                    _, begin, end = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+                if at is not None and len(at):
+                    _, begin, end = merged(np.zeros(len(at), np.int64), at, stop)
                 pieces, at = [], 0
                 for b, e in zip(begin, end, strict=True):
                     pieces.append(raw[at:b])
@@ -478,6 +481,7 @@ def remove_repeats(
     """Per row: doc_id, ``others``, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
     spans = repeated_spans(docs, doc_id, text, length, shard_rows)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "stop")).alias("_spans"))
+    spans = spans.select("doc_id", F.col("_spans.at").alias("_at"), F.col("_spans.stop").alias("_stop"))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *others)
     plain = source.drop("_text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
