@@ -4,7 +4,15 @@ A text is cut into sentences, these are normalised (lower case, every run of oth
 characters one blank) and mapped to the identifiers of known license sentences. The
 identifier sequence, in which a run of unknown sentences is one mark, is matched
 against ordered rules: a rule takes its sentences out of the sequence, so a later,
-more general rule cannot count them again.
+more general rule cannot count them again. For the rules, sentences that are only a
+list marker are left out, a marker in front of a sentence is passed over, and one run
+of unknown sentences may lie between two sentences of a rule. Where sentences are
+missing or changed, ``PARTIAL`` takes what is left.
+
+Known are MIT, BSD with 2, 3 and 4 clauses, Apache 1.1 and 2.0, GPL 2 and 3, MPL 2.0, ISC,
+Unlicense and Creative Commons BY, BY-SA and BY-NC 4.0, by their grants or notices. A text
+under another license (LGPL, EPL, Boost, zlib, ...) has no result. BSD conditions that
+leave the number of clauses open count as BSD.
 
 Texts are cut twice, since licenses come wrapped over lines as well as in single lines
 amid other text: once at line ends and once at paragraph ends. A license counts as
@@ -100,21 +108,52 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-4.0", ["cc-by-short"]),
 ]
+# Not in the SQL form, which stays as it was.
+MORE_SENTENCES = {
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following "
+    "acknowledgement",
+    "apache11-notice": "The end-user documentation included with the redistribution, if any, must include the following "
+    "acknowledgment",
+}
+BEFORE = [
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert"]),
+    ("Apache-1.1", ["bsd-grant", "bsd-source", "bsd-binary", "apache11-notice"]),
+]
+PARTIAL = [
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-names"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-names"]),
+    ("BSD", ["bsd-grant", "bsd-source"]),
+    ("BSD", ["bsd-grant", "bsd-binary"]),
+    ("BSD", ["bsd-source", "bsd-binary"]),
+    ("BSD", ["bsd-grant"]),
+    ("MIT", ["mit-grant", "mit-keep"]),
+    ("MIT", ["mit-grant", "mit-as-is"]),
+    ("MIT", ["mit-keep", "mit-as-is"]),
+    ("MIT", ["mit-grant"]),
+    ("GPL-3.0-or-later", ["gpl3-terms"]),
+    ("GPL-2.0-or-later", ["gpl2-terms", "gpl2-version"]),
+]
 SIGNS = r"licens|permission|redistribut|copyright|warrant|free software|public domain|apply|mpl"
 LINES = r"[.!?;:]+(?:[ \t\r\n]+|$)|[\r\n]+"
 PARAGRAPHS = r"[.!?;:]+(?:[ \t\r\n]+|$)|\n[ \t\r]*\n"
 UNKNOWN = "~"
+MARKER = r"(?:[0-9]{1,3}(?: [0-9]{1,3})*|[a-z]|x{0,3}(?:ix|iv|v?i{1,3}|v|x))"
+# Holders are named in this sentence instead of "the copyright holder".
+NAMES = r"^neither the names? of .{1,300} nor the names of (?:its|their|any|other) contributors "
 
 
 def normalised(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)).strip()
 
 
-def _known(cut: str) -> dict[str, str]:
+def _known(cut: str, sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     """Normalised sentence to identifier. Wordings are cut like texts, so an inner
     separator (as in a version number followed by a blank) makes several sentences."""
     out = {}
-    for name, wording in SENTENCES.items():
+    for name, wording in sentences.items():
         pieces = [p for p in map(normalised, re.split(cut, wording)) if p]
         for k, piece in enumerate(pieces):
             out.setdefault(piece, name if len(pieces) == 1 else f"{name}.{k}")
@@ -129,40 +168,82 @@ def _rule_patterns(cut: str) -> list[tuple[str, str]]:
     return [(license, "".join(map(marks, names))) for license, names in RULES]
 
 
-def sequence(text: Column, cut: str) -> Column:
-    """The identifiers of the sentences, as ``<a><b>~<c>``."""
-    known = _known(cut)
-    ids = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+def _expressions(cut: str) -> list[tuple[str, str]]:
+    """All rules as regular expressions that pass over one run of unknown sentences."""
+    every = SENTENCES | MORE_SENTENCES
+    known = _known(cut, every)
+    marks = lambda name: "".join(
+        re.escape(f"<{known[p]}>") for p in map(normalised, re.split(cut, every[name])) if p
+    )
+    return [(license, f"{UNKNOWN}?".join(map(marks, names))) for license, names in BEFORE + RULES + PARTIAL]
+
+
+def _marks(text: Column, cut: str) -> Column:
+    """The identifiers of the sentences, as ``<a>{b}~^<c>``: known as they stand, known but
+    for a list marker or names, unknown, a list marker."""
+
+    def named_in(known: dict[str, str], s: Column, left: str, right: str) -> Column:
+        ids = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+        return F.concat(F.lit(left), F.try_element_at(ids, s), F.lit(right))
+
+    def bare(s: Column) -> Column:
+        names = "neither the name of the copyright holder nor the names of its contributors "
+        return F.regexp_replace(F.regexp_replace(s, f"^{MARKER} ", ""), NAMES, names)
+
     low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     plain = F.transform(F.split(low, cut), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
+    longest = max(map(len, _known(cut, SENTENCES | MORE_SENTENCES))) + 400
     named = F.transform(
         F.filter(plain, lambda s: s != ""),
-        lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(ids, s), F.lit(">")), F.lit(UNKNOWN)),
+        lambda s: F.coalesce(
+            named_in(_known(cut), s, "<", ">"),
+            F.when(F.length(s) <= longest, named_in(_known(cut, SENTENCES | MORE_SENTENCES), bare(s), "{", "}")),
+            F.when((F.length(s) <= 16) & F.regexp_like(s, F.lit(f"^{MARKER}$")), "^"),
+            F.lit(UNKNOWN),
+        ),
     )
-    marks = F.regexp_replace(F.array_join(named, ""), f"{UNKNOWN}+", UNKNOWN)
-    return F.when(F.regexp_like(low, F.lit(SIGNS)), marks).otherwise(F.lit(""))
+    return F.when(F.regexp_like(low, F.lit(SIGNS)), F.array_join(named, "")).otherwise(F.lit(""))
+
+
+def _as_they_stand(marks: Column) -> Column:
+    # In two steps: Java's repeated groups recurse, and a long text has very many marks.
+    return F.regexp_replace(F.regexp_replace(marks, r"\{[^}]*\}", UNKNOWN), r"[~^]+", UNKNOWN)
+
+
+def _for_rules(marks: Column) -> Column:
+    return F.regexp_replace(F.translate(marks, "{}^", "<>"), f"{UNKNOWN}+", UNKNOWN)
+
+
+def sequence(text: Column, cut: str) -> Column:
+    """The identifiers of the sentences, as ``<a><b>~<c>``."""
+    return _as_they_stand(_marks(text, cut))
 
 
 def _counts(marks: Column, cut: str) -> dict[str, Column]:
     counts: dict[str, Column] = {}
-    for license, pattern in _rule_patterns(cut):
-        rest = F.replace(marks, F.lit(pattern), F.lit("|"))
-        taken = (F.length(marks) - F.length(rest)) / (len(pattern) - 1)
+    for license, pattern in _expressions(cut):
+        taken = F.regexp_count(marks, F.lit(pattern))
         counts[license] = counts[license] + taken if license in counts else taken
-        marks = rest
+        marks = F.regexp_replace(marks, pattern, "|")
     return counts
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, by_line and by_paragraph (identifier sequences) and
-    licenses: an array of (license, times), sorted by license."""
+    """Per row: doc_id, by_line and by_paragraph (identifier sequences of the sentences as
+    they stand) and licenses: an array of (license, times), sorted by license."""
     body = F.coalesce(F.col(text), F.lit(""))
     marked = docs.select(
         F.col(doc_id).alias("doc_id"),
-        sequence(body, LINES).alias("by_line"),
-        sequence(body, PARAGRAPHS).alias("by_paragraph"),
+        _marks(body, LINES).alias("_line"),
+        _marks(body, PARAGRAPHS).alias("_paragraph"),
+    ).select(
+        "doc_id",
+        _as_they_stand(F.col("_line")).alias("by_line"),
+        _as_they_stand(F.col("_paragraph")).alias("by_paragraph"),
+        _for_rules(F.col("_line")).alias("_line"),
+        _for_rules(F.col("_paragraph")).alias("_paragraph"),
     )
-    line, paragraph = _counts(F.col("by_line"), LINES), _counts(F.col("by_paragraph"), PARAGRAPHS)
+    line, paragraph = _counts(F.col("_line"), LINES), _counts(F.col("_paragraph"), PARAGRAPHS)
     found = F.array(
         *(
             F.struct(F.lit(name).alias("license"), F.greatest(line[name], paragraph[name]).cast("bigint").alias("times"))
@@ -170,13 +251,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         )
     )
     found = F.filter(found, lambda x: x["times"] > 0)
-    nothing = (~F.contains("by_line", F.lit("<"))) & (~F.contains("by_paragraph", F.lit("<")))
+    nothing = (~F.contains("_line", F.lit("<"))) & (~F.contains("_paragraph", F.lit("<")))
     none = F.array().cast("array<struct<license: string, times: bigint>>")
-    return marked.withColumn("licenses", F.when(nothing, none).otherwise(found))
+    return marked.withColumn("licenses", F.when(nothing, none).otherwise(found)).drop("_line", "_paragraph")
 
 
 def scan_sql(docs: str = "documents") -> str:
-    """The same in SQL, with flat result columns."""
+    """The form of the first round in SQL, with flat result columns: exact rules only."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"

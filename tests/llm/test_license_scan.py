@@ -62,3 +62,59 @@ def test_a_known_sentence_always_shows_a_sign():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.scan(df).count() == 0
+
+
+BSD_3 = """Copyright 2020 A. Person
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+def test_published_numbered_bsd_texts(spark):
+    head, names, tail = BSD_3.partition("3. Neither")[0], *re.split(r"(?=\n\nTHIS)", "3. Neither" + BSD_3.partition("3. Neither")[2])
+    advert = "3. All advertising materials mentioning features or use of this software must display the following\nacknowledgement: This product includes software developed by X.\n\n4"
+    comment = "/*\n" + "".join(f" * {x}\n" for x in BSD_3.split("\n")) + " */"
+    texts = {
+        BSD_3: "BSD-3-Clause",
+        head + tail: "BSD-2-Clause",
+        re.sub(r"(?m)^(\d)\. ", r"(\1) ", BSD_3): "BSD-3-Clause",
+        re.sub(r"(?m)^(\d)\. ", r"    \1) ", BSD_3): "BSD-3-Clause",
+        re.sub(r"(?m)^\d\. ", "iv. ", BSD_3): "BSD-3-Clause",
+        re.sub(r"(?m)^\d\. ", "* ", BSD_3): "BSD-3-Clause",
+        comment: "BSD-3-Clause",
+        BSD_3.replace("the copyright holder nor", "Some Inc. nor").replace("Inc.", "Inc"): "BSD-3-Clause",
+        head + advert + names[1:] + tail: "BSD-4-Clause",
+    }
+    assert found(spark, *texts) == [[(name, 1)] for name in texts.values()]
+
+
+def test_partial_texts_count_once(spark):
+    grant, keep, as_is = (L.SENTENCES[x] for x in ("mit-grant", "mit-keep", "mit-as-is"))
+    other = "Something else about the software"
+    texts = [". ".join(x) + "." for x in (
+        (grant, other, as_is), (grant, as_is), (other, keep, as_is), (grant, keep, other), (grant, other, keep, other, as_is), (grant,),
+    )]
+    got = found(spark, *texts, L.SENTENCES["bsd-grant"] + ":\n1. Changed.\n", as_is + ".", " 1. a. ii.")
+    assert got == [[("MIT", 1)]] * 6 + [[("BSD", 1)], [], []]
+
+
+def test_reported_sequence_has_markers_as_unknown(spark):
+    df = spark.createDataFrame([(1, "1. Released under the MIT License. 2) Released under the MIT License")], "doc_id long, text string")
+    row = L.scan(df).first()
+    assert row.by_line == "~<mit-short>~" and [tuple(x) for x in row.licenses] == [("MIT", 2)]
+
+
+def test_very_many_sentences(spark):
+    text = "One. 2. Three. " * 50_000 + "1 2 " * 100_000 + ".\n1. Released under the MIT License.\n"
+    assert found(spark, text) == [[("MIT", 1)]]
