@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.metrics import day_summary
+from ..operators.layout import POS, order_rows
+from ..operators.windows import add_steps, feature_steps
 from ..settings import DEFAULTS
-from ..storage import stage, work_path
+from ..storage import group_side, stage, work_path
 
 
 def read_folder(spark: SparkSession, path: str, schema, pattern: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -90,6 +92,8 @@ def row_features(
     State is the last rows of a series, at most the longest frame. Rows of a
     micro-batch are put in order; a row older than the last one already counted
     is passed on with ``late`` set and without features, as its frame is gone.
+    All rows of a series in a micro-batch meet in one worker, so micro-batches must
+    be bounded; ``drain_row_features`` has no such limit.
     """
     lags, spans, rate_rows = settings.lag_rows, settings.volatility_rows, settings.rocof_rows
     keep = max(*lags, *spans, rate_rows + 1)
@@ -135,6 +139,67 @@ def row_features(
     )
 
 
+def drain_row_features(
+    stream: DataFrame,
+    series: str,
+    ts: str,
+    tie: str,
+    value: str,
+    label: str = "features",
+    settings=DEFAULTS,
+    *,
+    timeout: int | None = None,
+    path: str | None = None,
+) -> DataFrame:
+    """``row_features`` of all available input as a table, for micro-batches of any size.
+
+    Each micro-batch is put behind the last rows of every series, a small table, and
+    goes through the ordered layout and the batch features, so a long series is split
+    like any other run of rows. A batch reads the state the one before has left and
+    writes the other of two, so a repeated batch gives the same. Rows without time or
+    tie have no place in the order and count as late.
+    """
+    spark = stream.sparkSession
+    path = path or work_path(spark, label)
+    keep = max(*settings.lag_rows, *settings.volatility_rows, settings.rocof_rows + 1)
+    names = ["rocof", *[f"volatility_{k}s" for k in settings.volatility_rows], *[f"lag_{k}s" for k in settings.lag_rows]]
+    columns = [series, ts, tie, value]
+    schema = stream.select(F.col(series), F.col(ts), F.col(tie).cast("bigint"), F.col(value).cast("double")).schema
+    place = F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"))
+
+    def features(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        rows = batch.select(F.col(series), F.col(ts), F.col(tie).cast("bigint"), F.col(value).cast("double"))
+        before = f"{path}/state/{(batch_id - 1) % 2}"
+        state = session.read.schema(schema).parquet(before) if batch_id else session.createDataFrame([], schema)
+        last = group_side(state.groupBy(F.col(series).alias("_series")).agg(F.max(place).alias("_last")), "last-rows")
+        placed = rows.join(last, F.col(series).eqNullSafe(F.col("_series")), "left")
+        past = F.col(ts).isNull() | F.col(tie).isNull() | F.coalesce(place <= F.col("_last"), F.lit(False))
+        marked = placed.withColumn("late", past).select(*columns, "late")
+        known = state.withColumn("late", F.lit(None).cast("boolean"))
+        fresh = marked.where(~F.col("late")).unionByName(known)
+        ordered = order_rows(fresh, [series], [ts, tie, value], path=f"{path}/ordered")
+        frames = ordered.framed(before=keep)
+        found = frames.trim(add_steps(frames.rows, feature_steps(frames, value, settings)))
+        out = found.where(F.col("late").isNotNull()).select(*columns, "late", *names)
+        late = marked.where("late").select(*columns, "late", *[F.lit(None).cast("double").alias(n) for n in names])
+        out.unionByName(late).write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
+        newest = F.row_number().over(Window.partitionBy(series).orderBy(F.col(POS).desc()))
+        ends = ordered.df.withColumn("_back", newest).where(F.col("_back") <= keep).select(*columns)
+        ends.write.mode("overwrite").parquet(f"{path}/state/{batch_id % 2}")
+
+    query = (
+        stream.writeStream.foreachBatch(features)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    _finish(query, timeout)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+    whole = ", ".join([*kinds, "late boolean", *[f"{n} double" for n in names], "batch_id bigint"])
+    return spark.read.schema(whole).parquet(f"{path}/table").drop("batch_id")
+
+
 def drain(stream: DataFrame, label: str, *, timeout: int | None = None, path: str | None = None) -> DataFrame:
     """Append all available input to a Parquet table and return the table."""
     spark = stream.sparkSession

@@ -84,9 +84,8 @@ def t2_sliding(spark, sf):
       {r('lag_60s', 'lag_60s')}, (lag_1s - 0.1 < 49.8 OR {_Y} < 49.8) AS alert FROM fl""",
 )
 def t3(spark, sf):
-    rows = jobs.row_features(live_signal(spark, sf), "series", "timestamp", "event_id", _Y)
-    rows = rows.withColumn("alert", dual_trigger(F.col("lag_1s") - 0.1, _Y, THRESHOLD))
-    return out(jobs.drain(rows, "features"))
+    rows = jobs.drain_row_features(live_signal(spark, sf), "series", "timestamp", "event_id", _Y)
+    return out(rows.withColumn("alert", dual_trigger(F.col("lag_1s") - 0.1, _Y, THRESHOLD)))
 
 
 @query(

@@ -139,3 +139,47 @@ def test_open_sessions_complete_the_closed_ones(spark, tmp_path):
     assert sorted((r.session_start, r.breach_rows) for r in got.collect()) == [
         (START, 2), (START + dt.timedelta(seconds=500), 1), (START + dt.timedelta(seconds=1000), 2)
     ]
+
+
+FEATURES = ("rocof", "volatility_10s", "volatility_30s", "volatility_60s", "lag_1s", "lag_5s", "lag_60s")
+
+
+def drained(spark, tmp_path, **place):
+    source = stream(spark, f"{tmp_path}/in")
+    return jobs.drain_row_features(source, "series", "timestamp", "event_id", "grid_frequency", **place)
+
+
+def test_drained_features_equal_batch_and_carry_absent_series(spark, tmp_path):
+    rows = [(s, t, i, None if i % 23 == 3 else v) for s, t, i, v in rows_of(400)]
+    # Series b is absent from the second batch.
+    held = [x for x in rows[100:200] if x[0] == "b"]
+    parts = [rows[:100][::-1], [x for x in rows[100:200] if x[0] == "a"], held + rows[200:300], rows[300:]]
+    land(spark, f"{tmp_path}/in", parts)
+    live = drained(spark, tmp_path)
+    batch = row_features(order_rows(spark.createDataFrame(rows, SCHEMA), ["series"], ["timestamp"], chunk_rows=50))
+    a, b = (d.orderBy("event_id").toPandas() for d in (live, batch))
+    assert len(a) == 400 and not a.late.any()
+    for c in FEATURES:
+        assert np.allclose(a[c], b[c], atol=1e-9), c
+
+
+def test_drained_late_rows_and_restart(spark, tmp_path):
+    rows = rows_of(60, ("a",))
+    land(spark, f"{tmp_path}/in", [rows[:20] + rows[40:], rows[20:40]])
+    got = drained(spark, tmp_path, path=f"{tmp_path}/out").toPandas()
+    assert len(got) == 60 and set(got[got.late].event_id) == set(range(20, 40)) and got[got.late].lag_1s.isna().all()
+    more = rows_of(61, ("a",))[60:]
+    land(spark, f"{tmp_path}/in", [more])
+    again = drained(spark, tmp_path, path=f"{tmp_path}/out").toPandas()
+    new = again[again.event_id == 60]
+    assert len(again) == 61 and new.lag_1s.tolist() == [rows[59][3]]
+
+
+def test_no_worker_of_the_live_features_gets_a_whole_series(spark, tmp_path, monkeypatch):
+    from inventory import live
+
+    def whole(*_, **__):
+        raise AssertionError("the registered query gathers a series in one worker")
+
+    monkeypatch.setattr(jobs, "row_features", whole)
+    assert live.t3(spark, "/root/testdata/sf0.001").count() > 0
