@@ -19,7 +19,7 @@ hashes, so no key is hot. The number of shards follows the number of tokens; the
 holds sums only. Answers meet their batch in its bucket, so texts are not shuffled at all.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end per text. Null and
-empty texts have the end alone. Long texts are cut between batches, and a text's sums are
+empty texts have the end alone. Null ids are kept. Long texts are cut between batches, and a text's sums are
 added up again. Rows that repeat an id are each a text: they are counted and scored each.
 Without any training text all tokens are equally likely. Only id, text and the training
 mark are read. Words and pairs are told apart by 64-bit hashes.
@@ -53,10 +53,11 @@ CLASSES = 4
 
 
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per some texts: ids, row numbers, word counts, distinct words, word numbers.
+    """One row per some texts: ids and which of them are null, word counts, distinct words, word numbers.
 
     The sign of a word count says whether the text is for training; bits of ``part`` say
-    whether it is the beginning and whether the end of a text.
+    whether it is the beginning and whether the end of a text, and whether its id is null.
+    Ids come as text: a column of numbers with a null would come as floats.
     """
     task, made = TaskContext.get().partitionId(), 0
     held, size = [], 0
@@ -72,8 +73,8 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made += 1
         out = {
             "batch": task << 32 | made,
-            "doc_id": np.array([h[0] for h in held], np.int64).tobytes(),
-            "part": np.array([h[2] | h[3] << 1 | h[4] << 2 for h in held], np.int8).tobytes(),
+            "doc_id": np.array([h[0] or 0 for h in held], np.int64).tobytes(),
+            "part": np.array([h[2] | h[3] << 1 | h[4] << 2 | (h[0] is None) << 3 for h in held], np.int8).tobytes(),
             "tokens": n.astype(np.int32).tobytes(),
             "words": np.asarray(words, np.uint64)[order].tobytes(),
             "ids": rank[codes].astype(np.int32).tobytes(),
@@ -82,8 +83,8 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame([out])
 
     for pdf in batches:
-        for doc, text, trains in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["trains"].tolist(), strict=True):
-            text, at = text or "", 0
+        for doc, text, trains in zip(pdf["id"].tolist(), pdf["text"], pdf["trains"].tolist(), strict=True):
+            doc, text, at = None if doc is None else int(doc), text or "", 0
             while True:
                 end = min(at + BATCH_CHARS, len(text))
                 while end < len(text) and text[end] not in " \t\n\r\x0b\x0c":
@@ -106,7 +107,7 @@ class Batch:
         self.id = row.batch
         self.doc = np.frombuffer(row.doc_id, np.int64)
         part = np.frombuffer(row.part, np.int8)
-        begins, ends, self.trains = (part & 1) > 0, (part & 2) > 0, (part & 4) > 0
+        begins, ends, self.trains, self.null = ((part & bit) > 0 for bit in (1, 2, 4, 8))
         n = np.frombuffer(row.tokens, np.int32).astype(np.int64)
         words = np.frombuffer(row.words, np.uint64)
         ids = np.frombuffer(row.ids, np.int32).astype(np.int64)
@@ -298,7 +299,7 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     source = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains")
+        F.col(doc_id).cast("bigint").cast("string").alias("id"), F.col(text).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains")
     )
     name = f"hertzflow_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -362,7 +363,7 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
                 sums = lambda x: np.bincount(b.text, weights=x, minlength=len(b.doc))  # noqa: E731, B023
                 yield pd.DataFrame(
                     {
-                        "doc_id": b.doc,
+                        "doc_id": pd.arrays.IntegerArray(b.doc.copy(), b.null),
                         "whole": b.begins & b.ends,
                         "trains": b.trains,
                         "n_tokens": np.diff(b.start),

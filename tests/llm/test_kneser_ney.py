@@ -86,3 +86,12 @@ def test_no_training_text_and_empty_table(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in rows) == [(1, 3, 0, 0), (1, 3, 0, 0), (2, 1, 0, 0)]
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert K.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_null_ids_are_kept_and_large_ids_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(None, "a b", True), (big, "a c", True), (None, None, None)], "doc_id long, text string, y boolean")
+    rows = K.score(df.coalesce(1), F.col("y")).collect()
+    key = lambda r: (r[0] is None, r[1])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.trains) for r in rows), key=key)
+    assert got == [(big, 3, 3, True), (None, 1, 1, False), (None, 3, 3, True)]
