@@ -263,7 +263,7 @@ def d10_rescored(spark, sf):
     rows = score(_test(feature_table(spark, sf).df), predict_bounds(boosts(spark, sf)))
     again = predict_bounds(boosts(spark, sf))
     swept = scenario_sweep(
-        rows.drop("lower", "upper"), "lower", "upper", _Y, "renewable_penetration_ratio", high_mw=5000, step_mw=500, rescore=again
+        rows.drop("lower", "upper"), "lower", "upper", _Y, "renewable_penetration_ratio", high_mw=5000, step_mw=100, rescore=again
     )
     return swept.groupBy("series", "mw").agg(F.count_if("alert").alias("alerts"), F.avg("required_mw").alias("mean_required_mw"))
 

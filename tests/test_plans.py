@@ -95,3 +95,13 @@ def test_group_tables_meet_the_rows_where_they_are(spark, plan_of):
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rescored_scenario_has_all_levels(spark):
+    from inventory import learn
+
+    got = learn.d10_rescored(spark, "/root/testdata/sf0.001").collect()
+    levels = {}
+    for r in got:
+        levels.setdefault(r.series, []).append(r.mw)
+    assert levels and all(sorted(x) == list(range(0, 5001, 100)) for x in levels.values())
