@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,17 +18,17 @@ BLOCK, MAX_BLOCK = 16, 8192
 SLOPE = "slope"
 
 
-def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
-    """Mask of the points to keep: the corridor of ``width`` around the line from the
-    last kept point narrows with every point; when it closes, the previous one is kept."""
-    t, v = np.asarray(seconds, dtype=float), np.asarray(values, dtype=float)
+def _run(t, v, width, at, low, high, known=None, offset=0):
+    """Pivots after the one at 0, from the point ``at`` and the corridor before it.
+
+    Returns their mask, and the last pivot with its corridor. From a pivot on nothing
+    before it matters: at one that ``known`` (from ``offset``) has too, None is
+    returned in place of pivot and corridor, and the rest is as known.
+    """
     n = len(v)
     mask = np.zeros(n, dtype=bool)
-    if not n:
-        return mask
-    mask[[0, n - 1]] = True
     times, points = t.tolist(), v.tolist()
-    start, at, size, low, high = 0, 1, BLOCK, -np.inf, np.inf
+    start, size = 0, BLOCK
     while at < n:
         if at <= start + BLOCK:
             # Short runs are quicker point by point.
@@ -35,59 +37,141 @@ def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.nda
                 low, high, at = max(low, (rise - width) / gap), min(high, (rise + width) / gap), at + 1
                 continue
             start = at - 1 if gap > 0 else at
-            at, size, low, high = start + 1, BLOCK, -np.inf, np.inf
-            mask[start] = True
-            continue
-        # A block of points at once, with the corridor as it is before each of them.
-        gap, rise = t[at : at + size] - t[start], v[at : at + size] - v[start]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            lows = np.maximum.accumulate(np.concatenate([[low], (rise - width) / gap]))
-            highs = np.minimum.accumulate(np.concatenate([[high], (rise + width) / gap]))
-            same_time = gap <= 0
-            ends = same_time | ~((lows[:-1] * gap <= rise) & (rise <= highs[:-1] * gap))
-        k = int(ends.argmax())
-        if not ends[k]:
-            at, size, low, high = at + len(gap), min(2 * size, MAX_BLOCK), lows[-1], highs[-1]
-            continue
-        # No slope exists between points of one instant: keep both. Else the point
-        # before the one that closed the corridor is kept, and that one is seen again.
-        start = at + k if same_time[k] else at + k - 1
+        else:
+            # A block of points at once, with the corridor as it is before each of them.
+            gap, rise = t[at : at + size] - t[start], v[at : at + size] - v[start]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                lows = np.maximum.accumulate(np.concatenate([[low], (rise - width) / gap]))
+                highs = np.minimum.accumulate(np.concatenate([[high], (rise + width) / gap]))
+                same_time = gap <= 0
+                ends = same_time | ~((lows[:-1] * gap <= rise) & (rise <= highs[:-1] * gap))
+            k = int(ends.argmax())
+            if not ends[k]:
+                at, size, low, high = at + len(gap), min(2 * size, MAX_BLOCK), lows[-1], highs[-1]
+                continue
+            # No slope exists between points of one instant: keep both. Else the point
+            # before the one that closed the corridor is kept, and that one is seen again.
+            start = at + k if same_time[k] else at + k - 1
         at, size, low, high = start + 1, BLOCK, -np.inf, np.inf
         mask[start] = True
+        if known is not None and start >= offset and known[start - offset]:
+            mask[start:] = known[start - offset :]
+            return mask, None
+    return mask, (start, low, high)
+
+
+def door_pivots(seconds: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
+    """Mask of the points to keep: the corridor of ``width`` around the line from the
+    last kept point narrows with every point; when it closes, the previous one is kept."""
+    t, v = np.asarray(seconds, dtype=float), np.asarray(values, dtype=float)
+    if not len(v):
+        return np.zeros(0, dtype=bool)
+    mask, _ = _run(t, v, width, 1, -np.inf, np.inf)
+    mask[[0, len(v) - 1]] = True
     return mask
 
 
+def _state(t, v, start, low, high) -> list[float]:
+    """Pivot, corridor and last point: all that later points need."""
+    return [float(x) for x in (t[start], v[start], low, high, t[-1], v[-1])]
+
+
+def _resumed(t, v, width, into, known, left):
+    """Pivots of a segment from the state ``into`` before it, whether the point just
+    before the segment is one, and the state ``left``, given an earlier run's pivots and state."""
+    pivot_t, pivot_v, low, high, last_t, last_v = into
+    # The last point is the pivot itself, or lies after it.
+    ahead = [(pivot_t, pivot_v)] if last_t == pivot_t else [(pivot_t, pivot_v), (last_t, last_v)]
+    k = len(ahead)
+    t = np.concatenate([[x for x, _ in ahead], t])
+    v = np.concatenate([[x for _, x in ahead], v])
+    mask, end = _run(t, v, width, k, low, high, known, k)
+    return mask[k:], bool(k == 2 and mask[1]), left if end is None else _state(t, v, *end)
+
+
 def swinging_door(
     ordered: OrderedRows, ts: str, value: str, width: float = DEFAULTS.door_width, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """The kept points, with the slope per second from the kept point before.
 
-    Between kept points the straight line stays within ``width`` of every value.
-    The door carries state from point to point, so each segment of
-    ``segment_rows`` values of a series is compressed by itself and keeps its
-    first and last point; neighbours share that point. Segments count from the
-    start of the series: they depend on neither the cluster nor other series,
-    and none grows with the data.
+    Between kept points the straight line stays within ``width`` of every value. The
+    result is that of the door over the whole series, whatever ``segment_rows`` is.
+
+    Segments of ``segment_rows`` values are compressed in parallel, as if each began
+    with a kept point. Then each is run again from the state its predecessor leaves, six
+    numbers, only until it keeps a point that it kept before, until no state changes.
+    A round takes only segments whose state has changed; there are as many rounds as
+    segments without a common point in a row, usually two. No task holds more than a segment.
     """
     series = list(ordered.series)
     known = ordered.df.where(F.col(value).isNotNull()).select(*series, POS, ts, value)
     numbered = ordered.with_df(known).running({"_n": ("sum", F.lit(1).cast("bigint"))})
-    in_segments = numbered.withColumn(
-        "_segment",
-        F.explode(F.expr(f"sequence(greatest(_n - 2, 0L) div {segment_rows}, (_n - 1) div {segment_rows})")),
-    ).withColumn("_s", F.unix_micros(ts) / 1e6)
-
-    def compress(pdf: pd.DataFrame) -> pd.DataFrame:
+    segment = F.expr(f"(_n - 1) div {segment_rows}").alias("_segment")
+    points = stage(numbered.select(*series, POS, ts, value, segment, (F.unix_micros(ts) / 1e6).alias("_s")), "door-points")
+    slim = points.select(*series, "_segment", POS, "_s", F.col(value).cast("double").alias("_v"))
+    key = [*series, "_segment"]
+    kinds = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in series)
+    schema = f"{kinds}{', ' if series else ''}_segment bigint, pivots binary, keeps boolean, into array<double>, left array<double>"
+
+    def row(pdf, mask, keeps, into, left):
+        pivots = np.flatnonzero(mask).astype(np.int32).tobytes()
+        return pdf[key].iloc[:1].assign(pivots=[pivots], keeps=[keeps], into=[into], left=[left])
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS)
-        keep = door_pivots(pdf["_s"].to_numpy(), pdf[value].to_numpy(dtype=float), width)
-        points = pdf[keep].copy()
-        gap = points["_s"].diff()
-        points[SLOPE] = points[value].astype(float).diff().where(gap > 0) / gap.where(gap > 0)
-        # The first point of a later segment is the last one of the segment before.
-        return points.iloc[(points["_segment"] > 0).to_numpy().any() * 1 :][[*series, POS, ts, value, SLOPE]]
-
-    kinds = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in (*series, POS, ts, value))
-    return in_segments.groupBy(*series, "_segment").applyInPandas(compress, f"{kinds}, {SLOPE} double")
+        t, v = pdf["_s"].to_numpy(), pdf["_v"].to_numpy()
+        mask, end = _run(t, v, width, 1, -np.inf, np.inf)
+        mask[0] = True
+        return row(pdf, mask, False, None, _state(t, v, *end))
+
+    def again(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(pdf):
+            return pd.DataFrame(columns=[*key, "pivots", "keeps", "into", "left"])
+        pdf, f = pdf.sort_values(POS), found.iloc[0]
+        before = _mask(f["pivots"], len(pdf))
+        into = [float(x) for x in f["now"]]
+        mask, keeps, left = _resumed(pdf["_s"].to_numpy(), pdf["_v"].to_numpy(), width, into, before, list(f["left"]))
+        return row(pdf, mask, keeps, into, left)
+
+    def beside(a: DataFrame, b: DataFrame, step: int, how: str) -> DataFrame:
+        """``a`` with the columns of the segment ``step`` from it in ``b``."""
+        b = b.withColumnsRenamed({c: f"_b_{c}" for c in key})
+        same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in series]
+        on = reduce(lambda x, y: x & y, same, F.col("_segment") + step == F.col("_b__segment"))
+        return a.join(b, on, how).drop(*[f"_b_{c}" for c in key])
+
+    done = stage(slim.groupBy(*key).applyInPandas(alone, schema), "door-segments")
+    while True:
+        now = beside(done, done.select(*key, F.col("left").alias("now")), -1, "inner")
+        changed = stage(now.where(~F.col("now").eqNullSafe(F.col("into"))), "door-changed")
+        if changed.isEmpty():
+            break
+        some = beside(slim, changed.select(*key), 0, "left_semi")
+        redone = some.groupBy(*key).cogroup(changed.groupBy(*key)).applyInPandas(again, schema)
+        done = stage(beside(done, changed.select(*key), 0, "left_anti").unionByName(redone), "door-segments")
+    ends = beside(done, done.select(*key, F.col("keeps").alias("next")), 1, "left")
+
+    def kept(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        pdf, f = pdf.sort_values(POS), found.iloc[0]
+        mask = _mask(f["pivots"], len(pdf))
+        # The last point of a series is kept as well.
+        mask[-1] |= f["next"] is None or pd.isna(f["next"]) or bool(f["next"])
+        out = pdf[mask].copy()
+        at, v = out["_s"].to_numpy(), out[value].to_numpy(dtype=float)
+        into = f["into"]
+        before = (np.nan, np.nan) if into is None else (into[4], into[5]) if f["keeps"] else (into[0], into[1])
+        gap, rise = np.diff(at, prepend=before[0]), np.diff(v, prepend=before[1])
+        out[SLOPE] = np.divide(rise, gap, out=np.full(len(gap), np.nan), where=gap > 0)
+        return out[[*series, POS, ts, value, SLOPE]]
+
+    columns = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in (*series, POS, ts, value))
+    return points.groupBy(*key).cogroup(ends.groupBy(*key)).applyInPandas(kept, f"{columns}, {SLOPE} double")
+
+
+def _mask(pivots: bytes, n: int) -> np.ndarray:
+    mask = np.zeros(n, dtype=bool)
+    mask[np.frombuffer(pivots, np.int32)] = True
+    return mask
 
 
 def every_point(ordered: OrderedRows, ts: str, value: str) -> DataFrame:

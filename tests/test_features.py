@@ -184,6 +184,26 @@ def test_door_segments_keep_the_bound_and_miss_no_slope(series_frame, segment):
         assert np.allclose(p.slope.to_numpy()[1:], want)
 
 
+@pytest.mark.parametrize("segment", [4, 7, 64])
+def test_door_is_that_of_the_whole_series_for_any_segment(spark, segment):
+    rng = np.random.default_rng(3)
+    walk = np.cumsum(rng.normal(0, 0.4, 150))
+    flat = np.where(np.arange(60) < 45, 2.0, 9.0)
+    at = {"walk": np.arange(150), "flat": np.arange(60), "ties": np.arange(60) // 3, "one": np.arange(1)}
+    v = {"walk": walk, "flat": flat, "ties": walk[:60], "one": walk[:1]}
+    rows = [(s, int(i), k, float(x)) for s in at for k, (i, x) in enumerate(zip(at[s], v[s]))]
+    df = spark.createDataFrame(rows, "series string, at long, id long, v double").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    points = swinging_door(order_rows(df, ["series"], ["ts", "id"], chunk_rows=50), "ts", "v", 1.0, segment)
+    got = points.orderBy(POS).toPandas()
+    for s in set(got.series):
+        keep = door_pivots(at[s].astype(float), v[s], 1.0)
+        p = got[got.series == s]
+        assert p.v.tolist() == v[s][keep].tolist()
+        gap = np.diff(at[s][keep])
+        want = np.where(gap > 0, np.diff(v[s][keep]) / np.where(gap > 0, gap, 1), np.nan)
+        assert np.allclose(p.slope.to_numpy()[1:], want, equal_nan=True) and np.isnan(p.slope.iloc[0])
+
+
 def test_ramp_rate_covers_every_row(series_frame):
     ordered = order_rows(series_frame, ["series"], ["ts", "id"], chunk_rows=50)
     for width in (None, 0.5):
