@@ -19,8 +19,8 @@ hashes, so no key is hot. The number of shards follows the number of tokens; the
 holds sums only. Answers meet their batch in its bucket, so texts are not shuffled at all.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end per text. Null and
-empty texts have the end alone. Null ids are kept. Long texts are cut between batches, and a text's sums are
-added up again. Rows that repeat an id are each a text: they are counted and scored each.
+empty texts have the end alone. Null ids are kept. Long texts are cut between batches; a
+part is read on from the last word of the part before, and a text's sums are added up. Rows that repeat an id are each a text: they are counted and scored each.
 Without any training text all tokens are equally likely. Only id, text and the training
 mark are read. Words and pairs are told apart by 64-bit hashes.
 """
@@ -45,51 +45,61 @@ BATCH_CHARS = 4_000_000
 SHARD_TOKENS = 500_000
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _C = np.uint64(0x9E3779B97F4A7C15)
-_BATCH = "batch bigint, doc_id binary, part binary, tokens binary, words binary, ids binary"
+_BATCH = "batch bigint, doc_id binary, text_row binary, part binary, context binary, tokens binary, words binary, ids binary"
 CLASSES = 4
+_SPACE = " \t\n\r\x0b\x0c"
 
 
 # ---- batches ---------------------------------------------------------------------
 
 
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per some texts: ids and which of them are null, word counts, distinct words, word numbers.
+    """One row per some texts: ids, numbers of texts, words before a part, and which of them are null, word counts, distinct words, word numbers.
 
     The sign of a word count says whether the text is for training; bits of ``part`` say
     whether it is the beginning and whether the end of a text, and whether its id is null.
     Ids come as text: a column of numbers with a null would come as floats.
     """
-    task, made = TaskContext.get().partitionId(), 0
+    task, made, nth = TaskContext.get().partitionId(), 0, 0
     held, size = [], 0
 
     def row():
         nonlocal made, held, size
         hashes, start = word_hashes([h[1] for h in held])
-        codes, words = pd.factorize(hashes)
+        # The words before later parts of a text are words of the batch too.
+        before = [h[6] for h in held if h[6] is not None]
+        codes, words = pd.factorize(np.concatenate([hashes, np.array(before, np.uint64)]))
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         n = np.diff(start)
+        context = np.full(len(held), -1, np.int32)
+        context[[h[6] is not None for h in held]] = rank[codes[len(hashes) :]]
         made += 1
         out = {
             "batch": task << 32 | made,
             "doc_id": np.array([h[0] or 0 for h in held], np.int64).tobytes(),
             "part": np.array([h[2] | h[3] << 1 | h[4] << 2 | (h[0] is None) << 3 for h in held], np.int8).tobytes(),
+            "text_row": np.array([h[5] for h in held], np.int64).tobytes(),
+            "context": context.tobytes(),
             "tokens": n.astype(np.int32).tobytes(),
             "words": np.asarray(words, np.uint64)[order].tobytes(),
-            "ids": rank[codes].astype(np.int32).tobytes(),
+            "ids": rank[codes[: len(hashes)]].astype(np.int32).tobytes(),
         }
         held, size = [], 0
         return pd.DataFrame([out])
 
     for pdf in batches:
         for doc, text, trains in zip(pdf["id"].tolist(), pdf["text"], pdf["trains"].tolist(), strict=True):
-            doc, text, at = None if doc is None else int(doc), text or "", 0
+            doc, text, at, before = None if doc is None else int(doc), text or "", 0, None
+            nth += 1
             while True:
                 end = min(at + BATCH_CHARS, len(text))
-                while end < len(text) and text[end] not in " \t\n\r\x0b\x0c":
+                while end < len(text) and text[end] not in _SPACE:
                     end += 1
-                held.append((doc, text[at:end], at == 0, end == len(text), bool(trains)))
+                held.append((doc, text[at:end], at == 0, end == len(text), bool(trains), task << 32 | nth, before))
+                if end < len(text):
+                    before = _last_word(text, at, end, before)
                 size += end - at
                 if size >= BATCH_CHARS:
                     yield row()
@@ -100,12 +110,24 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield row()
 
 
+def _last_word(text: str, at: int, end: int, before):
+    """Hash of the last word of a part; ``before`` if it has none."""
+    while end > at and text[end - 1] in _SPACE:
+        end -= 1
+    start = end
+    while start > at and text[start - 1] not in _SPACE:
+        start -= 1
+    return word_hashes([text[start:end]])[0][0] if start < end else before
+
+
 class Batch:
     """A batch unpacked: its words with begin and end, and the words and pairs of its tokens."""
 
     def __init__(self, row):
         self.id = row.batch
         self.doc = np.frombuffer(row.doc_id, np.int64)
+        self.row = np.frombuffer(row.text_row, np.int64)
+        context = np.frombuffer(row.context, np.int32).astype(np.int64)
         part = np.frombuffer(row.part, np.int8)
         begins, ends, self.trains, self.null = ((part & bit) > 0 for bit in (1, 2, 4, 8))
         n = np.frombuffer(row.tokens, np.int32).astype(np.int64)
@@ -113,7 +135,7 @@ class Batch:
         ids = np.frombuffer(row.ids, np.int32).astype(np.int64)
         self.words = np.concatenate([words, [BEGIN, END]])
         begin, end = len(words), len(words) + 1
-        # A text that goes on in another batch is read on there from the begin mark.
+        # A text that goes on in another part is read on there from its last word.
         length = n + ends
         self.start = np.concatenate([[0], np.cumsum(length)])
         self.text = np.repeat(np.arange(len(n)), length)
@@ -123,7 +145,7 @@ class Batch:
         last[~is_end], last[is_end] = ids, end
         first = np.empty_like(last)
         first[1:] = last[:-1]
-        first[self.start[:-1][length > 0]] = begin
+        first[self.start[:-1][length > 0]] = np.where(context < 0, begin, context)[length > 0]
         self.token, self.before, self.begins, self.ends = last, first, begins, ends
         key = mix(self.words[first] * _C + self.words[last])
         self.pairs, place, self.pair_of = np.unique(key, return_index=True, return_inverse=True)
@@ -363,6 +385,7 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
                 sums = lambda x: np.bincount(b.text, weights=x, minlength=len(b.doc))  # noqa: E731, B023
                 yield pd.DataFrame(
                     {
+                        "text_row": b.row,
                         "doc_id": pd.arrays.IntegerArray(b.doc.copy(), b.null),
                         "whole": b.begins & b.ends,
                         "trains": b.trains,
@@ -374,12 +397,13 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
                 )
 
     both = with_pairs.join(_collected(words, "word_answers"), "batch")
-    schema = "doc_id bigint, whole boolean, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    schema = "text_row bigint, doc_id bigint, whole boolean, trains boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     parts = stage(both.mapInPandas(scored, schema), "scores")
     spark.sql(f"DROP TABLE {name}")
-    # Only the parts of texts that were cut meet again.
-    cut = parts.where(~F.col("whole")).groupBy("doc_id", "trains").agg(
-        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))
+    # Only the parts of texts that were cut meet again, each text for itself.
+    cut = parts.where(~F.col("whole")).groupBy("text_row", "trains").agg(
+        F.max("doc_id").alias("doc_id"),
+        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")),
     )
     columns = ["doc_id", "trains", "n_tokens", "n_known", "base_score", "score"]
     out = parts.where("whole").select(*columns).unionByName(cut.select(*columns))

@@ -95,3 +95,17 @@ def test_null_ids_are_kept_and_large_ids_exact(spark):
     key = lambda r: (r[0] is None, r[1])
     got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.trains) for r in rows), key=key)
     assert got == [(big, 3, 3, True), (None, 1, 1, False), (None, 3, 3, True)]
+
+
+def test_cut_texts_equal_brute_force_and_repeats_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(K, "BATCH_CHARS", 40)
+    monkeypatch.setattr(K, "SHARD_TOKENS", 50)
+    docs = corpus()[:30] + [(100, " " * 90 + "the of x,\n" * 12, True), (100, " " * 90 + "the of x,\n" * 12, True), (101, "w1 " * 60, False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, y boolean").repartition(2)
+    got = sorted(
+        (r.doc_id, r.trains, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)
+        for r in K.score(df, F.col("y")).collect()
+    )
+    for g, w in zip(got, brute(docs), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:])
