@@ -6,10 +6,12 @@ its leftmost pair of minimum rank per round: ranks come from a hashed pair table
 only the two pairs beside a merge are looked up again, and each round compacts the
 matrix by one column and drops finished rows.
 
-Rows are independent, so there is no shuffle, and the vocabulary (a fixed file) is
-the only broadcast. Null and empty texts have no tokens. Texts are never cut: a long
-one is encoded in runs of pieces, and a piece beyond ``LONG_PIECE`` bytes is merged
-with a heap, which needs no matrix. Column ``out`` replaces one of that name.
+Rows are independent, so there is no shuffle, and the vocabulary (a fixed file, sent as
+one block of bytes, once per session) is the only broadcast. One pass encodes and decodes;
+it works on about a megabyte of text at a time. Null and empty texts have no tokens. Texts
+are never cut: a long one is encoded in runs of pieces, and a piece beyond ``LONG_PIECE``
+bytes is merged with a heap, which needs no matrix. Rows that repeat an id are encoded
+each; ids of any kind and null pass through. New columns replace ones of their names.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import with_columns
+
 NONE = np.int64(1 << 40)
 LONG_PIECE = 512
-RUN_PIECES = 400_000
-MATRIX_CELLS = 1 << 18
+RUN_PIECES = 100_000
+MATRIX_CELLS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,11 +52,26 @@ class Vocabulary:
             ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
         return cls(tuple(ranks[i] for i in range(len(ranks))), pattern)
 
-    def __getstate__(self):
-        return {"tokens": self.tokens, "pattern": self.pattern}
+    def packed(self) -> dict:
+        """Plain values that a worker without this package can read."""
+        size = np.fromiter(map(len, self.tokens), np.int32, len(self.tokens))
+        return {"bytes": b"".join(self.tokens), "size": size.tobytes(), "pattern": self.pattern}
+
+    def shared(self, spark: SparkSession):
+        """The broadcast of ``packed``, made once per application."""
+        context = spark.sparkContext
+        held = _SHARED.get(self)
+        if held is None or held[0] != context.applicationId:
+            _SHARED[self] = held = (context.applicationId, context.broadcast(self.packed()))
+        return held[1]
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)))])
+
+    @cached_property
+    def joined(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.tokens), np.uint8)
 
     @cached_property
     def ranks(self) -> dict[bytes, int]:
@@ -106,6 +126,19 @@ class Vocabulary:
         return flat.reshape(left.shape)
 
 
+#: Vocabularies by their broadcast, on the driver.
+_SHARED: dict[Vocabulary, tuple] = {}
+
+
+def unpacked(held: dict) -> Vocabulary:
+    """The vocabulary of a broadcast, built once and kept with the broadcast's value."""
+    if "built" not in held:
+        ends = np.cumsum(np.frombuffer(held["size"], np.int32)).tolist()
+        raw = held["bytes"]
+        held["built"] = Vocabulary(tuple(raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), held["pattern"])
+    return held["built"]
+
+
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -239,29 +272,41 @@ def encode_texts(vocabulary: Vocabulary, texts) -> list[bytes]:
 
 
 def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
-    return b"".join(map(vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    """The bytes of all ids, gathered at once; runs bound the index arrays."""
+    ids, ends, out = np.frombuffer(ids, "<u4"), vocabulary.ends, []
+    for lo in range(0, len(ids), RUN_PIECES):
+        part = ids[lo : lo + RUN_PIECES].astype(np.int64)
+        size = ends[part + 1] - ends[part]
+        last = np.cumsum(size)
+        out.append(vocabulary.joined[np.arange(last[-1]) + np.repeat(ends[part] - last + size, size)].tobytes())
+    return b"".join(out)
+
 
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """Add the ids of ``text`` as binary: little-endian unsigned 32-bit integers.
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """Add the ids of ``text`` as binary: little-endian unsigned 32-bit integers."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    With ``decoded``, the bytes that these ids stand for are added in the same pass.
+    """
+    shared = vocabulary.shared(df.sparkSession)
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode_texts(shared.value, texts), dtype=object)
+    def ids(texts):
+        words = unpacked(shared.value)
+        found = encode_texts(words, texts)
+        back = [] if decoded is None else [pa.array([decode_ids(words, x) for x in found], pa.binary())]
+        return [pa.array(found, pa.binary()), *back]
 
-    return df.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+    return with_columns(df, text, f"`{out}` binary" + (f", `{decoded}` binary" if decoded else ""), ids)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for. Null ids give no bytes."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = vocabulary.shared(df.sparkSession)
 
-    @F.pandas_udf("binary")
-    def joined(column: pd.Series) -> pd.Series:
-        return pd.Series([decode_ids(shared.value, x) for x in column], dtype=object)
+    def joined(column):
+        words = unpacked(shared.value)
+        return [pa.array([decode_ids(words, x or b"") for x in column], pa.binary())]
 
-    return df.withColumn(out, joined(F.coalesce(F.col(ids), F.lit(b""))))
+    return with_columns(df, ids, f"`{out}` binary", joined)
 
 
 def token_count(ids: str = "token_ids") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
 def vocabulary() -> bpe.Vocabulary:
     return bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = vocabulary()
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words)
-    return bpe.decode(ids, words).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, vocabulary(), decoded="decoded").select(
         "doc_id",
         bpe.token_count().alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
