@@ -23,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import with_columns
 from .words import LOWER, slice_hashes
 
 WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_CHARS = 3000, 6000
+SAMPLE, SAMPLE_CHARS, SAMPLE_RUNS = 3000, 1 << 17, 64
 UNITS, WORD_DIM, CHAR_DIM, PAIRS = 8, 12, 8, 1024
 MIN_TEXTS = 3
 BLOCK_WINDOWS = 2048
@@ -304,25 +306,35 @@ def train(texts: list[str], labels: list[int], epochs: int = 3, steps_at_least:
     return net
 
 
+def sampled_text(text: Column) -> Column:
+    """A text of up to ``SAMPLE_CHARS`` characters; of a longer one, evenly spread runs of that many."""
+    size, run = F.length(text), SAMPLE_CHARS // SAMPLE_RUNS
+    runs = F.transform(
+        F.sequence(F.lit(0), F.lit(SAMPLE_RUNS - 1)),
+        lambda i: F.substring(text, (i.cast("bigint") * (size - run) / (SAMPLE_RUNS - 1)).cast("int") + 1, F.lit(run)),
+    )
+    return F.when(size <= SAMPLE_CHARS, text).otherwise(F.array_join(runs, " "))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Network:
     """Train on at most ``sample`` labelled rows, a third of them toxic where there are enough.
 
-    Labelled ids of both kinds are taken in the order of a hash, twice as many as wanted;
-    only these, a bounded number, are joined to their texts, so no text is shuffled. Of
-    texts up to ``SAMPLE_CHARS`` characters the first ones are trained on in one task, and
+    Labelled ids of both kinds are taken in the order of a hash; only these, a bounded number,
+    are joined to their texts, so no text is shuffled. They are trained on whole in one task;
+    one beyond ``SAMPLE_CHARS`` characters is read in ``SAMPLE_RUNS`` runs spread evenly from
+    its begin to its end, so that no labelled row is left out for its length, and
     only the network reaches the driver. Labels that are null are left out. Without any
     label of one kind, every text gets the other's score.
     """
     named = labels.where(F.col(toxic).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), (F.col(toxic) > 0).cast("int").alias("y")
     )
-    body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = docs.select(F.col(doc_id).alias("doc_id"), sampled_text(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = []
     for y, most in ((1, sample // 3), (0, sample - sample // 3)):
-        ids = named.where(F.col("y") == y).distinct().orderBy(*order).limit(2 * most)
-        rows = body.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-        some.append(rows.orderBy(*order, "text").limit(most))
+        ids = named.where(F.col("y") == y).distinct().orderBy(*order).limit(most)
+        some.append(body.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(most))
 
     def trained(batches):
         parts = list(batches)
@@ -340,10 +352,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add the score, 0 to 1. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast({"known": net.known, "weights": net.p})
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(shared.value, texts))
+    def scored(texts):
+        held = shared.value
+        if "built" not in held:
+            held["built"] = Network(np.empty(0, np.uint64))
+            held["built"].known, held["built"].p = held["known"], held["weights"]
+        return [pa.array(score_texts(held["built"], texts), pa.float64())]
 
-    return docs.withColumn(out, scored(F.col(text)))
+    return with_columns(docs, text, f"`{out}` double", scored)
