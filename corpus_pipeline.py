@@ -54,9 +54,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), with the text decoded from them."""
-    words = vocabulary()
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), words), words)
-    return decoded.select(
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary(), decoded="decoded")
+    return ids.select(
         "doc_id", "lang", "source", bpe.token_count().alias("n_tokens"), "token_ids", F.col("decoded").cast("string").alias("text")
     )
 
