@@ -43,11 +43,11 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLIC
     release()
 
 
-def with_columns(df: DataFrame, column: str, made: str, compute: Callable[[list], Sequence[pa.Array]]) -> DataFrame:
+def with_columns(df: DataFrame, column: str, made: str, compute: Callable[[pa.Array], Sequence[pa.Array]]) -> DataFrame:
     """Add the columns of the schema string ``made``, computed from the values of ``column``.
 
-    ``compute`` takes the values of a run of rows and returns one Arrow array per new column.
-    Columns of the same names are replaced.
+    ``compute`` takes the values of a run of rows, an Arrow array, and returns one Arrow array
+    per new column. Columns of the same names are replaced.
     """
     new = StructType.fromDDL(made)
     names = new.names
@@ -59,7 +59,7 @@ def with_columns(df: DataFrame, column: str, made: str, compute: Callable[[list]
 
     def run(batches):
         for part in byte_slices(batches, source):
-            arrays = [part.column(c) for c in rest] + list(compute(part.column(source).to_pylist()))
+            arrays = [part.column(c) for c in rest] + list(compute(part.column(source)))
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *names])
 
     return df.select(*rest, df[column].alias(source)).mapInArrow(run, schema)

@@ -291,7 +291,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
     def ids(texts):
         words = unpacked(shared.value)
-        found = encode_texts(words, texts)
+        found = encode_texts(words, texts.to_pylist())
         back = [] if decoded is None else [pa.array([decode_ids(words, x) for x in found], pa.binary())]
         return [pa.array(found, pa.binary()), *back]
 
@@ -304,7 +304,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: s
 
     def joined(column):
         words = unpacked(shared.value)
-        return [pa.array([decode_ids(words, x or b"") for x in column], pa.binary())]
+        return [pa.array([decode_ids(words, x or b"") for x in column.to_pylist()], pa.binary())]
 
     return with_columns(df, ids, f"`{out}` binary", joined)
 

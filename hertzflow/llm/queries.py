@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path
-from . import bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc
+from . import bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,20 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_cross_polytope")
 def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.lattice(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    model = whitening.fit(rows)
+    shares = F.array(*map(F.lit, model.explained.tolist())).cast("array<double>")
+    each = whitening.transform(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("_at") + 1).alias("component"),
+        F.lit(model.centre.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("_at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )

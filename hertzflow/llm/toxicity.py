@@ -359,6 +359,6 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "toxicit
         if "built" not in held:
             held["built"] = Network(np.empty(0, np.uint64))
             held["built"].known, held["built"].p = held["known"], held["weights"]
-        return [pa.array(score_texts(held["built"], texts), pa.float64())]
+        return [pa.array(score_texts(held["built"], texts.to_pylist()), pa.float64())]
 
     return with_columns(docs, text, f"`{out}` double", scored)
