@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path
-from . import bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, suffix_dedup, toxicity, warc, whitening
+from . import bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, mixing, suffix_dedup, toxicity, warc, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(shares, F.col("_at")).alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+@query("op11_mixing")
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats", "source")
