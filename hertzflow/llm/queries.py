@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_path
-from . import bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, mixing, suffix_dedup, toxicity, warc, whitening
+from . import alignment, bpe, chat_tree, cross_polytope, decontaminate, jaccard_trie, kneser_ney, license_scan, mixing, suffix_dedup, toxicity, warc, whitening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +192,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats", "source")
+
+
+@cache
+def two_tokenizers() -> alignment.Tokenizers:
+    return alignment.Tokenizers.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), two_tokenizers())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
