@@ -59,7 +59,8 @@ from .batches import byte_slices, release, with_columns
 CHUNK = 1 << 16
 CONTEXT = 1 << 13
 FAN_IN = 16
-POOL = 150_000
+POOL = 300_000
+BLOCK = 4000
 LINK_BYTES = 4 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BLANK_PIECE = "▁"
@@ -140,23 +141,43 @@ class Aligner:
         self.start = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def _learn(self, segments: list[str]) -> None:
-        """Encode segments that are not held yet."""
-        if len(self.place) + len(segments) > max(POOL, len(segments)):
-            self._clear()
-        first = [x.ids for x in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        second = self.b.encode(segments, num_threads=1)
-        good = np.empty(len(segments), bool)
-        for i, segment in enumerate(segments):
-            raw = b" " + segment.encode()
-            good[i] = b"".join(map(self.a_bytes.__getitem__, first[i])) == raw and b"".join(map(self.b_bytes.__getitem__, second[i])) == raw
+        """Encode segments that are not held yet.
+
+        Neither tokenizer merges across a blank between two non-blanks, so segments without
+        blanks at their ends are encoded joined, in blocks; a block whose bytes do not come
+        back, and all other segments, are encoded one by one.
+        """
+        edged = [s[0].isspace() or s[-1].isspace() for s in segments]
+        plain = [s for s, x in zip(segments, edged, strict=True) if not x]
+        blocks = [plain[lo : lo + BLOCK] for lo in range(0, len(plain), BLOCK)]
+        alone = [s for s, x in zip(segments, edged, strict=True) if x]
+        for block, first, second in zip(blocks, *self._both([" ".join(x) for x in blocks]), strict=True):
+            ends = np.cumsum(np.fromiter((len(s.encode()) + 1 for s in block), np.int64, len(block)))
+            if self._comes_back(" ".join(block), first, second):
+                self._keep(block, np.ones(len(block), bool), *((ids, np.searchsorted(np.cumsum(size[ids]), ends) + 1) for ids, size in ((first, self.a_size), (second, self.b_size))))
+            else:
+                alone += block
+        if alone:
+            both = self._both(alone)
+            good = np.fromiter(map(self._comes_back, alone, *both), bool, len(alone))
+            self._keep(alone, good, *((np.concatenate(x), np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))) for x in both))
+
+    def _both(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        first = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        second = self.b.encode(texts, num_threads=1)
+        return [np.array(x.ids, np.int32) for x in first], [np.array(x, np.int32) for x in second]
+
+    def _comes_back(self, text: str, first: np.ndarray, second: np.ndarray) -> bool:
+        raw = b" " + text.encode()
+        return all(b"".join(map(v.__getitem__, x.tolist())) == raw for v, x in ((self.a_bytes, first), (self.b_bytes, second)))
+
+    def _keep(self, segments: list[str], good: np.ndarray, *sides: tuple[np.ndarray, np.ndarray]) -> None:
         n = len(self.place)
         self.place.update(zip(segments, range(n, n + len(segments)), strict=True))
         self.good = np.concatenate([self.good, good])
-        for side, found in enumerate((first, second)):
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
-            self.ids[side] = np.concatenate([self.ids[side], flat])
-            self.start[side] = np.concatenate([self.start[side], self.start[side][-1] + np.cumsum(size)])
+        for side, (ids, ends) in enumerate(sides):
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+            self.start[side] = np.concatenate([self.start[side], self.start[side][-1] + ends])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, Tokens, np.ndarray, np.ndarray]:
         """Which texts have tokens; these texts' tokens, one after the other; where each text's
