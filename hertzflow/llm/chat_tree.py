@@ -150,7 +150,8 @@ def read_back(tree: ChatTree) -> DataFrame:
     spans = spans.select("conv", F.col("span.run").alias("run"), F.col("span.start").alias("from"), F.col("span.stop").alias("to"))
     parts = tree.sequence.select("run", "depth", "start", "stop", "text", "loss_start", "loss_stop")
     rows = parts.join(spans, "run").where("start >= from AND stop <= to")
-    pattern = r"(?s)^<s>\[((?:[^\\\]]|\\.)*)\] (.*)</s>$"
+    # Possessive: a match that keeps no way back needs no stack per character.
+    pattern = r"(?s)^<s>\[((?:[^\\\]]|\\.)*+)\] (.*)</s>$"
     masked = F.substring("text", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int"))
     return rows.select(
         F.nullif("conv", F.lit(_NO_ID)).alias("conv_id"),
@@ -173,14 +174,14 @@ def digests(turns: DataFrame) -> DataFrame:
 
         def done():
             n, whole, loss_chars, loss, size = state
-            conv = None if pd.isna(now) else int(now)
-            return [(conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), size)]
+            return [(now, n, whole.hexdigest(), loss_chars, loss.hexdigest(), size)]
 
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for pdf in batches:
             out = []
             for conv, role, text, loss, size in pdf[["conv_id", "role", "text", "loss", "size"]].itertuples(index=False):
-                if state is None or not (conv == now or (pd.isna(conv) and pd.isna(now))):
+                conv = conv if isinstance(conv, str) else None
+                if state is None or conv != now:
                     if state is not None:
                         out += done()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -190,9 +191,12 @@ def digests(turns: DataFrame) -> DataFrame:
                     state[2] += len(loss)
                     state[3].update(loss.encode())
                 state[4] += int(size)
-            yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns)
         if state is not None:
-            yield pd.DataFrame(done(), columns=columns).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(done(), columns=columns)
 
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInPandas(rows, schema)
+    # Ids travel as text: pandas would turn a batch's integers into floats beside a null.
+    schema = "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    named = turns.withColumn("conv_id", F.col("conv_id").cast("string"))
+    found = named.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInPandas(rows, schema)
+    return found.withColumn("conv_id", F.col("conv_id").cast("bigint"))

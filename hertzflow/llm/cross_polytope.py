@@ -7,25 +7,29 @@ although their nearest axes differ. Every pair that meets is verified by its cos
 double precision; a pair that meets several times counts in its first bucket only, which
 each row can tell from the bucket codes it carries.
 
-Equal vectors are merged ahead of everything and count by their number. The number of
-hashes follows the size of the largest label, so buckets of unrelated vectors stay small.
+Equal vectors are merged ahead of everything and count by their number; a merged vector has
+a number of its own, so ids may repeat, be null or have 64 bits. The number of hashes
+follows the number of vectors of a label and length, so buckets of unrelated vectors stay
+small and no label changes what is found in another.
 Buckets are measured: those with one vector leave, those beyond ``BLOCK_ROWS`` are dealt
 into blocks and compared block by block, so no task holds more than two blocks. Tasks
 return sums of links per vector and a spanning forest of the links, never pairs.
 
 Only vectors of one label and one length are compared; a null label links with nothing,
-nor does a vector that is null, empty, zero, or holds a null or non-finite component.
-Rows that repeat a vec_id are counted each. Only id, vector and label are read.
+nor does a vector that is null, empty, zero, or holds a null or non-finite component. Tiny
+and huge vectors are scaled by a power of two first. Rows that repeat a vec_id are counted
+each, and a null one is kept: it has the least id of its component, null if it is alone.
+Only id, vector and label are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stage
+from ..storage import group_side, stage
 from .components import components
 
 THRESHOLD = 0.93
@@ -80,19 +84,21 @@ def codes(unit: np.ndarray, tables: int, hashes: int, probes: int = PROBES) -> n
 
 def _unit(vectors: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(v, np.float64) for v in vectors])
+    # Exact, and keeps squares of tiny and huge components within range.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _signed(tables: int, hashes: int):
+def _signed(tables: dict[int, int]):
     def rows(batches):
         for pdf in batches:
             sizes = pdf["vector"].map(len).to_numpy()
             raw = [np.asarray(v, np.float64) for v in pdf["vector"]]
             pdf = pdf.assign(vector=[v.tobytes() for v in raw])
-            for size in np.unique(sizes):
-                part = pdf[sizes == size]
-                got = codes(_unit(part["vector"].tolist()), tables, hashes)
-                distinct = [[(t, int(c)) for t in range(tables) for c in np.unique(row[t])] for row in got]
+            for size, hashes in sorted(set(zip(sizes.tolist(), pdf["hashes"].tolist(), strict=True))):
+                part = pdf[(sizes == size) & (pdf["hashes"] == hashes).to_numpy()]
+                got = codes(_unit(part["vector"].tolist()), tables[hashes], hashes)
+                distinct = [[(t, int(c)) for t in range(tables[hashes]) for c in np.unique(row[t])] for row in got]
                 buckets = [[t << 32 | c for t, c in row] for row in distinct]
                 yield part.assign(codes=[g.tobytes() for g in got], buckets=buckets, dim=int(size))[
                     ["vec_id", "label", "weight", "dim", "vector", "codes", "buckets"]
@@ -138,11 +144,11 @@ def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         top = new
 
 
-def _linked(threshold: float, tables: int):
+def _linked(threshold: float):
     def sums(pdf, a, b):
         """Links that count here and the forest of all links found."""
         ids, weight = pdf["vec_id"].to_numpy(), pdf["weight"].to_numpy()
-        code = np.stack([np.frombuffer(c, np.int32) for c in pdf["codes"]]).reshape(len(pdf), tables, -1)
+        code = np.stack([np.frombuffer(c, np.int32) for c in pdf["codes"]]).reshape(len(pdf), -1, PROBES)
         bucket = pdf["bucket"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
         for lo in range(0, len(a), 50_000):
@@ -168,8 +174,10 @@ def _linked(threshold: float, tables: int):
             size = np.bincount(group)[group]
             within = (pdf["i"] == pdf["j"]).to_numpy()
             small = np.flatnonzero((size <= SMALL) & within & (size > 1))
-            for dim in np.unique(pdf["dim"].to_numpy()[small]):
-                part = small[pdf["dim"].to_numpy()[small] == dim]
+            # Vectors of one length whose labels have equal numbers of tables.
+            kind = pdf["dim"].to_numpy()[small].astype(np.int64) << 32 | pdf["codes"].iloc[small].map(len).to_numpy(np.int64)
+            for one in np.unique(kind):
+                part = small[kind == one]
                 unit = _unit(pdf["vector"].iloc[part].tolist())
                 a, b = _pairs_of_small(group[part], unit, threshold)
                 used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -204,12 +212,14 @@ def _linked(threshold: float, tables: int):
     return rows
 
 
-def _choose_hashes(largest: int, dim: int) -> int:
-    axes = 2 * max(2, 1 << (dim - 1).bit_length())
-    hashes = 1
-    while hashes < max(TABLES) and axes ** (hashes + 1) < 1 << 31 and largest * PROBES > BUCKET_LOAD * axes**hashes:
-        hashes += 1
-    return hashes
+def _chosen_hashes(n: Column, dim: Column) -> Column:
+    """As few hashes of a bucket as keep its load down, by the number of vectors of a label and length."""
+    axes = F.lit(2.0) * F.greatest(F.lit(2.0), F.pow(F.lit(2.0), F.ceil(F.log2(dim))))
+    total, more = F.lit(1), F.lit(True)
+    for hashes in range(1, max(TABLES)):
+        more = more & (F.pow(axes, F.lit(hashes + 1)) < 1 << 31) & (n * PROBES > BUCKET_LOAD * F.pow(axes, F.lit(hashes)))
+        total = total + more.cast("int")
+    return total
 
 
 def near_duplicates(
@@ -228,18 +238,17 @@ def near_duplicates(
         F.col(label).cast("string").alias("label"),
     )
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    usable = F.forall("vector", sound) & (norm > 0) & (norm < float("inf")) & F.col("label").isNotNull()
+    usable = F.forall("vector", sound) & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull()
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    groups = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
-    groups = stage(groups, "distinct-vectors")
-    if hashes is None:
-        sizes = groups.groupBy("label", F.size("vector").alias("dim")).count()
-        largest = sizes.agg(F.max("count"), F.max("dim")).first()
-        hashes = _choose_hashes(largest[0] or 1, largest[1] or 1)
-    tables = TABLES[hashes]
-    signed = groups.select("vec_id", "label", "weight", "vector").mapInPandas(
-        _signed(tables, hashes),
+    groups = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # Numbers are given once, in the write.
+    groups = stage(groups.withColumn("vec_id", F.monotonically_increasing_id()), "distinct-vectors")
+    groups = groups.withColumn("dim", F.size("vector"))
+    sizes = groups.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    chosen = _chosen_hashes(F.col("n"), F.col("dim")) if hashes is None else F.lit(hashes)
+    sized = groups.join(group_side(sizes.select("label", "dim", chosen.alias("hashes")), "label-hashes"), ["label", "dim"])
+    signed = sized.select("vec_id", "label", "weight", "vector", "hashes").mapInPandas(
+        _signed(TABLES),
         "vec_id bigint, label string, weight bigint, dim int, vector binary, codes binary, buckets array<bigint>",
     )
     signed = stage(signed, "bucket-codes")
@@ -251,7 +260,7 @@ def near_duplicates(
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     met = placed.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "vec_id")
-    found = stage(met.mapInPandas(_linked(threshold, tables), "vec_id bigint, links bigint, other bigint"), "vector-links")
+    found = stage(met.mapInPandas(_linked(threshold), "vec_id bigint, links bigint, other bigint"), "vector-links")
     links = found.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
 
@@ -259,14 +268,17 @@ def near_duplicates(
     known = known.select(
         "label",
         "vector",
+        "least",
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
+        F.coalesce("component", "vec_id").alias("component"),
     )
+    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(named, "component").drop("component", "least")
     whole = rows.join(known, ["label", "vector"], "left")
     component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
     return whole.select(
         "vec_id",
         F.when(F.col("usable"), F.col("n_links")).otherwise(0).cast("bigint").alias("n_links"),
         component.alias("component_id"),
-        (F.col("vec_id") == component).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )

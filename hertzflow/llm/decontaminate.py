@@ -13,9 +13,10 @@ they are at most ``BROADCAST_ROWS``; else places are found by a shuffle of keys
 looked up in the documents that have any. Frequent shingles never
 lead a window that has a rarer one, and joins on the rest can be split by AQE.
 
-Null and empty texts have no words, and items without words have no windows. Rows that
-repeat a doc_id count as one document: hits of all of them are reported for each. Other
-columns of the inputs are not looked at, so their names cannot clash.
+Null and empty texts have no words, and items without words have no windows. A row is known
+by its id and a hash of its text, so rows of a repeated or null doc_id have their own hits,
+and equal rows equal ones. Other columns of the inputs are not looked at, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .rows import row_key, text_key
 
 # The words of the contract, lower-cased, and the same in raw text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,10 +59,10 @@ def _shingle(words: Column, start: Column, size: Column) -> Column:
 def occurrences(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """Where windows occur: (doc_id, start, size, win), and which items hold them: (item_id, win).
+    """Where windows occur: (row, start, size, win), and which items hold them: (item_id, win).
 
-    ``start`` counts words from 0; ``win`` is a hash of the window's words. Rows are
-    distinct unless a doc_id repeats.
+    ``row`` is the document's ``row_key``; ``start`` counts words from 0; ``win`` is a hash of
+    the window's words. Rows are distinct unless documents repeat in id and text.
     """
     spark = docs.sparkSession
     texts = item_windows(items, item_id, text, window).withColumn("plain", F.array_join("words", " "))
@@ -76,8 +78,8 @@ def occurrences(
     # At most SHINGLE rows.
     widths = sorted(r.width for r in tokens.select("width").distinct().collect())
 
-    doc_words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("_all"))
-    each = doc_words.select("doc_id", "_all", F.size("_all").alias("n"), F.posexplode("_all").alias("pos", "_word"))
+    doc_words = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), words_of(F.col(text)).alias("_all"))
+    each = doc_words.select("row", "_all", F.size("_all").alias("n"), F.posexplode("_all").alias("pos", "_word"))
     few = tokens.count() <= BROADCAST_ROWS
     found = []
     for k in widths:
@@ -91,21 +93,21 @@ def occurrences(
         near = F.array_join(F.slice("_all", left + 1, 2 * window), " ").alias("near")
         if few:
             held = rows.join(F.broadcast(needles), "_key").where(F.concat_ws(" ", *parts) == F.col("token"))
-            found.append(held.select("doc_id", "pos", "n", "token", left.alias("left"), near))
+            found.append(held.select("row", "pos", "n", "token", left.alias("left"), near))
             continue
         # Rows of a shuffle must not carry the words of their document: places are found
         # by key alone and then looked up in the documents that have any.
-        places = rows.select("doc_id", "pos", "_key").join(needles.select("_key"), "_key", "left_semi")
-        places = places.groupBy("doc_id").agg(F.collect_set("pos").alias("_places"))
-        again = doc_words.join(places, "doc_id").select(
-            "doc_id", "_all", F.size("_all").alias("n"), F.explode("_places").alias("pos")
+        places = rows.select("row", "pos", "_key").join(needles.select("_key"), "_key", "left_semi")
+        places = places.groupBy("row").agg(F.collect_set("pos").alias("_places"))
+        again = doc_words.join(places, "row").select(
+            "row", "_all", F.size("_all").alias("n"), F.explode("_places").alias("pos")
         )
         again = again.where(F.col("pos") + k <= F.col("n"))
-        lean = again.select("doc_id", "pos", "n", F.concat_ws(" ", *parts).alias("token"), left.alias("left"), near)
-        found.append(lean.join(needles.select("token"), "token", "left_semi").select("doc_id", "pos", "n", "token", "left", "near"))
+        lean = again.select("row", "pos", "n", F.concat_ws(" ", *parts).alias("token"), left.alias("left"), near)
+        found.append(lean.join(needles.select("token"), "token", "left_semi").select("row", "pos", "n", "token", "left", "near"))
     if not found:
         nothing = (F.lit(0).cast("int").alias("start"), F.lit(0).cast("int").alias("size"), F.lit(0).cast("bigint").alias("win"))
-        return docs.select(F.col(doc_id).alias("doc_id"), *nothing).where("false"), owners
+        return docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), *nothing).where("false"), owners
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
@@ -121,30 +123,39 @@ def occurrences(
         .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
     )
     inside = F.slice(F.split("near", " "), F.col("start") - F.col("left") + 1, F.col("size"))
-    return held.where(F.array_join(inside, " ") == F.col("plain")).select("doc_id", "start", "size", "win"), owners
+    return held.where(F.array_join(inside, " ") == F.col("plain")).select("row", "start", "size", "win"), owners
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    item_id: str = "item_id",
+    text: str = "text",
+    window: int = 10,
+    with_key: bool = False,
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside an occurrence), items (sorted ids as strings), contaminated."""
+    """Per document: doc_id, n_words, n_hit (words inside an occurrence), items (sorted ids as
+    strings), contaminated; ``with_key`` adds text_key, which tells rows of one id apart."""
     held, owners = occurrences(docs, items, doc_id, item_id, text, window)
     held = stage(held, "occurrences")
     # Overlapping occurrences count their words once.
-    longest = held.groupBy("doc_id", "start").agg(F.max("size").alias("size"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    longest = held.groupBy("row", "start").agg(F.max("size").alias("size"))
+    before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
     fresh = end - F.greatest(F.col("start"), F.least(end, F.coalesce(F.max(end).over(before), F.lit(0))))
-    hit = longest.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    by_item = held.select("doc_id", "win").distinct().join(owners, "win").select("doc_id", "item_id").distinct()
-    named = by_item.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    hit = longest.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
+    by_item = held.select("row", "win").distinct().join(owners, "win").select("row", "item_id").distinct()
+    named = by_item.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     sizes = docs.select(
         F.col(doc_id).alias("doc_id"),
+        row_key(F.col(doc_id), F.col(text)).alias("row"),
+        text_key(F.col(text)).alias("text_key"),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("n_words"),
     )
-    joined = sizes.join(hit.join(named, "doc_id", "left"), "doc_id", "left")
+    joined = sizes.join(hit.join(named, "row", "left"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), items_of.alias("items"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), items_of.alias("items"), (n_hit > 0).alias("contaminated"), *(["text_key"] if with_key else [])
     )

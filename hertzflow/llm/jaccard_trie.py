@@ -22,8 +22,9 @@ Nothing of unknown size is broadcast: the family table only where it has at most
 ``BROADCAST_ROWS`` rows, else the join is shuffled. Counts stop at ``MOST`` sets, as a
 tie, so that no task holds all sets of an n-gram. Nulls and texts without words have an
 empty set and link with nothing. Texts of fewer than n words have one n-gram, the whole
-sequence. Rows that repeat a doc_id are reported each, in one class if their sets are
-equal. N-grams are compared by 64-bit hashes. Only id and text are read.
+sequence. Rows count by their texts, so rows that repeat a doc_id are reported each, linked
+or not as their own texts are, and null ids stay; a class of null ids alone is named by null.
+N-grams are compared by 64-bit hashes. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .batches import with_columns
 from .components import Forest, components
+from .rows import text_key
 from .words import mix, runs, shingle_hashes, word_hashes
 
 SHARE = 5
@@ -69,14 +73,11 @@ def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _profiles(size: int):
-    def rows(batches):
-        for pdf in batches:
-            for part in _parts(pdf):
-                found = [(len(x), set_id(x) if len(x) else None) for x in text_sets(part["text"], size)]
-                n, ids = zip(*found, strict=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": n, "set_id": pd.array(ids, "Int64")})
+    def columns(texts: pa.Array):
+        found = [(len(x), set_id(x) if len(x) else None) for x in text_sets(texts.to_pylist(), size)]
+        return [pa.array([n for n, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())]
 
-    return rows
+    return columns
 
 
 def leading(ngrams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -334,11 +335,16 @@ def _family_links(percent: int):
 
 
 def _family_sets(size: int):
+    """The sets of some texts, each set once per task. A text that only shares another one's hash is left."""
+
     def rows(batches):
+        seen = set()
         for pdf in batches:
             for part in _parts(pdf):
-                sets = [s.astype(np.int64).tobytes() for s in text_sets(part["text"], size)]
-                yield part.drop(columns="text").assign(ngrams=sets)
+                sets = list(text_sets(part["text"], size))
+                own = [len(s) > 0 and set_id(s) == i and not (i in seen or seen.add(i)) for s, i in zip(sets, part["set_id"].tolist(), strict=True)]
+                packed = [s.astype(np.int64).tobytes() for s, x in zip(sets, own, strict=True) if x]
+                yield part.drop(columns="text")[own].assign(ngrams=packed)
 
     return rows
 
@@ -352,12 +358,12 @@ def jaccard_classes(
     block_ngrams: int = BLOCK_NGRAMS,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles (set size), set_id (null for empty sets; equal for equal
-    sets) and component_id, the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    profile = stage(source.mapInPandas(_profiles(size), "doc_id bigint, n bigint, set_id bigint"), "set-profiles")
+    sets), component_id, the smallest doc_id reachable by links, class (a number that linked
+    rows share, null for empty sets) and text_key."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"))
+    profile = stage(with_columns(source, "text", "n bigint, set_id bigint", _profiles(size)).drop("text"), "set-profiles")
 
-    leads = source.mapInPandas(_leads(size, percent), "token bigint, set_id bigint, shape bigint")
+    leads = source.select("text").mapInPandas(_leads(size, percent), "token bigint, set_id bigint, shape bigint")
     counted = leads.repartition("token").sortWithinPartitions("token", "set_id").mapInPandas(
         _counted, "token bigint, set_id bigint, shape bigint, sets int"
     )
@@ -367,12 +373,12 @@ def jaccard_classes(
     families = components(sorted_.mapInPandas(_chains(percent), "a bigint, b bigint"))
     families = families.select(F.col("node").alias("set_id"), F.col("component").alias("family"))
 
-    first = profile.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    first = profile.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.max("n").alias("n"))
     members = stage(first.join(families, "set_id"), "family-members")
     totals = members.groupBy("family").agg((F.floor(F.sum("n") / block_ngrams) + 1).alias("blocks"))
     placed = members.drop("n").join(totals, "family").withColumn("block", F.pmod("set_id", "blocks"))
     placed = stage(placed, "family-blocks")
-    texts = source.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "doc_id")
+    texts = source.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "text_key")
     sets = texts.select("family", "set_id", "block", "blocks", "text").mapInPandas(
         _family_sets(size), "family bigint, set_id bigint, block bigint, blocks bigint, ngrams binary"
     )
@@ -385,6 +391,7 @@ def jaccard_classes(
 
     classed = stage(profile.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id")), "classes")
     least = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return classed.join(least, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), "set_id", component.alias("component_id"), "class", "text_key"
     )

@@ -146,7 +146,7 @@ WITH p AS (
 g AS (SELECT payload_digest, max(page_id) AS origin FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN page_id < origin AND payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id < origin AND payload_bytes >= 1000 THEN origin END AS refers_to
+       CASE WHEN page_id < origin AND payload_bytes >= 1000 THEN origin END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM p LEFT JOIN g USING (payload_digest)
 """,
 )
@@ -154,7 +154,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path, keep_payload=False).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
     )
 
 

@@ -21,8 +21,9 @@ input. No position is sampled away: every window of ``length`` bytes is decided.
 
 Nothing is broadcast. A frequent passage is one row per task and anchor; a frequent
 anchor with many contexts is split as in 4. Null and empty texts have no bytes. Long
-texts are read in slices that overlap by a window. Rows that repeat a doc_id count as
-one document and are reported each. Only id and text are read.
+texts are read in slices that overlap by a window. Where ids are null or repeat, rows are
+ordered by id (null first), then a hash of the text; rows of one id with other texts are
+other documents, and rows equal in both are one document, reported each. Only id, text and ``others`` are read.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..storage import stage
+from .batches import byte_slices
+from .rows import ROW, own_rows
 from .words import BYTE_VALUES, mix, runs
 
 LENGTH = 100
@@ -417,10 +422,10 @@ def _merged_shards(length: int):
 def repeated_spans(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """(doc_id, at, stop): byte spans to remove. They may overlap."""
+    """(doc_id, at, stop): byte spans to remove. They may overlap. Ids are whole numbers, one per row."""
     if not GRAM <= length < 512:
         raise ValueError(f"length must be at least {GRAM} and below 512")
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     firsts = source.mapInPandas(_first_contexts(length), _CONTEXT)
     order = ("anchor", "shape", "body", "doc_id", "at")
     split = firsts.repartition("anchor").sortWithinPartitions(*order).mapInPandas(
@@ -448,24 +453,21 @@ def repeated_spans(
     return spans.union(found.where("range < 0").select("doc_id", "at", "stop")).union(across)
 
 
-def _cut(columns: list[str]):
+def _cut(columns: list[str], schema: StructType):
+    def one(text, at, stop):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if not at:
+            return len(raw), 0, 0, raw
+        _, begin, end = merged(np.zeros(len(at), np.int64), np.array(at), np.array(stop))
+        ends = [0, *end.tolist()]
+        kept = b"".join(raw[x:y] for x, y in zip(ends, [*begin.tolist(), len(raw)], strict=True))
+        return len(raw), len(raw) - len(kept), len(begin), kept
+
     def rows(batches):
-        for pdf in batches:
-            out = []
-            for text, at, stop in zip(pdf["_text"], pdf["_at"], pdf["_stop"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                begin, end = [], []
-                if at is not None and len(at):
-                    _, begin, end = merged(np.zeros(len(at), np.int64), at, stop)
-                pieces, at = [], 0
-                for b, e in zip(begin, end, strict=True):
-                    pieces.append(raw[at:b])
-                    at = e
-                pieces.append(raw[at:])
-                kept = b"".join(pieces)
-                out.append((len(raw), len(raw) - len(kept), len(begin), kept))
-            found = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            yield pd.concat([pdf[columns].reset_index(drop=True), found], axis=1)
+        for part in byte_slices(batches, "_text"):
+            n, removed, spans, kept = zip(*map(one, *(part.column(c).to_pylist() for c in ("_text", "_at", "_stop"))), strict=True)
+            found = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *found], names=schema.names)
 
     return rows
 
@@ -479,15 +481,15 @@ def remove_repeats(
     others: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row: doc_id, ``others``, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
-    spans = repeated_spans(docs, doc_id, text, length, shard_rows)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "stop")).alias("_spans"))
-    spans = spans.select("doc_id", F.col("_spans.at").alias("_at"), F.col("_spans.stop").alias("_stop"))
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *others)
-    plain = source.drop("_text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return source.join(spans, "doc_id", "left").mapInPandas(
-        _cut(plain.columns), f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    )
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *others)
+    source = own_rows(named, "doc_id", "_text")
+    spans = repeated_spans(source, ROW, "_text", length, shard_rows)
+    spans = spans.groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_list(F.struct("at", "stop")).alias("_spans"))
+    spans = spans.select(ROW, F.col("_spans.at").alias("_at"), F.col("_spans.stop").alias("_stop"))
+    plain = named.drop("_text")
+    new = StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").fields
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in plain.schema.fields), *new])
+    return source.join(spans, ROW, "left").mapInArrow(_cut(plain.columns, schema), schema)
 
 
 def as_text(kept: Column) -> Column:

@@ -36,6 +36,7 @@ from ..storage import stage
 from .words import runs
 
 SEGMENT_BYTES = 32_768
+ARCHIVE_BYTES = 1 << 30
 CHUNK_BYTES = 8_192
 REVISIT_BYTES = 1_000
 BROADCAST_ROWS = 200_000
@@ -43,7 +44,7 @@ DATE = "2024-01-01T00:00:00Z"
 # Fixed value: the profile of records that revisit an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SCHEMA = (
-    "record_id string, record_type string, page_id bigint, uri string, refers_to bigint, payload_digest string, "
+    "record_id string, record_type string, page_id string, uri string, refers_to string, payload_digest string, "
     "payload_bytes bigint, payload binary, problem string, segment int, total_length bigint, block binary"
 )
 
@@ -65,7 +66,7 @@ def page_records(page, name: str, segment_bytes: int) -> Iterator[bytes]:
     """The records of a page; ``name`` makes its record ids unique."""
     identity = lambda k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{k}')}>"
     payload = page.payload or b""
-    page_id = None if pd.isna(page.page_id) else str(int(page.page_id))
+    page_id = page.page_id if isinstance(page.page_id, str) else None
     uri = page.url if isinstance(page.url, str) and page.url else f"urn:page:{page_id}"
     headers = {
         "WARC-Type": "response",
@@ -76,8 +77,8 @@ def page_records(page, name: str, segment_bytes: int) -> Iterator[bytes]:
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(page.digest)).decode(),
         "X-Page-ID": page_id,
     }
-    if not pd.isna(page.refers_to):
-        headers |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(int(page.refers_to))}
+    if isinstance(page.refers_to, str):
+        headers |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "X-Refers-To-Page-ID": page.refers_to}
         yield _record(headers, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % page.n_bytes)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -120,6 +121,8 @@ def write_archives(
     marked = rows.join(groups, "digest", "left").withColumn("refers_to", refers_to)
     # A page that is revisited need not carry its payload along.
     marked = marked.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    # Ids travel as text: pandas would turn a batch's integers into floats beside a null.
+    marked = marked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
 
     def records(batches):
         task, k = TaskContext.get().partitionId(), 0
@@ -132,7 +135,9 @@ def write_archives(
             yield pd.DataFrame({"record": out})
 
     lines = marked.mapInPandas(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("compression", "gzip").text(path)
+    # Archives roll over before they could reach the size that one row of a reader can have.
+    most = max(1, ARCHIVE_BYTES // segment_bytes)
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 # ---- reading ---------------------------------------------------------------------
@@ -220,9 +225,9 @@ def _row(headers: dict[str, str], block: bytes | None, keep: bool) -> dict:
     row |= {
         "record_id": headers.get("warc-record-id"),
         "record_type": headers.get("warc-type"),
-        "page_id": _number(headers.get("x-page-id")),
+        "page_id": headers.get("x-page-id"),
         "uri": headers.get("warc-target-uri"),
-        "refers_to": _number(headers.get("x-refers-to-page-id")),
+        "refers_to": headers.get("x-refers-to-page-id"),
     }
     claimed = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if claimed:
@@ -247,7 +252,7 @@ def _decoded(kind: str, claimed: str | None, block: bytes, keep: bool) -> dict:
 def _frame(rows: list[dict]) -> pd.DataFrame:
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
     pdf = pd.DataFrame(rows, columns=columns)
-    for c in ("page_id", "refers_to", "payload_bytes", "segment", "total_length"):
+    for c in ("payload_bytes", "segment", "total_length"):
         pdf[c] = pdf[c].astype("Int64")
     return pdf
 
@@ -300,4 +305,6 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     parsed = stage(files.mapInPandas(_parsed(keep_payload), _SCHEMA), "records")
     parts = parsed.where("segment IS NOT NULL").repartition("record_id").sortWithinPartitions("record_id", "segment")
     whole = parsed.where("segment IS NULL").unionByName(parts.mapInPandas(_reassembled(keep_payload), _SCHEMA))
-    return whole.drop("segment", "total_length", "block")
+    # Ids are text until here, since pandas has no integers beside a null.
+    ids = {c: F.expr(f"try_cast({c} AS bigint)") for c in ("page_id", "refers_to")}
+    return whole.drop("segment", "total_length", "block").withColumns(ids)
