@@ -1,8 +1,10 @@
 """Corpus preparation: five stages from raw documents to tokens.
 
 Each stage takes all documents that the one before kept and returns them with the columns
-of ``documents``; the last returns tokens. Rows with a null doc_id pass the stages that
-look documents up by id. An empty table stays empty.
+of ``documents``; the last returns tokens. A row is known by its id and a hash of its text,
+so rows of null or repeated ids stay or go by their own texts. Of near duplicates the row
+with the least id stays (null first, then by a hash of the text), one row even where whole
+rows repeat. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,17 +14,26 @@ from pyspark.sql import functions as F
 
 from hertzflow.llm import bpe, decontaminate, jaccard_trie, suffix_dedup, toxicity
 from hertzflow.llm.queries import fold, table, vocabulary
+from hertzflow.llm.rows import text_key
 from hertzflow.storage import stage
 
 BROADCAST_ROWS = 500_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids``, which are broadcast if they are few."""
-    ids = stage(ids.distinct(), "dropped-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+KEY = ["doc_id", "text_key"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, text_key(F.col("text")).alias("text_key"))
+
+
+def _held(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with (left_semi) or without (left_anti) a key; keys are broadcast if they are few."""
+    keys = stage(keys.select(*KEY).distinct().toDF("_id", "_key"), "row-keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    return docs.join(keys, same, how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +45,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by word shingles, the one with the smallest id stays."""
-    classes = jaccard_trie.jaccard_classes(docs)
-    return _without(docs, classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    classes = jaccard_trie.jaccard_classes(docs).where("class IS NOT NULL")
+    classes = stage(classes.select(*KEY, "class"), "near-duplicates")
+    stays = classes.groupBy("class").agg(F.min(F.struct(*KEY)).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    several = stage(classes.join(stays, "class").select(*KEY, F.struct(*KEY).eqNullSafe(F.col("stays")).alias("stays")), "copies")
+    left = _held(_keyed(docs), several.where("NOT stays"), "left_anti")
+    # Rows equal in id and text share a key; where such a key stays, one of them does.
+    repeated = several.where("stays").groupBy(*KEY).count().where("count > 1")
+    once = _held(left, repeated, "left_semi").dropDuplicates(KEY)
+    return _held(left, repeated, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +66,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), with_key=True)
+    return _held(_keyed(docs), found.where("contaminated"), "left_anti").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
