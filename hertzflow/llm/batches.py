@@ -1,9 +1,10 @@
 """Arrow batches whose size is bounded by bytes, for functions that run over whole texts.
 
-Spark bounds a batch by rows, so one batch of long texts can be large. Here a function
-sees runs of rows of about ``SLICE_BYTES`` bytes of text (a longer text is a run of its
-own), all other columns pass through untouched, and workers, which Spark reuses, hand
-freed memory back when a task ends.
+Spark fills a batch up to 10,000 rows or 64 MB, and the JVM's and the worker's buffers of it
+are kept for later ones. Here the session's limit is lowered to ``BATCH_BYTES`` (a smaller
+one stays), a function sees runs of rows of about ``SLICE_BYTES`` bytes of text (a longer
+text is a run of its own), all other columns pass through untouched, and workers, which
+Spark reuses, hand freed memory back when a task ends.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def release() -> None:
@@ -29,6 +33,14 @@ def release() -> None:
         pass  # another C library: it decides itself
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, for plans made from now on."""
+    now = spark.conf.get(_LIMIT).lower().rstrip("b")
+    # A value in other units was set by the user.
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, f"{BATCH_BYTES}b")
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``size`` bytes of ``column``, text or binary; null counts nothing."""
     for batch in batches:
@@ -43,12 +55,39 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLIC
     release()
 
 
+def tidy(rows: Callable) -> Callable:
+    """``rows``, a function over batches, with its memory handed back when a task ends."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return run
+
+
+def map_slices(df: DataFrame, column: str, rows: Callable, made: str) -> DataFrame:
+    """``df.mapInPandas(rows, made)``, with frames of about ``SLICE_BYTES`` bytes of ``column``."""
+    limit_batches(df.sparkSession)
+    schema = StructType.fromDDL(made)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for pdf in rows(part.to_pandas() for part in byte_slices(batches, column)):
+            if len(pdf):
+                yield pa.RecordBatch.from_pandas(pdf, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def with_columns(df: DataFrame, column: str, made: str, compute: Callable[[pa.Array], Sequence[pa.Array]]) -> DataFrame:
     """Add the columns of the schema string ``made``, computed from the values of ``column``.
 
     ``compute`` takes the values of a run of rows, an Arrow array, and returns one Arrow array
     per new column. Columns of the same names are replaced.
     """
+    limit_batches(df.sparkSession)
     new = StructType.fromDDL(made)
     names = new.names
     rest = [c for c in df.columns if c not in names]

@@ -9,13 +9,14 @@ is a written table; no link or component passes through the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .batches import tidy
 
 BATCH_LINKS = 1_000_000
 
@@ -71,10 +72,14 @@ def _small(links: DataFrame) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def links_of(frame: DataFrame, rows: Callable) -> DataFrame:
+    """The links that ``rows`` finds in batches of ``frame``, as stars of each task, in one pass."""
+    return frame.mapInPandas(tidy(lambda batches: spanning_stars(rows(batches))), "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in the links (a, b); a component is named by its smallest node."""
-    current = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    current = stage(current.mapInPandas(spanning_stars, "a bigint, b bigint"), "links")
+    current = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "links")
     before = None
     while True:
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()

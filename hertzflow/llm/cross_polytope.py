@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import group_side, stage
+from .batches import tidy
 from .components import components
 
 THRESHOLD = 0.93
@@ -248,7 +249,7 @@ def near_duplicates(
     chosen = _chosen_hashes(F.col("n"), F.col("dim")) if hashes is None else F.lit(hashes)
     sized = groups.join(group_side(sizes.select("label", "dim", chosen.alias("hashes")), "label-hashes"), ["label", "dim"])
     signed = sized.select("vec_id", "label", "weight", "vector", "hashes").mapInPandas(
-        _signed(TABLES),
+        tidy(_signed(TABLES)),
         "vec_id bigint, label string, weight bigint, dim int, vector binary, codes binary, buckets array<bigint>",
     )
     signed = stage(signed, "bucket-codes")
@@ -260,7 +261,7 @@ def near_duplicates(
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     met = placed.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", "vec_id")
-    found = stage(met.mapInPandas(_linked(threshold), "vec_id bigint, links bigint, other bigint"), "vector-links")
+    found = stage(met.mapInPandas(tidy(_linked(threshold)), "vec_id bigint, links bigint, other bigint"), "vector-links")
     links = found.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
 

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .batches import with_columns
-from .components import Forest, components
+from .batches import map_slices, tidy, with_columns
+from .components import components, links_of
 from .rows import text_key
 from .words import mix, runs, shingle_hashes, word_hashes
 
@@ -363,14 +363,14 @@ def jaccard_classes(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"))
     profile = stage(with_columns(source, "text", "n bigint, set_id bigint", _profiles(size)).drop("text"), "set-profiles")
 
-    leads = source.select("text").mapInPandas(_leads(size, percent), "token bigint, set_id bigint, shape bigint")
+    leads = map_slices(source.select("text"), "text", _leads(size, percent), "token bigint, set_id bigint, shape bigint")
     counted = leads.repartition("token").sortWithinPartitions("token", "set_id").mapInPandas(
-        _counted, "token bigint, set_id bigint, shape bigint, sets int"
+        tidy(_counted), "token bigint, set_id bigint, shape bigint, sets int"
     )
     by_set = counted.repartition("set_id").sortWithinPartitions("set_id", "sets", "token")
-    prefixes = by_set.mapInPandas(_prefixes, "token bigint, n bigint, set_id bigint")
+    prefixes = by_set.mapInPandas(tidy(_prefixes), "token bigint, n bigint, set_id bigint")
     sorted_ = prefixes.repartition("token").sortWithinPartitions("token", "n", "set_id")
-    families = components(sorted_.mapInPandas(_chains(percent), "a bigint, b bigint"))
+    families = components(links_of(sorted_, _chains(percent)))
     families = families.select(F.col("node").alias("set_id"), F.col("component").alias("family"))
 
     first = profile.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.max("n").alias("n"))
@@ -379,14 +379,13 @@ def jaccard_classes(
     placed = members.drop("n").join(totals, "family").withColumn("block", F.pmod("set_id", "blocks"))
     placed = stage(placed, "family-blocks")
     texts = source.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "text_key")
-    sets = texts.select("family", "set_id", "block", "blocks", "text").mapInPandas(
-        _family_sets(size), "family bigint, set_id bigint, block bigint, blocks bigint, ngrams binary"
-    )
+    held = texts.select("family", "set_id", "block", "blocks", "text")
+    sets = map_slices(held, "text", _family_sets(size), "family bigint, set_id bigint, block bigint, blocks bigint, ngrams binary")
     pairs = sets.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
         "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "ngrams"
     )
     blocks = pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set_id")
-    classes = components(blocks.mapInPandas(_family_links(percent), "a bigint, b bigint"))
+    classes = components(links_of(blocks, _family_links(percent)))
     classes = classes.select(F.col("node").alias("set_id"), F.col("component").alias("class"))
 
     classed = stage(profile.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id")), "classes")

@@ -33,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..storage import stage
-from .batches import byte_slices
+from .batches import byte_slices, limit_batches, map_slices, tidy
 from .rows import ROW, own_rows
 from .words import BYTE_VALUES, mix, runs
 
@@ -426,34 +426,33 @@ def repeated_spans(
     if not GRAM <= length < 512:
         raise ValueError(f"length must be at least {GRAM} and below 512")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    firsts = source.mapInPandas(_first_contexts(length), _CONTEXT)
+    firsts = map_slices(source, "text", _first_contexts(length), _CONTEXT)
     order = ("anchor", "shape", "body", "doc_id", "at")
     split = firsts.repartition("anchor").sortWithinPartitions(*order).mapInPandas(
-        _distinct_contexts(length, shard_rows), "doc_id bigint, at bigint, stop bigint, shard bigint, anchor bigint, shape int"
+        tidy(_distinct_contexts(length, shard_rows)), "doc_id bigint, at bigint, stop bigint, shard bigint, anchor bigint, shape int"
     )
     split = stage(split, "contexts")
     columns = ("anchor", "shard", "at", "shape")
     marks = split.where("shard >= 0").groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("marks"))
     each = [F.col("marks")[c].alias(c) for c in columns]
-    cut = source.join(marks, "doc_id").select("doc_id", "text", *each).mapInPandas(
-        _cut_contexts(length), "anchor bigint, shard bigint, doc_id bigint, at bigint, shape int, bytes binary"
-    )
+    marked = source.join(marks, "doc_id").select("doc_id", "text", *each)
+    cut = map_slices(marked, "text", _cut_contexts(length), "anchor bigint, shard bigint, doc_id bigint, at bigint, shape int, bytes binary")
     sorted_ = cut.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
     found = stage(
         sorted_.mapInPandas(
-            _shard_rows(length, shard_rows),
+            tidy(_shard_rows(length, shard_rows)),
             "doc_id bigint, at bigint, stop bigint, anchor bigint, range bigint, shard bigint, keys binary, owners binary",
         ),
         "shards",
     )
     blocks = found.where("range >= 0").select("anchor", "range", "shard", "keys", "owners")
     blocks = blocks.repartition("anchor", "range").sortWithinPartitions("anchor", "range", "shard")
-    across = blocks.mapInPandas(_merged_shards(length), "doc_id bigint, at bigint, stop bigint")
+    across = blocks.mapInPandas(tidy(_merged_shards(length)), "doc_id bigint, at bigint, stop bigint")
     spans = split.where("shard < 0").select("doc_id", "at", "stop")
     return spans.union(found.where("range < 0").select("doc_id", "at", "stop")).union(across)
 
 
-def _cut(columns: list[str], schema: StructType):
+def _cut(columns: list[str], schema: StructType, with_text: bool):
     def one(text, at, stop):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not at:
@@ -467,6 +466,8 @@ def _cut(columns: list[str], schema: StructType):
         for part in byte_slices(batches, "_text"):
             n, removed, spans, kept = zip(*map(one, *(part.column(c).to_pylist() for c in ("_text", "_at", "_stop"))), strict=True)
             found = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+            if with_text:
+                found.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *found], names=schema.names)
 
     return rows
@@ -479,24 +480,20 @@ def remove_repeats(
     length: int = LENGTH,
     shard_rows: int = SHARD_ROWS,
     others: tuple[str, ...] = (),
+    with_text: bool = False,
 ) -> DataFrame:
-    """Per row: doc_id, ``others``, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
+    """Per row: doc_id, ``others``, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
+
+    ``with_text`` adds kept_text, the kept bytes as text. A cut can part a character; what is
+    left of it goes too.
+    """
+    limit_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *others)
     source = own_rows(named, "doc_id", "_text")
     spans = repeated_spans(source, ROW, "_text", length, shard_rows)
     spans = spans.groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_list(F.struct("at", "stop")).alias("_spans"))
     spans = spans.select(ROW, F.col("_spans.at").alias("_at"), F.col("_spans.stop").alias("_stop"))
     plain = named.drop("_text")
-    new = StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").fields
+    new = StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept binary" + ", kept_text string" * with_text).fields
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in plain.schema.fields), *new])
-    return source.join(spans, ROW, "left").mapInArrow(_cut(plain.columns, schema), schema)
-
-
-def as_text(kept: Column) -> Column:
-    """Kept bytes as text. A cut can part a character; what is left of it goes too."""
-
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None else bytes(k).decode("utf-8", "ignore") for k in column], dtype=object)
-
-    return text(kept)
+    return source.join(spans, ROW, "left").mapInArrow(_cut(plain.columns, schema, with_text), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import with_columns
+from .batches import tidy, with_columns
 from .words import LOWER, slice_hashes
 
 WINDOW, STRIDE = 32, 24
@@ -343,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         net = train(both["text"].tolist(), both["y"].tolist())
         yield pd.DataFrame({"known": [net.known.tobytes()], "weights": [pickle.dumps(net.p)]})
 
-    one = some[0].union(some[1]).repartition(1).mapInPandas(trained, "known binary, weights binary").first()
+    one = some[0].union(some[1]).repartition(1).mapInPandas(tidy(trained), "known binary, weights binary").first()
     net = Network(np.empty(0, np.uint64))
     if one:
         net.known, net.p = np.frombuffer(one.known, np.uint64), pickle.loads(one.weights)
