@@ -58,8 +58,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that occur earlier are cut out; documents of which only blanks are left go."""
-    cut = suffix_dedup.remove_repeats(docs, others=("lang", "source"))
-    texts = cut.withColumn("text", suffix_dedup.as_text(F.col("kept"))).withColumn("n_chars", F.length("text").cast("bigint"))
+    cut = suffix_dedup.remove_repeats(docs, others=("lang", "source"), with_text=True)
+    texts = cut.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("bigint"))
     left = (F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     return texts.where(left).select(*COLUMNS)
 
