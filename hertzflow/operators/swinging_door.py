@@ -15,6 +15,10 @@ from .layout import POS, OrderedRows
 
 SEGMENT_ROWS = 86_400
 BLOCK, MAX_BLOCK = 16, 8192
+SAMPLE_BLOCKS = 64
+# What a scan expects of a segment: already run from this state, door open through it, or
+# in step with its own kept points.
+KNOWN, OPEN, FALLS_IN = range(3)
 SLOPE = "slope"
 
 
@@ -89,6 +93,40 @@ def _resumed(t, v, width, into, known, left):
     return mask[k:], bool(k == 2 and mask[1]), left if end is None else _state(t, v, *end)
 
 
+def _sample(t: np.ndarray, v: np.ndarray) -> tuple[list[float], list[float]]:
+    """First, last, lowest and highest point of each of ``SAMPLE_BLOCKS`` blocks, in order."""
+    size = -(-len(v) // SAMPLE_BLOCKS)
+    at = np.concatenate([[lo, lo + v[lo : lo + size].argmin(), lo + v[lo : lo + size].argmax(), min(lo + size, len(v)) - 1] for lo in range(0, len(v), size)])
+    at = np.unique(at)
+    return t[at].tolist(), v[at].tolist()
+
+
+def _passes(row: dict, state: list[float], width: float) -> list[float] | None:
+    """The state behind a segment if, as far as its sample tells, the door stays open in it."""
+    t, v = np.array([state[0], *row["sample_t"]]), np.array([state[1], *row["sample_v"]])
+    mask, end = _run(t, v, width, 1, state[2], state[3])
+    return None if mask.any() or end[0] else _state(t, v, *end)
+
+
+def _in_order(series: list[str], step, columns: list[str]):
+    """A function over sorted batches: ``step(state, row)`` gives the next state and an output row;
+    the state is None where a series begins. One segment's row is held at a time."""
+
+    def rows(batches):
+        last, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                own = tuple(None if pd.isna(row[c]) else row[c] for c in series)
+                state = state if last == (own,) else None
+                last = (own,)
+                state, made = step(state, row)
+                out.append({**{c: row[c] for c in (*series, "_segment")}, **made})
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows
+
+
 def swinging_door(
     ordered: OrderedRows, ts: str, value: str, width: float = DEFAULTS.door_width, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
@@ -97,11 +135,20 @@ def swinging_door(
     Between kept points the straight line stays within ``width`` of every value. The
     result is that of the door over the whole series, whatever ``segment_rows`` is.
 
-    Segments of ``segment_rows`` values are compressed in parallel, as if each began
-    with a kept point. Then each is run again from the state its predecessor leaves, six
-    numbers, only until it keeps a point that it kept before, until no state changes.
-    A round takes only segments whose state has changed; there are as many rounds as
-    segments without a common point in a row, usually two. No task holds more than a segment.
+    1. Segments of ``segment_rows`` values are compressed in parallel, as if each began
+       with a kept point.
+    2. A scan over the segments, a few numbers and a sample of points each, foretells the
+       last kept point before every segment: either the door stays open through a segment,
+       or the segment falls in with what it kept by itself.
+    3. Where the door stays open, the segment's share of the corridor is taken from all its
+       points in parallel, and a second scan makes the exact state before every segment.
+    4. All segments are run from that state in parallel, each only until it keeps a point
+       that it kept before.
+
+    What was foretold wrongly is known after that, and steps 2 to 4 are repeated with it.
+    Noisy, flat and straight series take one round whatever their length; doors that close
+    less than once a segment take one per closing that the samples did not show. No task
+    holds more than a segment; the scans stream one row per segment.
     """
     series = list(ordered.series)
     known = ordered.df.where(F.col(value).isNotNull()).select(*series, POS, ts, value)
@@ -111,7 +158,9 @@ def swinging_door(
     slim = points.select(*series, "_segment", POS, "_s", F.col(value).cast("double").alias("_v"))
     key = [*series, "_segment"]
     kinds = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in series)
-    schema = f"{kinds}{', ' if series else ''}_segment bigint, pivots binary, keeps boolean, into array<double>, left array<double>"
+    named = f"{kinds}{', ' if series else ''}_segment bigint"
+    found = "pivots binary, keeps boolean, into array<double>, left array<double>"
+    first = "own array<double>, sample_t array<double>, sample_v array<double>"
 
     def row(pdf, mask, keeps, into, left):
         pivots = np.flatnonzero(mask).astype(np.int32).tobytes()
@@ -122,12 +171,23 @@ def swinging_door(
         t, v = pdf["_s"].to_numpy(), pdf["_v"].to_numpy()
         mask, end = _run(t, v, width, 1, -np.inf, np.inf)
         mask[0] = True
-        return row(pdf, mask, False, None, _state(t, v, *end))
-
-    def again(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(found) or not len(pdf):
+        state, sample = _state(t, v, *end), _sample(t, v)
+        return row(pdf, mask, False, None, state).assign(own=[state], sample_t=[sample[0]], sample_v=[sample[1]])
+
+    def share(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """What a segment's points make of the corridor around a pivot before it."""
+        if not len(told) or not len(pdf):
+            return pd.DataFrame(columns=[*key, "low", "high"])
+        pivot_t, pivot_v = told["state"].iloc[0][:2]
+        gap, rise = pdf["_s"].to_numpy() - pivot_t, pdf["_v"].to_numpy() - pivot_v
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low, high = ((rise - width) / gap).max(), ((rise + width) / gap).min()
+        return pdf[key].iloc[:1].assign(low=[low], high=[high])
+
+    def again(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(told) or not len(pdf):
             return pd.DataFrame(columns=[*key, "pivots", "keeps", "into", "left"])
-        pdf, f = pdf.sort_values(POS), found.iloc[0]
+        pdf, f = pdf.sort_values(POS), told.iloc[0]
         before = _mask(f["pivots"], len(pdf))
         into = [float(x) for x in f["now"]]
         mask, keeps, left = _resumed(pdf["_s"].to_numpy(), pdf["_v"].to_numpy(), width, into, before, list(f["left"]))
@@ -140,14 +200,44 @@ def swinging_door(
         on = reduce(lambda x, y: x & y, same, F.col("_segment") + step == F.col("_b__segment"))
         return a.join(b, on, how).drop(*[f"_b_{c}" for c in key])
 
-    done = stage(slim.groupBy(*key).applyInPandas(alone, schema), "door-segments")
+    def scanned(rows: DataFrame, step, made: str) -> DataFrame:
+        dealt = rows.repartition(*series) if series else rows.repartition(1)
+        columns = [*key, *(c.split()[0] for c in made.split(", "))]
+        return dealt.sortWithinPartitions(*key).mapInPandas(_in_order(series, step, columns), f"{named}, {made}")
+
+    def foretold(state, row):
+        """The state before a segment, and what becomes of it there."""
+        if state is None:
+            return list(row["left"]), {"kind": KNOWN, "state": None}
+        if row["into"] is not None and list(row["into"][:2]) == state[:2]:
+            # All that lies behind a pivot follows from it.
+            return list(row["left"]), {"kind": KNOWN, "state": state}
+        behind = _passes(row, state, width)
+        return (behind, {"kind": OPEN, "state": state}) if behind else (list(row["own"]), {"kind": FALLS_IN, "state": state})
+
+    def exact(state, row):
+        now = {"now": state, "kind": row["kind"]}
+        if row["kind"] == KNOWN:
+            return list(row["left"]), now
+        if row["kind"] == FALLS_IN:
+            return list(row["own"]), now
+        return [*state[:2], max(state[2], row["low"]), min(state[3], row["high"]), *row["own"][4:]], now
+
+    heads = stage(slim.groupBy(*key).applyInPandas(alone, f"{named}, {found}, {first}"), "door-segments")
+    fixed, done = heads.select(*key, "own", "sample_t", "sample_v"), heads.drop("own", "sample_t", "sample_v")
     while True:
-        now = beside(done, done.select(*key, F.col("left").alias("now")), -1, "inner")
-        changed = stage(now.where(~F.col("now").eqNullSafe(F.col("into"))), "door-changed")
-        if changed.isEmpty():
+        told = stage(scanned(beside(done.drop("pivots"), fixed, 0, "inner"), foretold, "kind int, state array<double>"), "door-foretold")
+        if told.where(F.col("kind") != KNOWN).isEmpty():
             break
+        opened = told.where(F.col("kind") == OPEN).select(*key, "state")
+        some = beside(slim, opened.select(*key), 0, "left_semi")
+        shares = some.groupBy(*key).cogroup(opened.groupBy(*key)).applyInPandas(share, f"{named}, low double, high double")
+        rows = beside(beside(done.select(*key, "left"), fixed.select(*key, "own"), 0, "inner"), told.select(*key, "kind"), 0, "inner")
+        states = stage(scanned(beside(rows, shares, 0, "left"), exact, "now array<double>, kind int"), "door-states")
+        changed = beside(done, states.where(F.col("kind") != KNOWN).drop("kind"), 0, "inner")
+        changed = stage(changed, "door-changed")
         some = beside(slim, changed.select(*key), 0, "left_semi")
-        redone = some.groupBy(*key).cogroup(changed.groupBy(*key)).applyInPandas(again, schema)
+        redone = some.groupBy(*key).cogroup(changed.groupBy(*key)).applyInPandas(again, f"{named}, {found}")
         done = stage(beside(done, changed.select(*key), 0, "left_anti").unionByName(redone), "door-segments")
     ends = beside(done, done.select(*key, F.col("keeps").alias("next")), 1, "left")
 

@@ -433,7 +433,43 @@ def w6(spark, sf):
     return _framed(spark, sf, 0, 10, lambda f: {"target_is_unstable": windows.instability_label(windows.led(f, _F))})
 
 
-@query("w7_swinging_door")
+def door_sql(source: str, width: float = 0.5) -> str:
+    """The door of the table ``source``, point by point, and its kept points as ``knots``."""
+    return (
+        BASE_SQL.replace("WITH", "WITH RECURSIVE", 1)
+        + f""", src AS ({source if ' ' in source else f'SELECT * FROM {source}'}),
+    pts AS MATERIALIZED (SELECT series, event_id, timestamp, wind_speed AS v, epoch_us(timestamp) / 1e6 AS t,
+      row_number() OVER ({W}) AS n FROM src WHERE wind_speed IS NOT NULL),
+    door AS (
+      SELECT series, n, t, v, t AS pt, v AS pv, n AS pn, n AS also, CAST('-infinity' AS DOUBLE) AS low, CAST('infinity' AS DOUBLE) AS high
+      FROM pts WHERE n = 1
+      UNION ALL
+      SELECT series, n, t, v,
+        CASE WHEN stays THEN pt WHEN gap > 0 AND t > lt THEN lt ELSE t END,
+        CASE WHEN stays THEN pv WHEN gap > 0 AND t > lt THEN lv ELSE v END,
+        CASE WHEN stays THEN pn WHEN gap > 0 AND t > lt THEN n - 1 ELSE n END,
+        CASE WHEN NOT stays AND gap > 0 AND t <= lt THEN n - 1 END,
+        CASE WHEN stays THEN greatest(low, (rise - {width}) / gap) WHEN gap > 0 AND t > lt THEN (v - lv - {width}) / (t - lt) ELSE CAST('-infinity' AS DOUBLE) END,
+        CASE WHEN stays THEN least(high, (rise + {width}) / gap) WHEN gap > 0 AND t > lt THEN (v - lv + {width}) / (t - lt) ELSE CAST('infinity' AS DOUBLE) END
+      FROM (SELECT *, gap > 0 AND low * gap <= rise AND rise <= high * gap AS stays
+        FROM (SELECT p.series, p.n, p.t, p.v, d.pt, d.pv, d.pn, d.low, d.high, d.t AS lt, d.v AS lv, p.t - d.pt AS gap, p.v - d.pv AS rise
+          FROM door d JOIN pts p ON p.series = d.series AND p.n = d.n + 1))
+    ),
+    kept AS (SELECT series, pn AS n FROM door UNION SELECT series, also FROM door WHERE also IS NOT NULL
+      UNION SELECT series, max(n) FROM door GROUP BY series),
+    knots AS (SELECT pts.*, CASE WHEN t > lag(t) OVER k THEN (v - lag(v) OVER k) / (t - lag(t) OVER k) END AS slope
+      FROM pts JOIN kept USING (series, n) WINDOW k AS (PARTITION BY series ORDER BY n)),
+    ramped AS (SELECT src.*, coalesce(last_value(slope IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        first_value(slope IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS ramp_rate
+      FROM src LEFT JOIN (SELECT event_id, slope FROM knots) USING (event_id) WINDOW o AS ({W}))
+    """
+    )
+
+
+@query(
+    "w7_swinging_door",
+    door_sql("base") + f"SELECT series, timestamp, {r('v', 'wind_speed')}, {r('slope', 'slope')} FROM knots",
+)
 def w7(spark, sf):
     return out(swinging_door(laid_out(spark, sf), "timestamp", "wind_speed", 0.5), "series", "timestamp", "wind_speed", "slope")
 
@@ -450,7 +486,7 @@ def w8(spark, sf):
     return out(ramp_rate(laid_out(spark, sf), "timestamp", "wind_speed", None), "event_id", "ramp_rate")
 
 
-@query("w8_ramp_rate_door")
+@query("w8_ramp_rate_door", door_sql("base") + f"SELECT event_id, {r('ramp_rate', 'ramp_rate')} FROM ramped")
 def w8_door(spark, sf):
     return out(ramp_rate(laid_out(spark, sf), "timestamp", "wind_speed", 0.5), "event_id", "ramp_rate")
 
