@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..operators.layout import order_rows
 from ..storage import group_side, stage
+from .trees import compiled, predicted
 
 _VECTOR, _LEAF, _TREE = "_features", "_leaf", "_tree"
 _SAVED = (
@@ -36,10 +37,8 @@ class QuantileBoost:
 
     def transform(self, df: DataFrame, prediction: str) -> DataFrame:
         """Add the prediction to every row; it is null where a feature is null or NaN."""
-        rows = assemble(df, self.features).withColumn(prediction, F.lit(self.base))
-        for tree, values, rate in zip(self.trees, self.leaf_values, self.rates):
-            rows = _add_tree(rows, tree, values, rate, prediction)
-        return rows.withColumn(prediction, F.when(complete(self.features), F.col(prediction))).drop(_VECTOR)
+        flat = compiled(self.trees, self.leaf_values, self.rates)
+        return df.withColumn(prediction, F.when(complete(self.features), predicted(flat, self.base, self.features)))
 
     def importances(self) -> list[tuple[str, float]]:
         """Mean gain share of each feature over the trees, in percent."""

@@ -105,6 +105,16 @@ def countdown(
     return F.min(below).over(frames.over(0, rows - 1)) - F.col(POS)
 
 
+def countdown_rows(
+    ordered: OrderedRows, value: str, threshold: float = DEFAULTS.unstable_low, rows: int = DEFAULTS.countdown_rows, name: str = "countdown"
+) -> DataFrame:
+    """``countdown`` for long frames: the next low row is carried from behind, so the work per row
+    does not grow with ``rows``."""
+    found = ordered.running({"_next": ("min", F.when(F.col(value) < threshold, F.col(POS)))}, backward=True)
+    ahead = F.col("_next") - F.col(POS)
+    return found.withColumn(name, F.when(ahead < rows, ahead)).drop("_next")
+
+
 def context_slices(ordered: OrderedRows, focus: DataFrame, key: str, before: int, after: int) -> DataFrame:
     """The rows around each focus row. ``focus`` holds series columns, position and ``key``.
 

@@ -6,12 +6,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import day_summary, aggregate
-from ..models.calibrate import fit_isotonic
+from ..models.calibrate import IsotonicMap, fit_isotonic
 from ..models.classify import SequenceMonitor, classify, fit_instability_classifier, fit_sequence_monitor
 from ..models.quantile import QuantileBoost, conformal_bounds, fit_quantile_boost
 from ..operators.asof import asof_join
@@ -117,7 +116,7 @@ class Pipeline:
     monitor: GBTClassificationModel
     sequence: SequenceMonitor
     shifts: tuple[float, float] | None = None
-    calibrators: tuple[IsotonicRegressionModel, ...] | None = None
+    calibrators: tuple[IsotonicMap, ...] | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in zip(("lower", "upper"), self.bounds):
@@ -125,7 +124,7 @@ class Pipeline:
         self.monitor.write().overwrite().save(f"{path}/monitor")
         self.sequence.save(spark, f"{path}/sequence")
         for i, model in enumerate(self.calibrators or ()):
-            model.write().overwrite().save(f"{path}/isotonic/{i}")
+            model.save(spark, f"{path}/isotonic/{i}")
         # Written last: a folder with it holds a complete pipeline.
         row = (list(self.shifts) if self.shifts else None, len(self.calibrators or ()))
         spark.createDataFrame([row], _PIPELINE).write.mode("overwrite").json(f"{path}/pipeline")
@@ -134,7 +133,7 @@ class Pipeline:
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
         row = spark.read.schema(_PIPELINE).json(f"{path}/pipeline").first()
         bounds = tuple(QuantileBoost.load(spark, f"{path}/{name}") for name in ("lower", "upper"))
-        maps = tuple(IsotonicRegressionModel.load(f"{path}/isotonic/{i}") for i in range(row.calibrators))
+        maps = tuple(IsotonicMap.load(spark, f"{path}/isotonic/{i}") for i in range(row.calibrators))
         monitor = GBTClassificationModel.load(f"{path}/monitor")
         sequence = SequenceMonitor.load(spark, f"{path}/sequence")
         return cls(bounds, monitor, sequence, tuple(row.shifts) if row.shifts else None, maps or None)

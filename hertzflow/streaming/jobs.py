@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.metrics import day_summary
+from ..operators.asof import asof_join
 from ..operators.layout import POS, order_rows
 from ..operators.windows import add_steps, feature_steps
 from ..settings import DEFAULTS
 from ..storage import group_side, stage, work_path
 
 
+END_MARK = "9999-12-31 00:00:00"
+
+
 def read_folder(spark: SparkSession, path: str, schema, pattern: str | None = None, max_files: int | None = None) -> DataFrame:
     """Parquet files as they land; ``max_files`` bounds a micro-batch."""
     reader = spark.readStream.schema(schema)
@@ -69,6 +73,29 @@ def breach_sessions(
     )
 
 
+def drain_sessions(
+    stream: DataFrame, ts: str, by: Sequence[str], value: str, label: str = "sessions", *, path: str | None = None,
+    timeout: int | None = None, **rule
+) -> DataFrame:
+    """All breach sessions of the landed input, closed by the stream itself.
+
+    The stream is first drained as usual. Then an end mark lands in a second source, a row far
+    in the future: the watermark passes every session that is still open, and the same query,
+    resumed from its checkpoint, emits them. The mark itself stays an open session of its own.
+    """
+    spark = stream.sparkSession
+    path = path or work_path(spark, label)
+    marks = f"{path}/marks"
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(marks)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(marks))
+    sessions = breach_sessions(both, ts, by, value, **rule)
+    drain(sessions, label, timeout=timeout, path=f"{path}/out")
+    mark = {ts: F.lit(END_MARK).cast(stream.schema[ts].dataType), value: F.lit(float("-inf")).cast(stream.schema[value].dataType)}
+    row = [mark.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*row).write.mode("append").parquet(marks)
+    return drain(sessions, label, timeout=timeout, path=f"{path}/out")
+
+
 def with_open_sessions(closed: DataFrame, rows: DataFrame, ts: str, by: Sequence[str], value: str, **rule) -> DataFrame:
     """The sessions a stream has closed, and those still open at the end of its landed ``rows``."""
     # Written first: a join right on top of session windows takes their start for a
@@ -77,6 +104,39 @@ def with_open_sessions(closed: DataFrame, rows: DataFrame, ts: str, by: Sequence
     return closed.unionByName(every.join(closed.select("session_start", *by), ["session_start", *by], "left_anti"))
 
 
+def drain_asof(
+    stream: DataFrame,
+    slow: Callable[[], DataFrame],
+    ts: str,
+    slow_ts: str,
+    label: str = "attached",
+    *,
+    by: Sequence[str] = (),
+    tie: Sequence[str] = (),
+    timeout: int | None = None,
+    path: str | None = None,
+) -> DataFrame:
+    """Give each live row the last slow row at or before it, however old that is.
+
+    ``slow`` reads the slow series as it has landed when a micro-batch begins; the batch as-of
+    join then takes the place of a state per key, so a missing hour is carried on, of two rows
+    of one instant ``tie`` decides, and a large slow side is ordered instead of broadcast. A row
+    is joined once: slow rows that land after its micro-batch do not change it.
+    """
+    spark = stream.sparkSession
+    joined: list = []
+
+    def attached(batch: DataFrame) -> DataFrame:
+        rows = asof_join(batch, slow(), ts, by=by, right_on=slow_ts, tie=tie)
+        rows = rows.drop(slow_ts) if slow_ts != ts else rows
+        joined[:] = [rows.schema]
+        return rows
+
+    root = drain_batches(stream, label, attached, timeout=timeout, path=path)
+    rows = spark.read.schema(joined[0]) if joined else spark.read
+    return rows.parquet(root).drop("batch_id")
+
+
 def attach_slow(stream: DataFrame, slow: DataFrame, ts: str, slow_ts: str, unit: str = "hour") -> DataFrame:
     """Give each live row the slow row of its hour or day."""
     keyed = stream.withColumn("_slot", F.date_trunc(unit, ts))

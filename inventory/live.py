@@ -8,7 +8,7 @@ from hertzflow.functions.alerts import dual_trigger
 from hertzflow.models.quantile import grid_key
 from hertzflow.streaming import jobs
 
-from .base import SIGNAL_SQL, THRESHOLD, W, hourly, out, query, r, signal, table
+from .base import SIGNAL_SQL, THRESHOLD, W, hourly, out, query, r, table
 from .learn import _LED_SQL, grouped
 from .measures import _DECISION_SQL
 from .windows import _vol_sql
@@ -99,10 +99,32 @@ def t3(spark, sf):
       count(*) AS breach_rows, {r(f'min({_Y})', 'lowest')} FROM i GROUP BY series, n""",
 )
 def t4(spark, sf):
-    """Sessions the watermark has closed, completed by those still open at the end of the input."""
-    stream = jobs.breach_sessions(live_signal(spark, sf), "timestamp", ["series"], _Y, gap="30 minutes")
-    closed = jobs.drain(stream, "sessions")
-    return out(jobs.with_open_sessions(closed, signal(spark, sf), "timestamp", ["series"], _Y, gap="30 minutes"))
+    """Every session comes out of the stream; an end mark closes those open at the end of the input."""
+    return out(jobs.drain_sessions(live_signal(spark, sf), "timestamp", ["series"], _Y, gap="30 minutes"))
+
+
+_GAPPED = "hour(h) % 5 <> 2"
+
+
+@query(
+    "t5_live_asof",
+    "WITH "
+    + SIGNAL_SQL
+    + f""", slow AS (SELECT h AS at, wind_speed, 1 AS k FROM hourly WHERE {_GAPPED}
+      UNION ALL SELECT h + INTERVAL 20 MINUTE, wind_speed + 1.0, 2 FROM hourly WHERE hour(h) % 3 = 0 AND {_GAPPED})
+    SELECT s.event_id, s.series, s.timestamp, {r(f's.{_Y}', _Y)}, {r('slow.wind_speed', 'wind_speed')}
+    FROM sig s ASOF LEFT JOIN slow ON s.timestamp >= slow.at""",
+)
+def t5_live(spark, sf):
+    """Hours are missing from the slow series and some have two rows; each live row takes the last one."""
+
+    def slow():
+        rows = hourly(spark, sf).select(F.col("timestamp").alias("at"), "wind_speed")
+        rows = rows.where(F.hour("at") % 5 != 2)
+        more = rows.where(F.hour("at") % 3 == 0).select(F.expr("at + INTERVAL 20 MINUTE").alias("at"), F.col("wind_speed") + 1.0)
+        return rows.union(more)
+
+    return out(jobs.drain_asof(live_signal(spark, sf), slow, "timestamp", "at"))
 
 
 @query(

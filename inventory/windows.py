@@ -523,7 +523,7 @@ def w9(spark, sf):
       OVER ({W} ROWS BETWEEN CURRENT ROW AND 299 FOLLOWING) - rn AS countdown FROM n""",
 )
 def w10(spark, sf):
-    return _framed(spark, sf, 0, 300, lambda f: {"countdown": windows.countdown(f, _F)})
+    return windows.countdown_rows(laid_out(spark, sf), _F).select("event_id", "countdown")
 
 
 @query(

@@ -204,6 +204,34 @@ def test_door_is_that_of_the_whole_series_for_any_segment(spark, segment):
         assert np.allclose(p.slope.to_numpy()[1:], want, equal_nan=True) and np.isnan(p.slope.iloc[0])
 
 
+@pytest.mark.parametrize("rows", [20, 300])
+def test_countdown_from_behind(series_frame, rows):
+    ordered = order_rows(series_frame, ["series"], ["ts", "id"], chunk_rows=50)
+    frames = ordered.framed(after=rows)
+    want = frames.trim(frames.rows.withColumn("c", windows.countdown(frames, "x", 49.8, rows))).orderBy(POS).toPandas()
+    got = windows.countdown_rows(ordered, "x", 49.8, rows, "c").orderBy(POS).toPandas()
+    assert want.c.equals(got.c) and got.c.notna().any()
+
+
+def test_door_takes_one_round_on_flat_straight_and_noisy_series(spark, monkeypatch):
+    from hertzflow.operators import swinging_door as door
+
+    rng = np.random.default_rng(8)
+    n = 360
+    v = {"flat": np.full(n, 5.0), "line": 0.01 * np.arange(n), "noise": rng.normal(0, 2, n), "calm": rng.normal(0, 0.1, n)}
+    rows = [(s, i, float(x)) for s, y in v.items() for i, x in enumerate(y)]
+    df = spark.createDataFrame(rows, "series string, id long, v double").withColumn("ts", F.timestamp_seconds("id"))
+    written = []
+    keep = door.stage
+    monkeypatch.setattr(door, "stage", lambda df, label: (written.append(label), keep(df, label))[1])
+    for segment in (30, 120):
+        written.clear()
+        got = swinging_door(order_rows(df, ["series"], ["ts"], chunk_rows=50), "ts", "v", 1.0, segment).orderBy(POS).toPandas()
+        assert written.count("door-states") == 1
+        for s, y in v.items():
+            assert got[got.series == s].v.tolist() == y[door_pivots(np.arange(n, dtype=float), y, 1.0)].tolist()
+
+
 def test_ramp_rate_covers_every_row(series_frame):
     ordered = order_rows(series_frame, ["series"], ["ts", "id"], chunk_rows=50)
     for width in (None, 0.5):

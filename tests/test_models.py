@@ -124,3 +124,70 @@ def test_empty_calibration_is_an_error(noisy):
         quantile.conformal_shift(rows, "y", "q", 0.1)
     with pytest.raises(ValueError, match="no calibration rows"):
         quantile.conformal_bounds(rows, "y", ("q", "q"), (0.1, 0.9))
+
+
+def max_min(x, y):
+    """Isotonic fit by its formula: the greatest, over begins, of the least mean to any end."""
+    order = np.argsort(x)
+    y = y[order]
+    sums = np.concatenate([[0], np.cumsum(y)])
+    return np.array([max(min((sums[b] - sums[a]) / (b - a) for b in range(i + 1, len(y) + 1)) for a in range(i + 1)) for i in range(len(y))])
+
+
+@pytest.mark.parametrize("chunk,points", [(4096, 100_000), (8, 100_000), (4, 0)])
+def test_isotonic_equals_the_formula_for_any_chunk(spark, monkeypatch, tmp_path, chunk, points):
+    monkeypatch.setattr(calibrate, "CHUNK", chunk)
+    monkeypatch.setattr(calibrate, "BROADCAST_POINTS", points)
+    rng = np.random.default_rng(4)
+    x = rng.permutation(120).astype(float)
+    y = np.round(x / 60 + rng.normal(0, 0.7, 120), 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, y double").repartition(4)
+    model = calibrate.fit_isotonic(df, "a", "y")
+    model.save(spark, f"{tmp_path}/map")
+    model = calibrate.IsotonicMap.load(spark, f"{tmp_path}/map")
+    probe = spark.createDataFrame([(float(v),) for v in np.arange(-2, 122, 0.5)] + [(None,)], "a double")
+    got = {r.a: r.z for r in calibrate.apply_isotonic(model, probe, "a", "z").collect()}
+    want = max_min(x, y)
+    assert got.pop(None) is None
+    for at, z in got.items():
+        assert z == pytest.approx(np.interp(at, np.arange(120), want), abs=1e-9)
+    # A map may replace its own input, and one without rows gives null.
+    assert calibrate.apply_isotonic(model, probe, "a", "a").columns == ["a"]
+    empty = calibrate.fit_isotonic(df.where("false"), "a", "y")
+    assert calibrate.apply_isotonic(empty, probe, "a", "z").where("z IS NOT NULL").count() == 0
+
+
+def test_compiled_trees_equal_the_trees(noisy, bounds):
+    model = bounds[0]
+    rows = quantile.assemble(noisy, model.features).withColumn("p", F.lit(model.base))
+    for tree, values, rate in zip(model.trees, model.leaf_values, model.rates):
+        rows = quantile._add_tree(rows, tree, values, rate, "p")
+    both = model.transform(rows.drop("_features"), "q")
+    assert both.where("p <> q OR q IS NULL").count() == 0
+    plan = model.transform(noisy, "q")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1 and len(plan) < 20_000
+
+
+@pytest.mark.parametrize("few,buckets", [(4096, 1024), (5, 4)])
+def test_quantiles_by_counting(spark, monkeypatch, few, buckets):
+    from hertzflow.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+    rng = np.random.default_rng(9)
+    values = {"a": rng.normal(0, 1, 400), None: np.repeat(2.5, 300), "b": np.concatenate([np.repeat(7.0, 200), rng.normal(0, 1e9, 50)]), "c": np.array([1e308, -1e308, 0.0])}
+    rows = [(g, float(v)) for g, x in values.items() for v in x] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    alphas = (0.0, 0.1, 0.5, 0.93, 1.0)
+    got = {(r.g, r.alpha): r["quantile"] for r in quantiles.exact_quantiles(df, ["g"], "v", alphas).collect()}
+    assert len(got) == 20
+    for (g, a), q in got.items():
+        if g != "c" or a in (0.0, 0.5, 1.0):
+            assert q == pytest.approx(np.quantile(values[g], a), rel=1e-12, abs=1e-12)
+    every = np.concatenate(list(values.values()))
+    alone = {r.alpha: r["quantile"] for r in quantiles.exact_quantiles(df, [], "v", (0.1, 0.9)).collect()}
+    assert alone == pytest.approx({a: np.quantile(every, a) for a in (0.1, 0.9)})
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (1.0,), (2.0,)], "v double")
+    q = {r.alpha: r["quantile"] for r in quantiles.exact_quantiles(odd, [], "v", (0.0, 0.25, 0.5, 1.0)).collect()}
+    assert q[0.0] == float("-inf") and q[0.25] == 1.0 and q[0.5] == 2.0 and np.isnan(q[1.0])
+    assert quantiles.exact_quantiles(df.where("false"), [], "v", alphas).count() == 0

@@ -183,3 +183,27 @@ def test_no_worker_of_the_live_features_gets_a_whole_series(spark, tmp_path, mon
 
     monkeypatch.setattr(jobs, "row_features", whole)
     assert live.t3(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_the_stream_closes_its_own_sessions(spark, tmp_path):
+    at = [0, 10, 500, 1000, 1010]
+    rows = [("a", START + dt.timedelta(seconds=s), i, 49.0) for i, s in enumerate(at)] + [("b", START, 9, None)]
+    land(spark, f"{tmp_path}/in", [rows[:2], rows[2:]])
+    got = jobs.drain_sessions(stream(spark, f"{tmp_path}/in"), "timestamp", ["series"], "grid_frequency", path=f"{tmp_path}/s")
+    assert sorted((r.series, r.session_start, r.breach_rows) for r in got.collect()) == [
+        ("a", START, 2), ("a", START + dt.timedelta(seconds=500), 1), ("a", START + dt.timedelta(seconds=1000), 2)
+    ]
+
+
+def test_live_asof_equals_the_batch_join(spark, tmp_path):
+    from hertzflow.operators.asof import asof_join
+
+    rows = rows_of(200)
+    land(spark, f"{tmp_path}/in", [rows[i : i + 40] for i in range(0, 200, 40)])
+    # Gaps, two rows of one instant, and nothing before the first live rows.
+    slow_rows = [(START + dt.timedelta(seconds=s), k, v) for s, k, v in ((20, 1, 1.0), (21, 1, 2.0), (21, 2, 3.0), (90, 1, 4.0))]
+    slow = spark.createDataFrame(slow_rows, "at timestamp, k int, wind double")
+    got = jobs.drain_asof(stream(spark, f"{tmp_path}/in"), lambda: slow, "timestamp", "at", tie=["k"])
+    want = asof_join(spark.createDataFrame(rows, SCHEMA), slow, "timestamp", right_on="at", tie=["k"])
+    a, b = (sorted((r.event_id, r.k, r.wind) for r in d.collect()) for d in (got, want))
+    assert a == b and len(a) == 200 and {w for _, _, w in a} >= {None, 3.0, 4.0}
