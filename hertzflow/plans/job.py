@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from ..models.calibrate import IsotonicMap, fit_isotonic
 from ..models.classify import SequenceMonitor, classify, fit_instability_classifier, fit_sequence_monitor
 from ..models.quantile import QuantileBoost, conformal_bounds, fit_quantile_boost
 from ..operators.asof import asof_join
-from ..operators.layout import OrderedRows
+from ..operators.layout import POS, OrderedRows
 from ..operators.resample import asof_interpolated
 from ..settings import DEFAULTS, MODEL_FEATURES
 from ..sources import readers, sinks, validate
@@ -22,6 +22,8 @@ from ..storage import stage
 from .evaluate import evaluate, score
 from .features import build_features, decide
 
+# What a published version depends on besides its inputs; raise it when the logic changes.
+LOGIC = "1"
 WEATHER = ["temperature", "precipitation", "rain", "snowfall", "wind_speed", "wind_gusts", "solar_radiation"]
 
 
@@ -131,6 +133,8 @@ class Pipeline:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
+        """The pipeline saved in ``path``, or the one published there last."""
+        path = sinks.newest(spark, path) or path
         row = spark.read.schema(_PIPELINE).json(f"{path}/pipeline").first()
         bounds = tuple(QuantileBoost.load(spark, f"{path}/{name}") for name in ("lower", "upper"))
         maps = tuple(IsotonicMap.load(spark, f"{path}/isotonic/{i}") for i in range(row.calibrators))
@@ -188,48 +192,75 @@ def run(
     rounds: int = 20,
     depth: int = 5,
     learning_rate: float = 0.1,
+    reuse: bool = True,
 ) -> dict[str, DataFrame]:
-    """Run the job and return its tables; validation, features, decisions, models and the test slice are under ``out``."""
+    """Run the job and return its tables; features, models and results are published under ``out``.
+
+    Each of the three is a version named by all that decides it (paths, range, periods, settings
+    and ``LOGIC``). One that is there is read instead of computed, so a second run computes
+    nothing, and other periods on the same range reuse the features. ``reuse=False`` makes new
+    ones, for raw files that changed under their paths. A run that fails leaves the versions
+    before it as they were.
+    """
+    made = {"paths": dict(paths), "start": start, "end": end, "fmt": fmt, "logic": LOGIC}
+    fitted = {**made, "periods": asdict(periods), "recalibrate": recalibrate, "rounds": rounds, "depth": depth, "rate": learning_rate}
+    data = sinks.published(
+        spark, f"{out}/features", sinks.content_key(**made), lambda path: _write_features(spark, paths, path, start, end, fmt), reuse=reuse
+    )
+    table = spark.read.parquet(f"{data}/table")
+    total = (table.agg(F.max(POS)).first()[0] or 0) + 1
+    built = OrderedRows(table.drop("day"), ("series",), ("timestamp",), total)
+
+    def fit(path: str) -> None:
+        shape = {"rounds": rounds, "depth": depth, "learning_rate": learning_rate}
+        fit_pipeline(spark, built, periods, recalibrate, **shape).save(spark, path)
+
+    models = sinks.published(spark, f"{out}/models", sinks.content_key(**fitted), fit, reuse=reuse)
+    pipeline = Pipeline.load(spark, models)
+
+    def write(path: str) -> None:
+        decisions = pipeline.decisions(periods.test_rows(built.df)).drop(POS)
+        sinks.write_partitioned(decisions.repartitionByRange("day", "series", "timestamp"), f"{path}/decisions", ["day"])
+        warnings = pipeline.sequence.transform(built, "sequence_probability").select("series", "timestamp", "sequence_probability")
+        periods.test_rows(warnings).write.mode("overwrite").parquet(f"{path}/sequence")
+        sinks.write_csv_slice(built.df.drop(POS), f"{out}/test_slice", "timestamp", periods.test, periods.end)
+
+    results = sinks.published(spark, f"{out}/results", sinks.content_key(**fitted), write, reuse=reuse)
+    decisions = spark.read.parquet(f"{results}/decisions")
+    importances = zip(*(m.importances() for m in pipeline.bounds))
+    return {
+        "features": table.drop(POS),
+        "validation": spark.read.parquet(f"{data}/validation"),
+        "decisions": decisions,
+        "sequence": spark.read.parquet(f"{results}/sequence"),
+        **reports(decisions),
+        "importance": spark.createDataFrame([(f, a, b) for (f, a), (_, b) in importances], "feature string, lower_pct double, upper_pct double"),
+    }
+
+
+def _write_features(spark: SparkSession, paths: Mapping[str, str], path: str, start: str, end: str, fmt: str) -> None:
     raw, validation = sources(spark, paths, start, end, fmt=fmt)
-    validation.write.mode("overwrite").parquet(f"{out}/validation")
-    built = merge(raw)
+    validation.write.mode("overwrite").parquet(f"{path}/validation")
+    days = merge(raw).df.withColumn("day", F.to_date("timestamp"))
     # In time order, so that files hold few days each and period filters skip the others.
-    table = stage(built.df.repartitionByRange("series", "timestamp").sortWithinPartitions("series", "timestamp"), "features")
-    built = built.with_df(table)
-    days = table.drop("_pos").withColumn("day", F.to_date("timestamp"))
-    sinks.write_partitioned(days.repartitionByRange("day", "series", "timestamp"), f"{out}/features", ["day"])
+    sinks.write_partitioned(days.repartitionByRange("day", "series", "timestamp").sortWithinPartitions("series", "timestamp"), f"{path}/table", ["day"])
 
+
+def fit_pipeline(
+    spark: SparkSession, built: OrderedRows, periods: Periods, recalibrate: str = "shift", *, rounds: int = 20, depth: int = 5, learning_rate: float = 0.1
+) -> Pipeline:
+    """Bounds, their recalibration and both monitors, fitted on the training and calibration rows."""
+    table, target = built.df, "target_freq_next"
     bounds = fit_bounds(table, periods, rounds=rounds, depth=depth, learning_rate=learning_rate)
-    predict = predictor(bounds)
-    held = stage(predict(periods.calibration_rows(table)), "calibration")
-    target = "target_freq_next"
+    held = stage(predictor(bounds)(periods.calibration_rows(table)), "calibration")
+    shifts = maps = None
     if recalibrate == "isotonic":
-        fix = {"calibrators": tuple(fit_isotonic(held, q, target) for q in ("lower", "upper"))}
+        maps = tuple(fit_isotonic(held, q, target) for q in ("lower", "upper"))
     elif recalibrate == "shift":
-        fix = {"shifts": conformal_bounds(held, target, ("lower", "upper"), DEFAULTS.alphas)}
-    else:
-        fix = {}
+        shifts = conformal_bounds(held, target, ("lower", "upper"), DEFAULTS.alphas)
     monitor = fit_instability_classifier(
         periods.train_rows(table), MODEL_FEATURES, "target_is_unstable", rounds=rounds, depth=depth
     )
     in_train = F.col("timestamp") < F.to_timestamp(F.lit(periods.calibration))
     sequence = fit_sequence_monitor(built, in_train, MODEL_FEATURES, "target_is_unstable")
-    pipeline = Pipeline(bounds, monitor, sequence, fix.get("shifts"), fix.get("calibrators"))
-    pipeline.save(spark, f"{out}/models")
-    decisions = pipeline.decisions(periods.test_rows(table)).drop("_pos")
-    sinks.write_partitioned(decisions.repartitionByRange("day", "series", "timestamp"), f"{out}/decisions", ["day"])
-    decisions = spark.read.parquet(f"{out}/decisions")
-    warnings = sequence.transform(built, "sequence_probability").select("series", "timestamp", "sequence_probability")
-    periods.test_rows(warnings).write.mode("overwrite").parquet(f"{out}/sequence")
-    sinks.write_csv_slice(table.drop("_pos"), f"{out}/test_slice", "timestamp", periods.test, periods.end)
-    return {
-        "features": spark.read.parquet(f"{out}/features"),
-        "validation": spark.read.parquet(f"{out}/validation"),
-        "decisions": decisions,
-        "sequence": spark.read.parquet(f"{out}/sequence"),
-        **reports(decisions, target),
-        "importance": spark.createDataFrame(
-            [(f, a, b) for (f, a), (_, b) in zip(bounds[0].importances(), bounds[1].importances())],
-            "feature string, lower_pct double, upper_pct double",
-        ),
-    }
+    return Pipeline(bounds, monitor, sequence, shifts, maps)

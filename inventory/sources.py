@@ -156,6 +156,27 @@ def s11(spark, sf):
     return out(sinks.materialised(spark, root, "2024-01-01", "2024-01-30", "hourly-1", lambda: hourly(spark, sf)))
 
 
+@query(
+    "s11_published_version",
+    f"""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp, {r('avg(value) / 5', 'wind_speed')},
+    {r("avg(CASE WHEN event_type = 'view' THEN value END)", 'solar_radiation')} FROM events GROUP BY 1""",
+)
+def s11_published(spark, sf):
+    """The version that readers find after a second one has failed halfway."""
+    root = work_path(spark, "published")
+    sinks.published(spark, root, "hourly-1", lambda path: hourly(spark, sf).write.parquet(f"{path}/hourly"))
+
+    def fails(path):
+        hourly(spark, sf).limit(1).write.parquet(f"{path}/hourly")
+        raise InterruptedError("halfway")
+
+    try:
+        sinks.published(spark, root, "hourly-2", fails)
+    except InterruptedError:
+        pass
+    return out(spark.read.parquet(f"{sinks.newest(spark, root)}/hourly"))
+
+
 @query(
     "s12_csv_slice",
     "SELECT event_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-10'",

@@ -69,3 +69,29 @@ def test_run(spark, raw, tmp_path, recalibrate):
     assert earlier["metrics"].first().rows == 3600
     sliced = spark.read.option("header", True).csv(str(tmp_path / "out" / "test_slice"))
     assert sliced.count() == 45 * 60 - 10
+
+
+def test_a_second_run_computes_nothing_and_a_failed_one_changes_nothing(spark, raw, tmp_path, monkeypatch):
+    from hertzflow.plans import job
+
+    periods = Periods("2019-08-09 01:30:00", "2019-08-09 02:15:00", "2019-08-09 03:00:00")
+    args = (spark, raw, str(tmp_path / "out"), "2019-08-09", "2019-08-10")
+    first = run(*args, periods, rounds=2, depth=3)
+
+    def refuse(*_, **__):
+        raise AssertionError("computed again")
+
+    with monkeypatch.context() as m:
+        for name in ("sources", "merge", "fit_bounds", "fit_sequence_monitor", "fit_instability_classifier", "conformal_bounds"):
+            m.setattr(job, name, refuse)
+        second = run(*args, periods, rounds=2, depth=3)
+        for name in ("decisions", "features", "sequence"):
+            assert second[name].inputFiles() == first[name].inputFiles()
+        assert second["metrics"].collect() == first["metrics"].collect()
+        # Another recalibration reuses the features, fails at its models, and leaves the others.
+        with pytest.raises(AssertionError, match="computed again"):
+            run(*args, periods, recalibrate="none", rounds=2, depth=3)
+        third = run(*args, periods, rounds=2, depth=3)
+        assert third["decisions"].inputFiles() == first["decisions"].inputFiles()
+        with pytest.raises(AssertionError, match="computed again"):
+            run(*args, periods, rounds=2, depth=3, reuse=False)
