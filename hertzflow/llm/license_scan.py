@@ -9,10 +9,11 @@ list marker are left out, a marker in front of a sentence is passed over, and on
 of unknown sentences may lie between two sentences of a rule. Where sentences are
 missing or changed, ``PARTIAL`` takes what is left.
 
-Known are MIT, BSD with 2, 3 and 4 clauses, Apache 1.1 and 2.0, GPL 2 and 3, MPL 2.0, ISC,
-Unlicense and Creative Commons BY, BY-SA and BY-NC 4.0, by their grants or notices. A text
-under another license (LGPL, EPL, Boost, zlib, ...) has no result. BSD conditions that
-leave the number of clauses open count as BSD.
+Known by their grants or notices are MIT, BSD with 2, 3 and 4 clauses and 0BSD, Apache 1.1 and
+2.0, GPL 2 and 3, LGPL 2.1 and 3, AGPL 3, MPL 2.0, EPL 1.0 and 2.0, Boost, zlib, ISC, Artistic
+2.0, WTFPL, Unlicense, CC0 and Creative Commons BY, BY-SA and BY-NC 4.0, and by their tags
+those of ``TAGS``. A text under another license has no result. BSD conditions that leave the
+number of clauses open count as BSD.
 
 Texts are cut twice, since licenses come wrapped over lines as well as in single lines
 amid other text: once at line ends and once at paragraph ends. A license counts as
@@ -108,17 +109,69 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-4.0", ["cc-by-short"]),
 ]
-# Not in the SQL form, which stays as it was.
+# More wordings. They count for the rules alone, not in the sequence of the
+# sentences as they stand.
 MORE_SENTENCES = {
     "bsd-advert": "All advertising materials mentioning features or use of this software must display the following "
     "acknowledgement",
     "apache11-notice": "The end-user documentation included with the redistribution, if any, must include the following "
     "acknowledgment",
+    "lgpl-free": "This library is free software",
+    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation",
+    "lgpl21-version": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+    "software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+    "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+    "third-parties to whom the Software is furnished to do so, all subject to the following",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial "
+    "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+    "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+    "License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "cc0-waiver": "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+    "neighboring rights to this software to the public domain worldwide",
+    "artistic2-notice": "This is free software, licensed under: The Artistic License 2.0 (GPL Compatible)",
+    "wtfpl-copy": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and "
+    "changing it is allowed as long as the name is changed",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+    "is hereby granted",
 }
+# License identifiers that stand behind "SPDX-License-Identifier:".
+TAGS = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0",
+    "Unlicense", "WTFPL", "Zlib",
+]
+MORE_SENTENCES |= {f"spdx-{tag.lower()}": f"SPDX-License-Identifier: {tag}" for tag in TAGS}
 BEFORE = [
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names"]),
     ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert"]),
     ("Apache-1.1", ["bsd-grant", "bsd-source", "bsd-binary", "apache11-notice"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl21-terms", "lgpl21-version"]),
+    ("LGPL-2.1-or-later", ["gpl-free", "lgpl21-terms", "lgpl21-version"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-terms"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl3-terms"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl3-terms"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("EPL-1.0", ["epl1-notice"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("Artistic-2.0", ["artistic2-notice"]),
+    ("WTFPL", ["wtfpl-copy"]),
+    ("0BSD", ["0bsd-grant"]),
+    *((tag, [f"spdx-{tag.lower()}"]) for tag in TAGS),
 ]
 PARTIAL = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-names"]),
@@ -135,6 +188,9 @@ PARTIAL = [
     ("MIT", ["mit-grant"]),
     ("GPL-3.0-or-later", ["gpl3-terms"]),
     ("GPL-2.0-or-later", ["gpl2-terms", "gpl2-version"]),
+    ("LGPL-2.1-or-later", ["lgpl21-terms", "lgpl21-version"]),
+    ("LGPL-3.0-or-later", ["lgpl3-terms"]),
+    ("AGPL-3.0-or-later", ["agpl3-terms"]),
 ]
 SIGNS = r"licens|permission|redistribut|copyright|warrant|free software|public domain|apply|mpl"
 LINES = r"[.!?;:]+(?:[ \t\r\n]+|$)|[\r\n]+"
@@ -160,14 +216,6 @@ def _known(cut: str, sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return out
 
 
-def _rule_patterns(cut: str) -> list[tuple[str, str]]:
-    known = _known(cut)
-    marks = lambda name: "".join(
-        f"<{known[p]}>" for p in map(normalised, re.split(cut, SENTENCES[name])) if p
-    )
-    return [(license, "".join(map(marks, names))) for license, names in RULES]
-
-
 def _expressions(cut: str) -> list[tuple[str, str]]:
     """All rules as regular expressions that pass over one run of unknown sentences."""
     every = SENTENCES | MORE_SENTENCES
@@ -257,35 +305,42 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def scan_sql(docs: str = "documents") -> str:
-    """The form of the first round in SQL, with flat result columns: exact rules only."""
+    """The scan in SQL, with flat result columns."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
+    def looked_up(known: dict[str, str], s: str) -> str:
+        return f"map([{', '.join(map(quoted, known))}], [{', '.join(map(quoted, known.values()))}])[{s}]"
+
     def marks(cut: str) -> str:
-        known = _known(cut)
-        ids = f"map([{', '.join(map(quoted, known))}], [{', '.join(map(quoted, known.values()))}])"
+        every = _known(cut, SENTENCES | MORE_SENTENCES)
+        names = "neither the name of the copyright holder nor the names of its contributors "
+        bare = f"regexp_replace(regexp_replace(s, '^{MARKER} ', ''), {quoted(NAMES)}, {quoted(names)})"
         plain = f"list_transform(regexp_split_to_array(low, {quoted(cut)}), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
-        named = f"list_transform(list_filter({plain}, lambda s: s <> ''), lambda s: coalesce('<' || {ids}[s] || '>', '{UNKNOWN}'))"
-        return f"CASE WHEN regexp_matches(low, {quoted(SIGNS)}) THEN regexp_replace(array_to_string({named}, ''), '{UNKNOWN}+', '{UNKNOWN}', 'g') ELSE '' END"
+        named = f"""list_transform(list_filter({plain}, lambda s: s <> ''), lambda s: coalesce(
+          '<' || {looked_up(_known(cut), 's')} || '>',
+          CASE WHEN length(s) <= {max(map(len, every)) + 400} THEN '{{' || {looked_up(every, bare)} || '}}' END,
+          CASE WHEN length(s) <= 16 AND regexp_full_match(s, {quoted(MARKER)}) THEN '^' END, '{UNKNOWN}'))"""
+        return f"CASE WHEN regexp_matches(low, {quoted(SIGNS)}) THEN array_to_string({named}, '') ELSE '' END"
 
     steps, counts = [], {}
-    for column, cut in (("by_line", LINES), ("by_paragraph", PARAGRAPHS)):
-        for k, (license, pattern) in enumerate(_rule_patterns(cut)):
-            old, new = (column if k == 0 else f"{column}_{k}"), f"{column}_{k + 1}"
-            steps.append(f"replace({old}, {quoted(pattern)}, '|') AS {new}")
-            counts.setdefault(license, {}).setdefault(column, []).append(
-                f"(length({old}) - length({new})) / {len(pattern) - 1}"
-            )
+    for column, cut in (("line", LINES), ("paragraph", PARAGRAPHS)):
+        steps.append(f"regexp_replace(translate({column}_marks, '{{}}^', '<>'), '{UNKNOWN}+', '{UNKNOWN}', 'g') AS {column}_0")
+        for k, (license, pattern) in enumerate(_expressions(cut)):
+            steps.append(f"len(regexp_extract_all({column}_{k}, {quoted(pattern)})) AS {column}_n{k}")
+            steps.append(f"regexp_replace({column}_{k}, {quoted(pattern)}, '|', 'g') AS {column}_{k + 1}")
+            counts.setdefault(license, {}).setdefault(column, []).append(f"{column}_n{k}")
     found = ", ".join(
-        f"{{'license': {quoted(x)}, 'times': CAST(greatest({' + '.join(counts[x]['by_line'])}, {' + '.join(counts[x]['by_paragraph'])}) AS BIGINT)}}"
+        f"{{'license': {quoted(x)}, 'times': CAST(greatest({' + '.join(counts[x]['line'])}, {' + '.join(counts[x]['paragraph'])}) AS BIGINT)}}"
         for x in sorted(counts)
     )
+    stands = f"regexp_replace(regexp_replace(line_marks, '\\{{[^}}]*\\}}', '{UNKNOWN}', 'g'), '[~^]+', '{UNKNOWN}', 'g')"
     return f"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS low FROM {docs}),
-marked AS (SELECT doc_id, {marks(LINES)} AS by_line, {marks(PARAGRAPHS)} AS by_paragraph FROM low),
-taken AS (SELECT *, {', '.join(steps)} FROM marked),
-found AS (SELECT doc_id, by_line, list_filter([{found}], lambda x: x.times > 0) AS licenses FROM taken)
+marked AS MATERIALIZED (SELECT doc_id, {marks(LINES)} AS line_marks, {marks(PARAGRAPHS)} AS paragraph_marks FROM low),
+taken AS (SELECT doc_id, line_marks, {', '.join(steps)} FROM marked),
+found AS (SELECT doc_id, {stands} AS by_line, list_filter([{found}], lambda x: x.times > 0) AS licenses FROM taken)
 SELECT doc_id, CAST(len(licenses) AS BIGINT) AS n_licenses,
        array_to_string(list_transform(licenses, lambda x: x.license || ':' || x.times), ',') AS licenses,
        sha256(by_line) AS sequence_sha256

@@ -118,3 +118,50 @@ def test_reported_sequence_has_markers_as_unknown(spark):
 def test_very_many_sentences(spark):
     text = "One. 2. Three. " * 50_000 + "1 2 " * 100_000 + ".\n1. Released under the MIT License.\n"
     assert found(spark, text) == [[("MIT", 1)]]
+
+
+def notices():
+    s = L.SENTENCES | L.MORE_SENTENCES
+    return {
+        f"{s['lgpl-free']}; {s['lgpl21-terms']}; {s['lgpl21-version']}.": "LGPL-2.1-or-later",
+        f"{s['lgpl-free']}: {s['lgpl3-terms']}.": "LGPL-3.0-or-later",
+        f" * {s['gpl-free']}: {s['agpl3-terms']}.\n": "AGPL-3.0-or-later",
+        f"{s['gpl-free']}; {s['gpl2-terms']}; {s['gpl2-version']}.": "GPL-2.0-or-later",
+        f"Boost Software License\n\n{s['boost-grant']}:\n": "BSL-1.0",
+        f"// {s['boost-notice']}. (See accompanying file LICENSE_1_0.txt)": "BSL-1.0",
+        f"{s['zlib-as-is']}. In no event will the authors be liable.\n\n{s['zlib-grant']}:\n1. The origin.": "Zlib",
+        f"{s['epl2-notice']}\n": "EPL-2.0",
+        f"All rights reserved. {s['epl1-notice']}\n": "EPL-1.0",
+        f"{s['cc0-waiver']}. ": "CC0-1.0",
+        f"{s['artistic2-notice']}\n": "Artistic-2.0",
+        f"{s['wtfpl-copy']}.\n\n0. You just do.": "WTFPL",
+        f"{s['0bsd-grant']}.\n": "0BSD",
+        **{f"x\n# SPDX-License-Identifier: {tag}\ny": tag for tag in L.TAGS},
+    }
+
+
+def test_more_licenses(spark):
+    texts = notices()
+    assert found(spark, *texts) == [[(name, 1)] for name in texts.values()]
+    for wording in L.MORE_SENTENCES.values():
+        assert re.search(L.SIGNS, wording.lower()) or wording in (L.MORE_SENTENCES["bsd-advert"], L.MORE_SENTENCES["apache11-notice"])
+
+
+def test_sql_has_the_present_rules(spark):
+    """Numbered, partial and changed texts have the same result in SQL."""
+    import duckdb
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    grant, keep, as_is = (L.SENTENCES[x] for x in ("mit-grant", "mit-keep", "mit-as-is"))
+    texts = [BSD_3, re.sub(r"(?m)^(\d)\. ", r"(\1) ", BSD_3), BSD_3.replace("the copyright holder nor", "Some Inc nor"), None, ""]
+    texts += [f"{grant}. Other. {as_is}.", f"{keep}. {as_is}.", "1. Released under the MIT License. 2) Released under the MIT License", *notices()]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = con.execute(L.scan_sql()).df().sort_values("doc_id", ignore_index=True)
+    rows = L.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    each = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["times"].cast("string")))
+    got = rows.select("doc_id", F.array_join(each, ",").alias("licenses"), F.sha2(F.col("by_line").cast("binary"), 256).alias("sha")).orderBy("doc_id").toPandas()
+    assert got["licenses"].tolist() == want["licenses"].tolist() and got["sha"].tolist() == want["sequence_sha256"].tolist()
+    assert (got["licenses"] != "").sum() >= len(texts) - 2
