@@ -129,7 +129,6 @@ MORE_SENTENCES = {
     "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
     "third-parties to whom the Software is furnished to do so, all subject to the following",
     "boost-notice": "Distributed under the Boost Software License, Version 1.0",
-    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
     "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial "
     "applications, and to alter it and redistribute it freely, subject to the following restrictions",
     "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
@@ -161,18 +160,20 @@ BEFORE = [
     ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-terms"]),
     ("LGPL-3.0-or-later", ["gpl-free", "lgpl3-terms"]),
     ("AGPL-3.0-or-later", ["gpl-free", "agpl3-terms"]),
-    ("BSL-1.0", ["boost-grant"]),
-    ("BSL-1.0", ["boost-notice"]),
-    ("Zlib", ["zlib-as-is", "zlib-grant"]),
-    ("Zlib", ["zlib-grant"]),
-    ("EPL-2.0", ["epl2-notice"]),
-    ("EPL-1.0", ["epl1-notice"]),
-    ("CC0-1.0", ["cc0-waiver"]),
-    ("Artistic-2.0", ["artistic2-notice"]),
-    ("WTFPL", ["wtfpl-copy"]),
-    ("0BSD", ["0bsd-grant"]),
-    *((tag, [f"spdx-{tag.lower()}"]) for tag in TAGS),
 ]
+# Sentences that name a license by themselves and are in no other rule: one expression finds
+# all of them, so that more of them cost no longer plan.
+ALONE = {
+    "boost-grant": "BSL-1.0",
+    "boost-notice": "BSL-1.0",
+    "zlib-grant": "Zlib",
+    "epl2-notice": "EPL-2.0",
+    "epl1-notice": "EPL-1.0",
+    "cc0-waiver": "CC0-1.0",
+    "artistic2-notice": "Artistic-2.0",
+    "wtfpl-copy": "WTFPL",
+    "0bsd-grant": "0BSD",
+} | {f"spdx-{tag.lower()}": tag for tag in TAGS}
 PARTIAL = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-names"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-binary", "bsd-names"]),
@@ -226,6 +227,19 @@ def _expressions(cut: str) -> list[tuple[str, str]]:
     return [(license, f"{UNKNOWN}?".join(map(marks, names))) for license, names in BEFORE + RULES + PARTIAL]
 
 
+def _alone(cut: str) -> dict[str, str]:
+    """The marks of each sentence that names a license by itself, with that license."""
+    known = _known(cut, SENTENCES | MORE_SENTENCES)
+    marks = lambda name: "".join(
+        f"<{known[p]}>" for p in map(normalised, re.split(cut, MORE_SENTENCES[name])) if p
+    )
+    return {marks(name): license for name, license in ALONE.items()}
+
+
+def _any_of(marks: dict[str, str]) -> str:
+    return "|".join(map(re.escape, sorted(marks, key=len, reverse=True)))
+
+
 def _marks(text: Column, cut: str) -> Column:
     """The identifiers of the sentences, as ``<a>{b}~^<c>``: known as they stand, known but
     for a list marker or names, unknown, a list marker."""
@@ -267,13 +281,17 @@ def sequence(text: Column, cut: str) -> Column:
     return _as_they_stand(_marks(text, cut))
 
 
-def _counts(marks: Column, cut: str) -> dict[str, Column]:
+def _counts(marks: Column, cut: str) -> tuple[Column, Column]:
+    """How often each license of the rules was found, as a map, and the licenses of sentences alone, repeated."""
+    alone = _alone(cut)
+    names = F.create_map(*(F.lit(x) for pair in alone.items() for x in pair))
+    single = F.transform(F.regexp_extract_all(marks, F.lit(f"({_any_of(alone)})"), 1), lambda m: F.element_at(names, m))
     counts: dict[str, Column] = {}
     for license, pattern in _expressions(cut):
         taken = F.regexp_count(marks, F.lit(pattern))
         counts[license] = counts[license] + taken if license in counts else taken
         marks = F.regexp_replace(marks, pattern, "|")
-    return counts
+    return F.create_map(*(x for name, n in counts.items() for x in (F.lit(name), n))), single
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,17 +309,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         _for_rules(F.col("_line")).alias("_line"),
         _for_rules(F.col("_paragraph")).alias("_paragraph"),
     )
-    line, paragraph = _counts(F.col("_line"), LINES), _counts(F.col("_paragraph"), PARAGRAPHS)
-    found = F.array(
-        *(
-            F.struct(F.lit(name).alias("license"), F.greatest(line[name], paragraph[name]).cast("bigint").alias("times"))
-            for name in sorted(line)
-        )
+    columns = {}
+    for side, cut in (("line", LINES), ("paragraph", PARAGRAPHS)):
+        columns[f"_{side}_rules"], columns[f"_{side}_alone"] = _counts(F.col(f"_{side}"), cut)
+    counted = marked.withColumns(columns)
+
+    def times(side: str, license: Column) -> Column:
+        by_rule = F.coalesce(F.try_element_at(F.col(f"_{side}_rules"), license), F.lit(0))
+        return by_rule + F.size(F.filter(f"_{side}_alone", lambda x: x == license))
+
+    rules = sorted({license for license, _ in _expressions(LINES)})
+    every = F.array_distinct(F.concat(F.array(*map(F.lit, rules)), "_line_alone", "_paragraph_alone"))
+    found = F.transform(
+        F.array_sort(every),
+        lambda x: F.struct(x.alias("license"), F.greatest(times("line", x), times("paragraph", x)).cast("bigint").alias("times")),
     )
     found = F.filter(found, lambda x: x["times"] > 0)
     nothing = (~F.contains("_line", F.lit("<"))) & (~F.contains("_paragraph", F.lit("<")))
     none = F.array().cast("array<struct<license: string, times: bigint>>")
-    return marked.withColumn("licenses", F.when(nothing, none).otherwise(found)).drop("_line", "_paragraph")
+    return counted.select("doc_id", "by_line", "by_paragraph", F.when(nothing, none).otherwise(found).alias("licenses"))
 
 
 def scan_sql(docs: str = "documents") -> str:
@@ -331,6 +357,10 @@ def scan_sql(docs: str = "documents") -> str:
             steps.append(f"len(regexp_extract_all({column}_{k}, {quoted(pattern)})) AS {column}_n{k}")
             steps.append(f"regexp_replace({column}_{k}, {quoted(pattern)}, '|', 'g') AS {column}_{k + 1}")
             counts.setdefault(license, {}).setdefault(column, []).append(f"{column}_n{k}")
+        steps.append(f"regexp_extract_all({column}_0, {quoted(_any_of(_alone(cut)))}) AS {column}_alone")
+        for marks_, license in _alone(cut).items():
+            held = f"len(list_filter({column}_alone, lambda x: x = {quoted(marks_)}))"
+            counts.setdefault(license, {}).setdefault(column, []).append(held)
     found = ", ".join(
         f"{{'license': {quoted(x)}, 'times': CAST(greatest({' + '.join(counts[x]['line'])}, {' + '.join(counts[x]['paragraph'])}) AS BIGINT)}}"
         for x in sorted(counts)

@@ -129,7 +129,7 @@ def notices():
         f"{s['gpl-free']}; {s['gpl2-terms']}; {s['gpl2-version']}.": "GPL-2.0-or-later",
         f"Boost Software License\n\n{s['boost-grant']}:\n": "BSL-1.0",
         f"// {s['boost-notice']}. (See accompanying file LICENSE_1_0.txt)": "BSL-1.0",
-        f"{s['zlib-as-is']}. In no event will the authors be liable.\n\n{s['zlib-grant']}:\n1. The origin.": "Zlib",
+        f"This software is provided 'as-is', without any express or implied warranty. In no event will the authors be liable.\n\n{s['zlib-grant']}:\n1. The origin.": "Zlib",
         f"{s['epl2-notice']}\n": "EPL-2.0",
         f"All rights reserved. {s['epl1-notice']}\n": "EPL-1.0",
         f"{s['cc0-waiver']}. ": "CC0-1.0",
