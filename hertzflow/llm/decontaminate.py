@@ -13,9 +13,9 @@ they are at most ``BROADCAST_ROWS``; else places are found by a shuffle of keys
 looked up in the documents that have any. Frequent shingles never
 lead a window that has a rarer one, and joins on the rest can be split by AQE.
 
-Null and empty texts have no words, and items without words have no windows. A row is known
-by its id and a hash of its text, so rows of a repeated or null doc_id have their own hits,
-and equal rows equal ones. Other columns of the inputs are not looked at, so their names
+Null and empty texts have no words, and items without words have no windows. Where ids are
+null or repeat, rows are numbered first (``rows.own_rows``), so rows of one doc_id have their
+own hits, and rows equal in id and text equal ones. Other columns of the inputs are not looked at, so their names
 cannot clash.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
-from .rows import row_key, text_key
+from .rows import ROW, own_rows, text_key
 
 # The words of the contract, lower-cased, and the same in raw text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,10 +61,10 @@ def occurrences(
 ) -> tuple[DataFrame, DataFrame]:
     """Where windows occur: (row, start, size, win), and which items hold them: (item_id, win).
 
-    ``row`` is the document's ``row_key``; ``start`` counts words from 0; ``win`` is a hash of
-    the window's words. Rows are distinct unless documents repeat in id and text.
+    ``row`` is the document's number of ``own_rows``; ``start`` counts words from 0; ``win`` is a
+    hash of the window's words. Rows are distinct unless documents repeat in id and text.
     """
-    spark = docs.sparkSession
+    docs = docs if ROW in docs.columns else own_rows(docs, doc_id, text)
     texts = item_windows(items, item_id, text, window).withColumn("plain", F.array_join("words", " "))
     texts = stage(texts.withColumn("win", F.xxhash64("plain")), "windows")
     owners = texts.select("item_id", "win")
@@ -78,7 +78,7 @@ def occurrences(
     # At most SHINGLE rows.
     widths = sorted(r.width for r in tokens.select("width").distinct().collect())
 
-    doc_words = docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), words_of(F.col(text)).alias("_all"))
+    doc_words = docs.select(F.col(ROW).alias("row"), words_of(F.col(text)).alias("_all"))
     each = doc_words.select("row", "_all", F.size("_all").alias("n"), F.posexplode("_all").alias("pos", "_word"))
     few = tokens.count() <= BROADCAST_ROWS
     found = []
@@ -107,7 +107,7 @@ def occurrences(
         found.append(lean.join(needles.select("token"), "token", "left_semi").select("row", "pos", "n", "token", "left", "near"))
     if not found:
         nothing = (F.lit(0).cast("int").alias("start"), F.lit(0).cast("int").alias("size"), F.lit(0).cast("bigint").alias("win"))
-        return docs.select(row_key(F.col(doc_id), F.col(text)).alias("row"), *nothing).where("false"), owners
+        return docs.select(F.col(ROW).alias("row"), *nothing).where("false"), owners
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
@@ -137,6 +137,7 @@ def contamination(
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside an occurrence), items (sorted ids as
     strings), contaminated; ``with_key`` adds text_key, which tells rows of one id apart."""
+    docs = own_rows(docs.select(doc_id, text), doc_id, text)
     held, owners = occurrences(docs, items, doc_id, item_id, text, window)
     held = stage(held, "occurrences")
     # Overlapping occurrences count their words once.
@@ -149,8 +150,8 @@ def contamination(
     named = by_item.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     sizes = docs.select(
         F.col(doc_id).alias("doc_id"),
-        row_key(F.col(doc_id), F.col(text)).alias("row"),
-        text_key(F.col(text)).alias("text_key"),
+        F.col(ROW).alias("row"),
+        *([text_key(F.col(text)).alias("text_key")] if with_key else []),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("n_words"),
     )
     joined = sizes.join(hit.join(named, "row", "left"), "row", "left")

@@ -1,8 +1,8 @@
 """Rows told apart without trusting the user's ids, which may be null, repeated or beyond 2^53.
 
-Ids never pass through pandas, where a null turns a batch's integers into floats. Operators
-that look texts up again know a row by its id and a hash of its text; rows equal in both
-are interchangeable. Where documents need an order, ``own_rows`` numbers them.
+Ids never pass through pandas, where a null turns a batch's integers into floats. A row is
+known by its id and a hash of its text; rows equal in both are interchangeable. Where
+documents need a key or an order of their own, ``own_rows`` numbers them.
 """
 
 from __future__ import annotations
@@ -19,11 +19,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A string that rows of one id and text share, and no others but by a 64-bit collision within an id."""
-    return F.concat(F.hex(text_key(text)), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-
-
 def own_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Add ``ROW``: a number without nulls, in the order of the ids, of each document's own.
 
