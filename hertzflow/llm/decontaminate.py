@@ -3,15 +3,16 @@
 A window is ``window`` consecutive words of a benchmark item, or the whole item where it
 is shorter. Its tokens are shingles of up to three words. An occurrence holds all of its
 window's shingles, so one necessary token is enough as prefix: the one that the documents
-hold most rarely. Occurrences of that token are joined to the windows led by it, kept
-where the window fits between the ends of the document (length and position), and
-verified word by word on the document's words around the token.
+hold most rarely. A first scan counts the benchmark's shingles in all documents, summed
+before anything is shuffled, and a window without a shingle there is dropped. A second scan
+joins the words to the prefix tokens alone, keeps places where the window fits between the
+ends of the document (length and position), and compares word by word on the spot. Only
+occurrences leave it, with one row per document for its number of words.
 
-Documents are read once for the tokens; only occurrences of benchmark shingles leave
-that scan, with the few words around them. The benchmark's shingles are broadcast if
-they are at most ``BROADCAST_ROWS``; else places are found by a shuffle of keys and
-looked up in the documents that have any. Frequent shingles never
-lead a window that has a rarer one, and joins on the rest can be split by AQE.
+Tables of shingles and prefixes are broadcast if they have at most ``BROADCAST_ROWS`` rows and
+``BROADCAST_BYTES`` of text; else places are found by a shuffle of keys and looked up in the
+documents that have any. A frequent shingle leads a window only where all of its shingles
+are as frequent, and such places are compared in the scan that finds them.
 
 Null and empty texts have no words, and items without words have no windows. Where ids are
 null or repeat, rows are numbered first (``rows.own_rows``), so rows of one doc_id have their
@@ -29,19 +30,22 @@ from pyspark.sql import functions as F
 from ..storage import stage
 from .rows import ROW, own_rows, text_key
 
-# The words of the contract, lower-cased, and the same in raw text.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed value: what the contract takes for no word, in lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BROADCAST_BYTES = 64 << 20
 SHINGLE = 3
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z in lower case and nothing else; ``lower`` does just that where all is ASCII."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    """Splitting is several times cheaper than matching, which copies the text at each match."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -52,78 +56,91 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
     return each.select("item_id", F.slice("_all", F.col("_start"), window).alias("words")).distinct()
 
 
-def _shingle(words: Column, start: Column, size: Column) -> Column:
-    return F.array_join(F.slice(words, start, size), " ")
+def _keys(pos: Column, words: str, sizes: list[int]) -> Column:
+    """Hashes of the shingles that begin at a word, one of each size; null beyond the last word."""
+    parts = [F.get(words, pos + i) for i in range(max(sizes))]
+    return F.array(*(F.when(pos + k <= F.size(words), F.xxhash64(*parts[:k])) for k in sizes))
+
+
+def _small(table: DataFrame, text: str | None = None) -> bool:
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    n, taken = table.agg(F.count("*"), size).first()
+    return n <= BROADCAST_ROWS and taken <= BROADCAST_BYTES
+
+
+def _places(words: DataFrame, sizes: list[int], ends: bool = False) -> DataFrame:
+    """One row (.., pos, _key) per shingle; ``ends`` adds one per document, with a null key, where pos is its size."""
+    # The words stay a column of the document's row and are not copied to its places.
+    last = F.size("_all") if ends else F.greatest(F.size("_all") - 1, F.lit(0))
+    each = words.select("*", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    keys = _keys(F.col("pos"), "_all", sizes)
+    if len(sizes) == 1:
+        return each.withColumn("_key", F.get(keys, 0))
+    nothing = F.array(F.lit(None).cast("bigint"))
+    return each.withColumn("_key", F.explode(F.when(F.col("pos") < F.size("_all"), keys).otherwise(nothing)))
 
 
 def occurrences(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10
 ) -> tuple[DataFrame, DataFrame]:
-    """Where windows occur: (row, start, size, win), and which items hold them: (item_id, win).
+    """Where windows occur, and which items hold them: (item_id, win).
 
-    ``row`` is the document's number of ``own_rows``; ``start`` counts words from 0; ``win`` is a
-    hash of the window's words. Rows are distinct unless documents repeat in id and text.
+    The first has (row, start, size, win) per occurrence and, with null in ``win``, one row
+    per document with its number of words as ``size``. ``row`` is the document's number of
+    ``own_rows``; ``start`` counts words from 0; ``win`` is a hash of the window's words.
+    Rows are distinct unless documents repeat in id and text.
     """
     docs = docs if ROW in docs.columns else own_rows(docs, doc_id, text)
     texts = item_windows(items, item_id, text, window).withColumn("plain", F.array_join("words", " "))
     texts = stage(texts.withColumn("win", F.xxhash64("plain")), "windows")
     owners = texts.select("item_id", "win")
-    wins = texts.select("win", "plain", "words", F.size("words").alias("size")).distinct()
-    width = F.least(F.lit(SHINGLE), F.size("words"))
-    placed = wins.withColumn("width", width).withColumn("offset", F.explode(F.expr("sequence(0, size - width)")))
-    placed = stage(
-        placed.withColumn("token", _shingle(F.col("words"), F.col("offset") + 1, F.col("width"))), "window-tokens"
-    )
-    tokens = placed.select("width", "token").distinct()
+    wins = texts.select("win", "plain", "words").distinct().withColumn("size", F.size("words"))
+    wins = wins.withColumn("width", F.least(F.lit(SHINGLE), F.col("size")))
+    placed = wins.withColumn("offset", F.explode(F.expr("sequence(0, size - width)")))
+    key = F.xxhash64(F.slice("words", F.col("offset") + 1, F.col("width")))
+    placed = stage(placed.select("win", "plain", "size", "width", "offset", key.alias("_key")), "window-tokens")
     # At most SHINGLE rows.
-    widths = sorted(r.width for r in tokens.select("width").distinct().collect())
-
-    doc_words = docs.select(F.col(ROW).alias("row"), words_of(F.col(text)).alias("_all"))
-    each = doc_words.select("row", "_all", F.size("_all").alias("n"), F.posexplode("_all").alias("pos", "_word"))
-    few = tokens.count() <= BROADCAST_ROWS
-    found = []
-    for k in widths:
-        parts = [F.get("_all", F.col("pos") + i) for i in range(k)]
-        # The token itself only, hashed on both sides, so that the join key is one long.
-        needles = tokens.where(F.col("width") == k).select(
-            "token", F.xxhash64(*(F.element_at(F.split("token", " "), i + 1) for i in range(k))).alias("_key")
-        )
-        rows = each.where(F.col("pos") + k <= F.col("n")).withColumn("_key", F.xxhash64("_word", *parts[1:]))
-        left = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        near = F.array_join(F.slice("_all", left + 1, 2 * window), " ").alias("near")
-        if few:
-            held = rows.join(F.broadcast(needles), "_key").where(F.concat_ws(" ", *parts) == F.col("token"))
-            found.append(held.select("row", "pos", "n", "token", left.alias("left"), near))
-            continue
-        # Rows of a shuffle must not carry the words of their document: places are found
-        # by key alone and then looked up in the documents that have any.
-        places = rows.select("row", "pos", "_key").join(needles.select("_key"), "_key", "left_semi")
-        places = places.groupBy("row").agg(F.collect_set("pos").alias("_places"))
-        again = doc_words.join(places, "row").select(
-            "row", "_all", F.size("_all").alias("n"), F.explode("_places").alias("pos")
-        )
-        again = again.where(F.col("pos") + k <= F.col("n"))
-        lean = again.select("row", "pos", "n", F.concat_ws(" ", *parts).alias("token"), left.alias("left"), near)
-        found.append(lean.join(needles.select("token"), "token", "left_semi").select("row", "pos", "n", "token", "left", "near"))
-    if not found:
-        nothing = (F.lit(0).cast("int").alias("start"), F.lit(0).cast("int").alias("size"), F.lit(0).cast("bigint").alias("win"))
-        return docs.select(F.col(ROW).alias("row"), *nothing).where("false"), owners
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    hits = stage(hits, "token-hits")
-
-    counts = hits.groupBy("token").count()
-    ranked = placed.join(counts, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    prefix = ranked.groupBy("win", "plain", "size").agg(F.min(F.struct("count", "token", "offset")).alias("lead"))
-    prefix = prefix.where("lead.count > 0").select("win", "plain", "size", "lead.token", "lead.offset")
-    held = (
-        hits.join(stage(prefix, "window-prefixes"), "token")
-        .withColumn("start", F.col("pos") - F.col("offset"))
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
-    )
-    inside = F.slice(F.split("near", " "), F.col("start") - F.col("left") + 1, F.col("size"))
-    return held.where(F.array_join(inside, " ") == F.col("plain")).select("row", "start", "size", "win"), owners
+    sizes = sorted(r.width for r in placed.select("width").distinct().collect())
+
+    words = docs.select(F.col(ROW).alias("row"), words_of(F.col(text)).alias("_all"))
+    ends = [F.lit(None).cast("int").alias("start"), F.size("_all").alias("size"), F.lit(None).cast("bigint").alias("win")]
+    if not sizes:
+        return words.select("row", *ends), owners
+
+    tokens = placed.select("_key").distinct()
+    found = _places(words, sizes).select("_key")
+    if _small(tokens):
+        counts = found.join(F.broadcast(tokens), "_key").groupBy("_key").count()
+    else:
+        counts = found.groupBy("_key").count().join(tokens, "_key", "left_semi")
+    # A shingle that no document holds rules its window out, so the least count of the rest may lead.
+    ranked = placed.join(counts, "_key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    leads = ranked.groupBy("win", "plain", "size").agg(F.min(F.struct("count", "_key", "offset")).alias("lead"))
+    leads = leads.where("lead.count > 0").select("win", "plain", "size", "lead._key", "lead.offset")
+    leads = stage(leads, "window-prefixes")
+
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n"))
+    if _small(leads, "plain"):
+        held = _places(words.withColumn("n", F.size("_all")), sizes, ends=True).join(F.broadcast(leads), "_key", "left")
+        inside = F.slice("_all", F.greatest(start, F.lit(0)) + 1, F.col("size"))
+        same = F.col("win").isNotNull() & fits & (F.array_join(inside, " ") == F.col("plain"))
+        end = F.col("pos") == F.col("n")
+        size = F.when(end, F.col("n")).otherwise(F.col("size"))
+        return held.where(end | same).select("row", F.when(~end, start).alias("start"), size.alias("size"), "win"), owners
+
+    # Rows of a shuffle must not carry the words of their document: places are found by
+    # key alone and then looked up in the documents that have any.
+    places = _places(words, sizes).select("row", "pos", "_key").join(leads.select("_key").distinct(), "_key", "left_semi")
+    places = places.groupBy("row").agg(F.collect_set(F.struct("pos", "_key")).alias("_at"))
+    again = words.join(places, "row").select("row", "_all", F.size("_all").alias("n"), F.explode("_at").alias("at"))
+    left = F.greatest(F.col("at.pos") - (window - 1), F.lit(0))
+    near = F.slice("_all", left + 1, 2 * window)
+    again = again.select("row", "n", "at.pos", "at._key", left.alias("left"), near.alias("near"))
+    held = again.join(leads, "_key").where(fits)
+    inside = F.slice("near", F.greatest(start - F.col("left"), F.lit(0)) + 1, F.col("size"))
+    held = held.where(F.array_join(inside, " ") == F.col("plain")).select("row", start.alias("start"), "size", "win")
+    return held.unionByName(words.select("row", *ends)), owners
 
 
 def contamination(
@@ -139,7 +156,8 @@ def contamination(
     strings), contaminated; ``with_key`` adds text_key, which tells rows of one id apart."""
     docs = own_rows(docs.select(doc_id, text), doc_id, text)
     held, owners = occurrences(docs, items, doc_id, item_id, text, window)
-    held = stage(held, "occurrences")
+    found = stage(held, "occurrences")
+    held = found.where("win IS NOT NULL")
     # Overlapping occurrences count their words once.
     longest = held.groupBy("row", "start").agg(F.max("size").alias("size"))
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,9 +170,10 @@ def contamination(
         F.col(doc_id).alias("doc_id"),
         F.col(ROW).alias("row"),
         *([text_key(F.col(text)).alias("text_key")] if with_key else []),
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("bigint").alias("n_words"),
     )
-    joined = sizes.join(hit.join(named, "row", "left"), "row", "left")
+    # Rows equal in id and text share a row number and have equal sizes.
+    lengths = found.where("win IS NULL").groupBy("row").agg(F.max("size").cast("bigint").alias("n_words"))
+    joined = sizes.join(lengths, "row").join(hit.join(named, "row", "left"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
