@@ -54,3 +54,10 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in contamination(d, b).collect()] == [(1, 2, 0, [], False)]
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert contamination(d.limit(0), b).count() == 0
+
+
+def test_words(spark):
+    texts = ["", None, "  ", "A", ",A,", "\x00İ KK ÉA-ß\x7fZ9[z`{|}", "ΑΣ ΣA", "x" * 50_000 + " " + "Q;" * 50_000, "@_Az\u0080 B　c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.w for r in df.select("i", decontaminate.words_of(df.text).alias("w")).collect()}
+    assert got == {i: words(t) for i, t in enumerate(texts)}
