@@ -50,6 +50,8 @@ def classify(model, df: DataFrame, features: Sequence[str], probability: str = "
     )
 
 
+# The network keeps its flattened windows for all iterations; a task holds about this much of them.
+WINDOW_BYTES = 64 << 20
 _MONITOR = "features array<string>, rows int, lows array<double>, widths array<double>"
 
 
@@ -95,6 +97,12 @@ def _flat(column: str, features: Sequence[str], rows: int) -> Column:
     return array_to_vector(F.coalesce(flat, F.array_repeat(F.lit(0.0), rows * len(names))))
 
 
+def _window_tasks(ordered: OrderedRows, width: int) -> int | None:
+    """How many tasks hold the windows of all rows; None where one could hold them all."""
+    tasks = -(-8 * width * ordered.total // WINDOW_BYTES)
+    return max(tasks, ordered.df.sparkSession.sparkContext.defaultParallelism) if tasks > 1 else None
+
+
 def fit_sequence_monitor(
     ordered: OrderedRows,
     in_train: Column,
@@ -108,14 +116,16 @@ def fit_sequence_monitor(
 ) -> SequenceMonitor:
     """A feed-forward network over flattened windows scaled on the training rows.
 
-    It takes the place of a recurrent network and is a different model.
+    It takes the place of a recurrent network and is a different model. A flattened
+    window is ``rows`` times as wide as its row, and the shuffle sizes its tasks by
+    the rows, so long series are dealt by the size of their windows.
     """
     train = ordered.with_df(ordered.df.where(in_train))
     span = train.df.agg(*[g(f) for f in features for g in (F.min, F.max)]).first()
     lows = tuple(float(span[2 * i]) for i in range(len(features)))
     widths = tuple(float(span[2 * i + 1]) - lo or 1.0 for i, lo in enumerate(lows))
     scaled = train.with_df(train.df.withColumns(_scaled(features, lows, widths)))
-    seq = sequences(scaled, [f"_s_{f}" for f in features], rows, label)
+    seq = sequences(scaled, [f"_s_{f}" for f in features], rows, label, _window_tasks(ordered, rows * len(features)))
     data = seq.select(_flat("sequence", features, rows).alias("_features"), F.col("next_label").cast("double").alias("_y"))
     network = MultilayerPerceptronClassifier(
         featuresCol="_features",

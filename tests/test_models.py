@@ -191,3 +191,20 @@ def test_quantiles_by_counting(spark, monkeypatch, few, buckets):
     q = {r.alpha: r["quantile"] for r in quantiles.exact_quantiles(odd, [], "v", (0.0, 0.25, 0.5, 1.0)).collect()}
     assert q[0.0] == float("-inf") and q[0.25] == 1.0 and q[0.5] == 2.0 and np.isnan(q[1.0])
     assert quantiles.exact_quantiles(df.where("false"), [], "v", alphas).count() == 0
+
+
+def test_windows_kept_by_a_task_are_bounded(spark, noisy, monkeypatch):
+    """What a task keeps of the flattened windows does not grow with the series."""
+    ordered = order_rows(noisy, ["series"], ["t"], chunk_rows=50)
+    kept = []
+    real = classify.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(classify, "WINDOW_BYTES", 8 * 4 * 2 * 100)
+
+    def fit(self, data, *args):
+        kept.append(data.groupBy(F.spark_partition_id()).count().toPandas()["count"].tolist())
+        return real(self, data, *args)
+
+    monkeypatch.setattr(classify.MultilayerPerceptronClassifier, "fit", fit)
+    monitor = classify.fit_sequence_monitor(ordered, F.col("t") < 2000, ["a", "b"], "c", rows=4, hidden=4, iterations=2)
+    assert sum(kept[0]) == 2000 - 4 and max(kept[0]) <= 500 and len(kept[0]) > 8
+    assert monitor.transform(ordered).count() == 3000 - 3
