@@ -193,6 +193,55 @@ def test_quantiles_by_counting(spark, monkeypatch, few, buckets):
     assert quantiles.exact_quantiles(df.where("false"), [], "v", alphas).count() == 0
 
 
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_grown_trees_are_those_of_the_library(spark, depth):
+    """Cuts, leaves and importances of Spark ML's regression tree, from histograms of binned rows."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from hertzflow.models import grow
+
+    rng = np.random.default_rng(depth)
+    few, many = rng.integers(0, 6, 4000).astype(float), rng.normal(0, 1, 4000)
+    y = np.where(few > 2, many, -many) + rng.normal(0, 0.1, 4000)
+    # The fourth feature cuts like the first, the third never; half of the second lies on one value.
+    half = np.where(rng.uniform(0, 1, 4000) < 0.5, 0.0, many * many)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(many, half, np.ones(4000), many * 3, few, y)], "a double, b double, c double, d double, e double, y double")
+    names = ["a", "b", "c", "d", "e"]
+    cuts = grow.find_cuts(rows, names, 4000, 1)
+    binned = grow.binned(rows.repartition(5), names, ["y"], cuts)
+    got = grow.grow(binned, cuts, lambda x, y: y, depth=depth, least=20)
+    vectors = quantile.assemble(rows, names)
+    want = DecisionTreeRegressor(featuresCol="_features", labelCol="y", leafCol="_want", predictionCol="_p", maxDepth=depth, minInstancesPerNode=20, seed=1).fit(vectors)
+    assert got.depth == want.depth == depth and len(got.leaves) == (want.numNodes + 1) // 2
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-9)
+    assert got.transform(want.transform(vectors)).where("_leaf <> _want").count() == 0
+
+
+def test_a_round_reads_rows_without_shuffling_or_keeping_them(spark, noisy, monkeypatch):
+    """Rows are binned once; a level is one pass, and what it shuffles does not grow with the rows."""
+    from hertzflow.models import grow
+
+    seen = []
+    real = grow._histograms
+
+    def watched(rows, walk, goals, sides, nodes, k, bins):
+        sums = real(rows, walk, goals, sides, nodes, k, bins)
+        seen.append((nodes, sums[0].sum(), rows.schema.simpleString()))
+        return sums
+
+    monkeypatch.setattr(grow, "_histograms", watched)
+    quantile.fit_quantile_boost(noisy, ["a", "b"], "y", 0.1, rounds=2, depth=3)
+    assert len(seen) <= 6 and {nodes for nodes, _, _ in seen} <= {1, 2, 4}
+    assert {schema for _, _, schema in seen} == {"struct<_x:binary,_y:binary,_at:binary>"}
+    # The first level sees each row once for each feature.
+    assert seen[0][1] == 2 * 3000
+
+
+def test_missing_rows_to_fit_on_are_named(noisy):
+    with pytest.raises(ValueError, match="no rows"):
+        quantile.fit_quantile_boost(noisy.where("false"), ["a"], "y", 0.1, rounds=1)
+
+
 def test_windows_kept_by_a_task_are_bounded(spark, noisy, monkeypatch):
     """What a task keeps of the flattened windows does not grow with the series."""
     ordered = order_rows(noisy, ["series"], ["t"], chunk_rows=50)
